@@ -134,7 +134,11 @@ def binary_label(r: Column) -> Column:
 def lexicon_score(text: Column, positive: list[str], negative: list[str]) -> Column:
     """(positive - negative) / words over runs of [a-z]; 0 for a text without words."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    pos, neg = (F.size(F.filter(words, lambda w, s=s: w.isin(*s))) for s in (positive, negative))
+
+    def hits(lexicon: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*lexicon)))
+
+    pos, neg = hits(positive), hits(negative)
     return F.when(F.size(words) > 0, (pos - neg) / F.size(words)).otherwise(0.0)
 
 
@@ -149,3 +153,9 @@ def parse_feed_date(text: Column, run_date: Column) -> Column:
 
 def decimal_comma(text: Column) -> Column:
     return F.regexp_replace(text, ",", ".").try_cast("double")
+
+
+def long_badge(conf: Column, gate_passed: Column) -> Column:
+    """Badge of the long horizons: high only for a rule that passed its gate."""
+    return (F.when(conf.isNull(), "neutral").when(conf < 0.55, "low")
+            .when(gate_passed, "high").otherwise("mid"))
