@@ -272,3 +272,257 @@ def long_rows(policy: dict[int, str]) -> str:
 
 
 block("ld", ("ls",), long_rows({30: "moex_z", 60: "pure_rev", 90: "extreme_dist"}))
+
+
+# ------------------------------------------------------------------ composites
+
+def reversion_sql(n: int, base: str) -> str:
+    """mid, mid_conf, blend, strong and the decision columns from the comp/din columns."""
+    confirm = ("(cross_ret20 IS NOT NULL AND (score > 0) = (cross_ret20 > 0))" if n >= 30 else "false")
+    mid0 = "0.5 + 0.06 * greatest(-2.0, least(2.0, score))"
+    return f"""SELECT *, CASE WHEN NOT is_valid THEN 0 WHEN up > 0.5 THEN 1 ELSE 0 END AS mr_pred,
+  CASE WHEN is_valid THEN round(mr_conf0, 3) ELSE 0.5 END AS mr_conf,
+  CASE WHEN is_valid THEN up ELSE 0.5 END AS mr_up,
+  CASE WHEN is_valid THEN CASE WHEN strong THEN 'meanrev_strong' ELSE 'meanrev_medium' END ELSE 'flat' END AS mr_signal,
+  CASE WHEN is_valid THEN confirmed::int END AS mr_confirms
+FROM (SELECT *, CASE WHEN NOT strong THEN mid WHEN score > 0 THEN mr_conf0 ELSE 1 - mr_conf0 END AS up
+  FROM (SELECT *, greatest(mid, 1 - mid) * (1 - blend) + ({base}) * blend AS mr_conf0
+    FROM (SELECT *, greatest(0.0, least(1.0, CASE WHEN confirmed THEN 0.5 + (mid0 - 0.5) * 1.2 ELSE mid0 END)) AS mid,
+        greatest(0.0, least(1.0, strength - 1.0)) AS blend, strength >= 1.0 AS strong
+      FROM (SELECT *, {confirm} AS confirmed, {mid0} AS mid0 FROM src))))"""
+
+
+DEFAULT = {7: ("0.79", "0.72", "0.65", "0.62", "0.5386"), 30: ("0.75", "0.65", "0.60", "0.56", "0.5775"),
+           60: ("0.72", "0.65", "0.60", "0.54", "0.657"), 90: ("0.71", "0.62", "0.57", "0.50", "0.7482")}
+
+
+def default_rates(n: int) -> dict[str, str]:
+    return {b: f"{v}::double" for b, v in zip(("z15", "z10", "z05", "z00"), DEFAULT[n])}
+
+
+def direction_sql(n: int, rate: dict[str, str] | None = None, base: str | None = None,
+                  src: str = "din") -> str:
+    """Market direction of every row for one horizon; rates default to the built-in ones."""
+    rate = rate or default_rates(n)
+    base = base or f"{DEFAULT[n][4]}::double"
+    strong_first = "(is_valid AND strength >= 1.0)" if 30 <= n < 90 else "false"
+    rev = reversion_sql(n, base).replace("FROM src", f"FROM {src}")
+    return f"""SELECT *, {n} AS horizon,
+  CASE WHEN sf THEN 'meanrev_strong' WHEN z IS NOT NULL THEN 'moex_dev' ELSE 'mean_rev' END AS signal,
+  CASE WHEN mkt THEN (z > 0)::int ELSE mr_pred END AS prediction,
+  CASE WHEN mkt THEN c7 ELSE mr_conf END AS confidence,
+  round(CASE WHEN mkt THEN CASE WHEN z > 0 THEN c7 ELSE 1 - c7 END ELSE mr_up END, 3) AS prob_up,
+  round(1 - CASE WHEN mkt THEN CASE WHEN z > 0 THEN c7 ELSE 1 - c7 END ELSE mr_up END, 3) AS prob_down,
+  CASE WHEN mkt THEN {z7('z')} END AS z_bucket, CASE WHEN mkt THEN abs(z) < 0.3 END AS weak_signal
+FROM (SELECT *, coalesce({strong_first}, false) AS sf,
+    NOT coalesce({strong_first}, false) AND z IS NOT NULL AS mkt, {conf7('abs(z)', rate)} AS c7
+  FROM ({rev}))"""
+
+
+def walk_sql(n: int) -> str:
+    """Out-of-sample decisions for a horizon whose rows do not depend on each other."""
+    frame = upto(n)
+    parts = []
+    for b in ("z00", "z05", "z10", "z15"):
+        ok = f"zb = '{b}' AND t >= first_row AND actual IS NOT NULL"
+        parts.append(f"coalesce(count(*) FILTER (WHERE {ok}) OVER {frame}, 0) AS n_{b}, "
+                     f"coalesce(count(*) FILTER (WHERE {ok} AND (z > 0)::int = actual) OVER {frame}, 0) AS h_{b}")
+    rate = {b: f"CASE WHEN n_{b} >= 20 THEN round(h_{b} / n_{b}, 4) ELSE {v} END"
+            for b, v in default_rates(n).items()}
+    inner = (f"(SELECT *, {', '.join(parts)} FROM (SELECT *, {z7('z')} AS zb, {actual(n)} AS actual FROM din))")
+    return (f"SELECT series_id, date, t, horizon, signal, prediction AS pred, confidence AS conf, actual "
+            f"FROM ({direction_sql(n, rate, src=inner)}) WHERE t >= first_row AND actual IS NOT NULL")
+
+
+block("wf", ("din",), f"SELECT * FROM ({walk_sql(7)}) UNION ALL SELECT * FROM ({walk_sql(90)})")
+
+_market_rows = " UNION ALL ".join(f"""
+  SELECT series_id, {n} AS horizon, zb, (z > 0)::int = actual AS hit,
+    z IS NOT NULL AND NOT coalesce({'(is_valid AND strength >= 1.0)' if 30 <= n < 90 else 'false'}, false) AS mkt
+  FROM (SELECT *, {z7('z')} AS zb, {actual(n)} AS actual FROM din) WHERE t >= first_row AND actual IS NOT NULL"""
+                                  for n in (7, 30, 60, 90))
+_defaults_values = ", ".join(f"({n}, '{b}', {v})" for n in DEFAULT for b, v in default_rates(n).items())
+block("cnt", ("din",), f"""
+SELECT s.series_id, s.horizon, d.bucket, count(*) FILTER (WHERE s.mkt AND s.zb = d.bucket AND s.hit) AS hits,
+  count(*) FILTER (WHERE s.mkt AND s.zb = d.bucket) AS n, any_value(d.rate) AS default_rate
+FROM ({_market_rows}) s JOIN (VALUES {_defaults_values}) d(horizon, bucket, rate) ON d.horizon = s.horizon
+GROUP BY 1, 2, 3""")
+block("raw", ("cnt",), """
+SELECT *, CASE WHEN n >= 20 THEN round(hits / n, 4) ELSE default_rate END AS raw_rate FROM cnt""")
+
+
+def _pool_sql() -> str:
+    """Twelve explicit steps of the neighbour pooling over one row of four buckets."""
+    names = ["z00", "z05", "z10", "z15"]
+    wide = "SELECT series_id, horizon, " + ", ".join(
+        f"max(CASE WHEN bucket='{b}' THEN raw_rate END) AS r{i}, max(CASE WHEN bucket='{b}' THEN hits END) AS h{i}, "
+        f"max(CASE WHEN bucket='{b}' THEN n END) AS n{i}" for i, b in enumerate(names)) + " FROM raw GROUP BY 1, 2"
+    sql = f"({wide})"
+    for step in range(12):
+        lo, hi = step % 3, step % 3 + 1
+        p = lambda i: f"(h{i} / nullif(n{i}, 0))"
+        var = f"({p(lo)}*(1-{p(lo)})/nullif(n{lo},0) + {p(hi)}*(1-{p(hi)})/nullif(n{hi},0))"
+        cond = (f"r{hi} < r{lo} AND n{lo} >= 20 AND n{hi} >= 20 AND {var} > 0 "
+                f"AND abs(({p(hi)}-{p(lo)})/sqrt({var})) < 1.96")
+        pooled = f"round((h{lo}+h{hi})/(n{lo}+n{hi}), 4)"
+        new = ", ".join(f"CASE WHEN {cond} THEN {pooled} ELSE r{i} END AS r{i}" if i in (lo, hi)
+                        else f"r{i}" for i in range(4))
+        sql = f"(SELECT series_id, horizon, {new}, h0, h1, h2, h3, n0, n1, n2, n3 FROM {sql})"
+    return " UNION ALL ".join(f"SELECT series_id, horizon, '{b}' AS bucket, r{i} AS rate FROM pooled"
+                              for i, b in enumerate(names)), sql
+
+
+_union, _steps = _pool_sql()
+block("pooled", ("raw",), f"SELECT * FROM {_steps}")
+block("calr", ("pooled", "raw"), f"""
+SELECT r.series_id, r.horizon, r.bucket, r.hits, r.n, r.raw_rate, p.rate
+FROM raw r JOIN ({_union}) p ON p.series_id = r.series_id AND p.horizon = r.horizon AND p.bucket = r.bucket""")
+_mr_rows = " UNION ALL ".join(f"""
+  SELECT series_id, {n} AS horizon, mr_pred = actual AS hit FROM ({reversion_sql(n, DEFAULT[n][4] + '::double').replace(
+    'FROM src', 'FROM (SELECT *, ' + actual(n) + ' AS actual FROM din)')})
+  WHERE is_valid AND strength >= 1.0 AND t >= first_row AND actual IS NOT NULL""" for n in (7, 30, 60, 90))
+block("mrr", ("din",), f"""
+SELECT series_id, horizon, count(*) FILTER (WHERE hit) AS hits, count(*) AS n,
+  CASE WHEN count(*) >= 20 THEN round(count(*) FILTER (WHERE hit) / count(*), 4) END AS rate
+FROM ({_mr_rows}) GROUP BY 1, 2""")
+
+ERAS = (("1995-1996", "1995-01-01", "1997-01-01"), ("1997-1998", "1997-01-01", "1999-01-01"),
+        ("1999+", "1999-01-01", "2200-01-01"))
+ERA = ("CASE " + " ".join(f"WHEN date >= date '{lo}' AND date < date '{hi}' THEN '{n}'"
+                          for n, lo, hi in ERAS) + " END")
+LAST_ERA = f"date >= date '{ERAS[-1][1]}' AND date < date '{ERAS[-1][2]}'"
+
+block("lrep", ("ld",), f"""
+SELECT series_id, horizon, policy, oos_emitted, eligible_days, round(oos, 4) AS oos_hit,
+  round(oos_emitted / eligible_days, 4) AS coverage, round(modern, 4) AS modern_hit, modern_n,
+  coalesce(oos >= 0.70 AND oos_emitted >= 100, false) AS passed_gate,
+  coalesce(oos >= 0.70 AND oos_emitted >= 100, false) AND oos_emitted / eligible_days >= 0.30 AS full_protocol
+FROM (SELECT series_id, horizon, policy, count(*) FILTER (WHERE emitted) AS oos_emitted, count(*) AS eligible_days,
+    avg(hit) FILTER (WHERE emitted) AS oos, avg(hit) FILTER (WHERE emitted AND {LAST_ERA}) AS modern,
+    count(*) FILTER (WHERE emitted AND {LAST_ERA}) AS modern_n FROM ld GROUP BY 1, 2, 3)""")
+block("gates", ("ld",), f"""
+SELECT series_id, horizon, cell, sum(hit0)::bigint AS wins, count(*) AS n, round(sum(hit0) / count(*), 4) AS rate
+FROM (SELECT series_id, horizon, CASE WHEN z60 IS NULL THEN 'rev_fallback' WHEN gate < 2 THEN 'gate_failed'
+    ELSE {z30('z60')} END AS cell, ((coalesce(z60, rev) > 0)::int = actual)::int AS hit0
+  FROM ld WHERE policy = 'moex_z') GROUP BY 1, 2, 3""")
+block("lastls", ("ls",), "SELECT * FROM ls QUALIFY t = max(t) OVER (PARTITION BY series_id)")
+block("gw", ("gates",), "SELECT series_id, horizon, " + ", ".join(
+    f"coalesce(max(CASE WHEN cell='{c}' THEN {v} END), 0) AS {c}_{v}" if v != "rate" else
+    f"max(CASE WHEN cell='{c}' THEN rate END) AS {c}_rate"
+    for c in ("z00", "z03", "z05", "z10", "gate_failed", "rev_fallback") for v in ("wins", "n", "rate"))
+      + " FROM gates GROUP BY 1, 2")
+_pts = ("list_filter([{'x': 0.0::double, 'y': z00_rate}, {'x': 0.3::double, 'y': z03_rate}, "
+        "{'x': 0.5::double, 'y': z05_rate}, {'x': 1.0::double, 'y': z10_rate}], lambda p: p.y IS NOT NULL)")
+block("plong", ("lastls", "lrep", "gw"), f"""
+SELECT *, CASE WHEN policy = 'extreme_dist' AND (extreme IS NULL OR conf IS NULL) THEN 'no_validated_signal'
+    WHEN bucket < 0 THEN 'insufficient_history' WHEN conf IS NULL THEN 'no_measurable_rate' END AS neutral_reason
+FROM (SELECT *, CASE source WHEN 'z_bucket_dynamic' THEN CASE WHEN len(hi) > 0 AND len(lo) > 0 AND len(pts) >= 2
+        THEN lo[-1].y + (hi[1].y - lo[-1].y) * (abs(z60) - lo[-1].x) / (hi[1].x - lo[-1].x) ELSE own_rate END
+      WHEN 'moex_aggregate_dynamic' THEN agg_w / agg_n WHEN 'gate_failed_dynamic' THEN gate_failed_rate
+      WHEN 'rev_fallback_dynamic' THEN rev_fallback_rate ELSE coalesce(modern_hit, oos_hit) END AS conf,
+    CASE source WHEN 'z_bucket_dynamic' THEN own_n WHEN 'moex_aggregate_dynamic' THEN agg_n
+      WHEN 'gate_failed_dynamic' THEN gate_failed_n WHEN 'rev_fallback_dynamic' THEN rev_fallback_n
+      ELSE oos_emitted END AS case_n,
+    CASE WHEN policy = 'extreme_dist' THEN extreme WHEN policy = 'moex_z' AND z60 IS NOT NULL THEN (z60 > 0)::int
+      ELSE (rev > 0)::int END AS pred
+  FROM (SELECT *, CASE WHEN policy <> 'moex_z' THEN 'modern_oos_hit'
+        WHEN z60 IS NOT NULL AND gate >= 2 AND own_n >= 20 THEN 'z_bucket_dynamic'
+        WHEN z60 IS NOT NULL AND gate >= 2 AND agg_n >= 20 THEN 'moex_aggregate_dynamic'
+        WHEN z60 IS NOT NULL AND gate < 2 AND gate_failed_n >= 20 THEN 'gate_failed_dynamic'
+        WHEN z60 IS NULL AND rev_fallback_n >= 20 THEN 'rev_fallback_dynamic' ELSE 'modern_oos_hit' END AS source,
+      list_filter(pts, lambda p: p.x <= az) AS lo, list_filter(pts, lambda p: p.x > az) AS hi
+    FROM (SELECT l.series_id, l.date, l.rev, l.z60, abs(l.z60) AS az, l.gate, l.extreme, l.bucket, p.horizon, p.policy,
+        r.* EXCLUDE (series_id, horizon, policy), g.* EXCLUDE (series_id, horizon), {_pts} AS pts,
+        {z30('l.z60')} AS zb, CASE {z30('l.z60')} WHEN 'z00' THEN z00_n WHEN 'z03' THEN z03_n WHEN 'z05' THEN z05_n
+          ELSE z10_n END AS own_n, CASE {z30('l.z60')} WHEN 'z00' THEN z00_rate WHEN 'z03' THEN z03_rate
+          WHEN 'z05' THEN z05_rate ELSE z10_rate END AS own_rate,
+        z00_n + z03_n + z05_n + z10_n AS agg_n, z00_wins + z03_wins + z05_wins + z10_wins AS agg_w
+      FROM lastls l CROSS JOIN (VALUES (30, 'moex_z'), (60, 'pure_rev'), (90, 'extreme_dist')) p(horizon, policy)
+      LEFT JOIN lrep r ON r.series_id = l.series_id AND r.horizon = p.horizon
+      LEFT JOIN gw g ON g.series_id = l.series_id AND g.horizon = p.horizon)))""")
+block("lastdin", ("din", "calr", "mrr"), """
+SELECT d.*, c.z00, c.z05, c.z10, c.z15, coalesce(m.rate, 0.5386::double) AS mr_rate FROM din d
+JOIN (SELECT series_id, max(CASE WHEN bucket='z00' THEN rate END) AS z00, max(CASE WHEN bucket='z05' THEN rate END) AS z05,
+  max(CASE WHEN bucket='z10' THEN rate END) AS z10, max(CASE WHEN bucket='z15' THEN rate END) AS z15
+  FROM calr WHERE horizon = 7 GROUP BY 1) c ON c.series_id = d.series_id
+LEFT JOIN mrr m ON m.series_id = d.series_id AND m.horizon = 7
+QUALIFY d.t = max(d.t) OVER (PARTITION BY d.series_id)""")
+_now7 = direction_sql(7, {b: b for b in ("z00", "z05", "z10", "z15")}, "mr_rate", "lastdin")
+block("pnow", ("plong", "lastdin"), f"""
+SELECT series_id, date AS as_of, horizon, prediction, confidence, false AS neutral FROM ({_now7})
+UNION ALL SELECT series_id, date, horizon, CASE WHEN neutral_reason IS NULL THEN pred END,
+  CASE WHEN neutral_reason IS NULL THEN round(conf, 3) END, neutral_reason IS NOT NULL FROM plong""")
+
+block("lbl", ("al", "hv"), f"""
+SELECT *, year(date) AS year, CASE WHEN year(date) >= 1998 THEN 'modern_1998plus' ELSE 'pre1998' END AS era,
+  CASE WHEN r_fwd > 0.01 THEN 1 WHEN r_fwd < -0.01 THEN -1 ELSE 0 END AS y3,
+  CASE WHEN r_fwd > 0 THEN 1 ELSE 0 END AS y2, NOT contaminated AS clean FROM (
+SELECT a.series_id, a.date, a.t, (lead(a.price, 30) OVER wa - a.price) / a.price AS r_fwd,
+  CASE WHEN a.t < 252 OR h.vol20p IS NULL THEN 'unknown_warmup' WHEN h.high_vol THEN 'high_vol' ELSE 'normal_vol' END AS vol_regime,
+  CASE WHEN ln(a.price) - ln(lag(a.price, 60) OVER wa) > 0.03 THEN 'bull'
+    WHEN ln(a.price) - ln(lag(a.price, 60) OVER wa) < -0.03 THEN 'bear'
+    WHEN lag(a.price, 60) OVER wa IS NOT NULL THEN 'sideways' ELSE 'unknown_warmup' END AS trend_regime,
+  CASE WHEN a.close IS NOT NULL THEN 'yes' ELSE 'no' END AS market_at_t,
+  coalesce(max(edge::int) OVER (PARTITION BY a.series_id ORDER BY a.date ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) = 1, false) AS contaminated
+FROM (SELECT *, abs(ln(lead(price) OVER ({W})) - ln(price)) > 0.20 AS edge FROM al) a
+JOIN hv h ON h.series_id = a.series_id AND h.t = a.t
+WINDOW wa AS (PARTITION BY a.series_id ORDER BY a.date)) WHERE r_fwd IS NOT NULL""")
+
+block("skew", ("ret",), f"""
+SELECT series_id, t, CASE WHEN n = 20 THEN sqrt(20*19)/18.0
+  * (s3/20 - 3*(s1/20)*(s2/20) + 2*power(s1/20, 3)) / power(s2/20 - power(s1/20, 2), 1.5) END AS skew20
+FROM (SELECT series_id, t, count(r) OVER {rows(20)} AS n, sum(r) OVER {rows(20)} AS s1,
+  sum(r*r) OVER {rows(20)} AS s2, sum(r*r*r) OVER {rows(20)} AS s3 FROM ret)""")
+block("rsi", ("ret",), f"""
+SELECT series_id, t, CASE WHEN n >= 14 AND l > 0 THEN 100 - 100/(1 + g/nullif(l, 0)) END AS rsi14
+FROM (SELECT a.series_id, a.t, any_value(a.n) AS n,
+    sum(greatest(b.r, 0) * power(13/14.0::double, a.t - b.t)) AS g,
+    sum(greatest(-b.r, 0) * power(13/14.0::double, a.t - b.t)) AS l
+  FROM (SELECT *, count(r) OVER {upto()} AS n FROM ret) a LEFT JOIN ret b
+    ON b.series_id = a.series_id AND b.t BETWEEN a.t - 399 AND a.t GROUP BY 1, 2)""")
+FACTORS = [*FEATURE_SQL, "skew20", "rsi14", "key_rate", "sentiment", "sentiment_coverage", "rev"]
+_ffr = ("(PARTITION BY series_id, feature ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 30 PRECEDING)")
+block("fac", ("feat", "skew", "rsi", "ls"), f"""
+SELECT series_id, date, t, feature, value, y2,
+  count(v) OVER {_ffr} AS n_known, quantile_cont(v, 0.5) OVER {_ffr} AS threshold
+FROM (SELECT *, CASE WHEN t >= 120 THEN value END AS v FROM (
+  SELECT series_id, date, t, y2, unnest([{', '.join(f"'{f}'" for f in FACTORS)}]) AS feature,
+    unnest([{', '.join(f"({f})::double" for f in FACTORS)}]) AS value
+  FROM (SELECT f.*, s.skew20, i.rsi14, l.rev, CASE WHEN later > f.price THEN 1 WHEN later IS NOT NULL THEN 0 END AS y2
+    FROM (SELECT *, lead(price, 30) OVER ({W}) AS later FROM feat) f
+    JOIN skew s ON s.series_id = f.series_id AND s.t = f.t JOIN rsi i ON i.series_id = f.series_id AND i.t = f.t
+    JOIN ls l ON l.series_id = f.series_id AND l.t = f.t)))""")
+block("frep", ("fac",), f"""
+SELECT series_id, feature, rule, count(*) AS n, round(avg(hit), 4) AS hit, round(avg(pred), 4) AS up_share,
+  {", ".join(f"count(*) FILTER (WHERE era = '{n}') AS era{i}_n, round(avg(hit) FILTER (WHERE era = '{n}'), 4) AS era{i}_hit"
+             for i, (n, _, _) in enumerate(ERAS, 1))}
+FROM (SELECT *, (pred = y2)::int AS hit, {ERA} AS era FROM (SELECT series_id, date, t, feature, y2, unnest(['median', 'sign']) AS rule,
+    unnest([(value > threshold)::int, (value > 0)::int]) AS pred
+  FROM fac WHERE t >= 120 AND value IS NOT NULL AND n_known >= 30 AND y2 IS NOT NULL)) GROUP BY 1, 2, 3""")
+
+block("ev", ("mk", "ld", "al"), f"""
+SELECT m.series_id, m.date, 7 AS horizon, ((m.z_own > 0)::int = a.actual)::int AS hit
+FROM mk m JOIN (SELECT series_id, t, {actual(7)} AS actual FROM al) a ON a.series_id = m.series_id AND a.t = m.t
+WHERE m.z_own IS NOT NULL AND a.actual IS NOT NULL
+UNION ALL SELECT series_id, date, horizon, hit FROM ld WHERE emitted""")
+block("health", ("ev", "official"), """
+SELECT e.series_id, h.horizon, round(s.acc, 4) AS rolling_acc, coalesce(s.n, 0) AS n, s.first_eval_date, s.last_eval_date,
+  CASE WHEN s.acc IS NULL THEN 'no_data' WHEN s.acc >= h.healthy THEN 'healthy' WHEN s.acc >= h.alert THEN 'degraded'
+    ELSE 'alert' END AS status
+FROM (SELECT series_id, max(date) AS today FROM official GROUP BY 1) e
+CROSS JOIN (VALUES (7, 0.65, 0.55), (30, 0.58, 0.50), (60, 0.59, 0.48), (90, 0.70, 0.50)) h(horizon, healthy, alert)
+LEFT JOIN (SELECT v.series_id, v.horizon, avg(v.hit) AS acc, count(*) AS n, min(v.date) AS first_eval_date,
+    max(v.date) AS last_eval_date
+  FROM ev v JOIN (SELECT series_id, max(date) AS today FROM official GROUP BY 1) t ON t.series_id = v.series_id
+  WHERE v.date >= t.today - 365 GROUP BY 1, 2) s ON s.series_id = e.series_id AND s.horizon = h.horizon""")
+block("led", ("ld", "wf"), """
+SELECT series_id, date AS as_of, horizon, '2026.09-gate2' AS model_version, 0 AS is_shadow, pred AS prediction FROM ld
+UNION ALL SELECT series_id, date, horizon, '2026.09-gate2', 0, pred FROM wf WHERE horizon = 7""")
+block("settled", ("led", "official"), f"""
+SELECT l.*, CASE WHEN l.prediction IS NOT NULL THEN o.realized END AS realized,
+  CASE WHEN l.prediction IS NOT NULL THEN o.ret END AS realized_ret,
+  CASE WHEN l.prediction IS NOT NULL THEN o.rdate END AS realized_date
+FROM led l LEFT JOIN ({" UNION ALL ".join(f'''SELECT series_id, date, {n} AS horizon,
+    CASE WHEN lead(price, {n}) OVER ({W}) > price THEN 1 WHEN lead(price, {n}) OVER ({W}) IS NOT NULL THEN 0 END AS realized,
+    ln(lead(price, {n}) OVER ({W})) - ln(price) AS ret, lead(date, {n}) OVER ({W}) AS rdate FROM official'''
+    for n in (7, 30, 60, 90))}) o ON o.series_id = l.series_id AND o.date = l.as_of AND o.horizon = l.horizon""")

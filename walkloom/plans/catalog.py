@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from walkloom.operators import backtest as B
 from walkloom.operators import signals as S
-from walkloom.plans import windows  # noqa: F401  (registers queries)
+from walkloom.plans import reports, windows  # noqa: F401  (they register queries)
 from walkloom.plans.registry import ORACLES, QUERIES, price_base
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
