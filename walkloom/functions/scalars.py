@@ -144,10 +144,12 @@ def lexicon_score(text: Column, positive: list[str], negative: list[str]) -> Col
 
 def parse_feed_date(text: Column, run_date: Column) -> Column:
     """Feed dates in one of four formats, tried in order; the run date otherwise."""
-    # fixed values: formats of the first 25 characters of the stamp
-    formats = ("EEE, dd MMM yyyy HH:mm:ss z", "EEE, dd MMM yyyy HH:mm:ss",
-               "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
-    head = F.substring(F.trim(text), 1, 25)
+    # fixed values: formats of the first 25 characters of the stamp; the weekday name carries
+    # no information and is stripped before parsing
+    formats = ("dd MMM yyyy HH:mm:ss z", "dd MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
+               "yyyy-MM-dd")
+    head = F.regexp_replace(F.substring(F.trim(text), 1, 25),
+                            "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun), ", "")
     return F.coalesce(*[F.to_date(F.try_to_timestamp(head, F.lit(f))) for f in formats], run_date)
 
 

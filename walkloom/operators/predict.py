@@ -179,11 +179,12 @@ def long_now(signals: DataFrame, report: DataFrame, gates: DataFrame, buckets: D
 
 def term_divergence(directions: DataFrame, by=SERIES) -> DataFrame:
     """First shorter horizon whose direction contradicts the horizon's own."""
-    own = directions.where(F.col("prediction").isin(0, 1)).select(*by, "horizon", "prediction")
-    short = own.select(*by, F.col("horizon").alias("short_horizon"),
-                       F.col("prediction").alias("short_prediction"))
-    pairs = own.join(short, list(by)).where(
-        (F.col("short_horizon") < F.col("horizon"))
-        & (F.col("short_prediction") != F.col("prediction")))
-    return pairs.groupBy(*by, "horizon", "prediction").agg(
-        F.min("short_horizon").alias("short_horizon"))
+    # a group holds one direction per horizon, four at most
+    said = F.array_sort(F.collect_list(F.struct("horizon", "prediction")))
+    grouped = (directions.where(F.col("prediction").isin(0, 1))
+               .groupBy(*by).agg(said.alias("said")))
+    own = grouped.select(*by, "said", F.explode("said").alias("own")).select(*by, "said", "own.*")
+    first = F.get(F.filter("said", lambda x: (x["horizon"] < F.col("horizon"))
+                           & (x["prediction"] != F.col("prediction"))), F.lit(0))["horizon"]
+    return (own.withColumn("short_horizon", first).where(F.col("short_horizon").isNotNull())
+            .select(*by, "horizon", "prediction", "short_horizon"))

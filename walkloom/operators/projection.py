@@ -64,7 +64,7 @@ def project(directions: DataFrame, bases: DataFrame, by=SERIES) -> DataFrame:
                   F.col("daily_vol") * F.sqrt(k) * band_multiplier(F.col("n"))).otherwise(
         0.012 * F.sqrt(k / n) * (1.0 + n / 90.0))
     mid = F.exp(path)
-    return full.select(*by, F.col("n").alias("horizon"), "k", "date",
+    return full.select(*by, F.col("n").alias("horizon"), "k", "date", half.alias("half_band"),
                        F.round(mid, 4).alias("rate"),
                        F.round(F.least(F.exp(path - half), mid), 4).alias("low"),
                        F.round(F.greatest(F.exp(path + half), mid), 4).alias("high"))

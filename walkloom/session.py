@@ -18,6 +18,8 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf) -> Spar
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+               .config("spark.sql.codegen.cache.maxEntries", "2000")
                .config("spark.driver.memory", "16g"))
     for key, value in conf.items():
         builder = builder.config(key, value)
