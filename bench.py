@@ -15,6 +15,7 @@ import time
 from pyspark.sql import functions as F
 
 from walkloom import session
+from walkloom.functions.frames import by_series
 from walkloom.operators import backtest as B
 from walkloom.operators import calibration as C
 from walkloom.operators import experiments as E
@@ -33,7 +34,8 @@ SERIES = "c_nationkey"
 
 def headline(spark, d):
     """name -> function returning the result DataFrame, in the order of a daily update."""
-    full = lambda: session.materialise(R.full_base(spark, d, SERIES), "bench-base")
+    # tables read back from disk get their series partitioning again
+    full = lambda: by_series(session.materialise(R.full_base(spark, d, SERIES), "bench-base"))
     base = {}
 
     def aligned():
@@ -43,16 +45,16 @@ def headline(spark, d):
 
     def inputs():
         if "inputs" not in base:
-            base["inputs"] = session.materialise(B.direction_inputs(aligned()).select(
+            base["inputs"] = by_series(session.materialise(B.direction_inputs(aligned()).select(
                 "series_id", "date", "t", "price", "z", "z_own", "score", "strength", "is_valid",
-                "first_row", "cross_ret20"), "bench-inputs")
+                "first_row", "cross_ret20"), "bench-inputs"))
         return base["inputs"]
 
     def signals():
         if "signals" not in base:
-            base["signals"] = session.materialise(S.long_signals(aligned()).select(
+            base["signals"] = by_series(session.materialise(S.long_signals(aligned()).select(
                 "series_id", "date", "t", "price", "rev", "z60", "gate", "breakout", "extreme",
-                "bucket"), "bench-signals")
+                "bucket"), "bench-signals"))
         return base["signals"]
 
     def decisions():

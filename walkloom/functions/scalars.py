@@ -132,14 +132,18 @@ def binary_label(r: Column) -> Column:
 
 
 def lexicon_score(text: Column, positive: list[str], negative: list[str]) -> Column:
-    """(positive - negative) / words over runs of [a-z]; 0 for a text without words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    """(positive - negative) / words over runs of [a-z]; 0 for a text without words.
+
+    Lexicon words are counted as whole runs by the regex engine, so only matching words are
+    materialised, not the token list of a long text once per lexicon.
+    """
+    low = F.lower(text)
 
     def hits(lexicon: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*lexicon)))
+        return F.regexp_count(low, F.lit(f"(?<![a-z])(?:{'|'.join(sorted(lexicon))})(?![a-z])"))
 
-    pos, neg = hits(positive), hits(negative)
-    return F.when(F.size(words) > 0, (pos - neg) / F.size(words)).otherwise(0.0)
+    words = F.regexp_count(low, F.lit("[a-z]+"))
+    return F.when(words > 0, (hits(positive) - hits(negative)) / words).otherwise(0.0)
 
 
 def parse_feed_date(text: Column, run_date: Column) -> Column:

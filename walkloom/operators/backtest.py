@@ -8,8 +8,7 @@ shuffles than one.
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,27 +86,35 @@ def oos_bucket_rates(horizon: int, w, sample: Column, hit: Column, bucket: Colum
     return out
 
 
-def _replay_strong(horizon_default: dict):
+def _replay_strong(horizon_default: dict, min_n: int = P.MIN_BUCKET_N):
     """Fill strong-reversion rows: their confidence uses the hit rate of earlier strong
-    rows, and a rate below one half turns the direction, so the rows depend on each other."""
+    rows, and a rate below one half turns the direction, so the rows depend on each other.
+
+    The inner function refers to plain values only, so workers need not import this package.
+    """
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t").reset_index(drop=True)
+        slim = pdf.drop(columns=["mid_conf", "blend", "score"])
+        at = np.flatnonzero((pdf["signal"] == "meanrev_strong").to_numpy())
+        if not len(at):
+            return slim
         horizon = int(pdf["horizon"].iloc[0])
-        hits = n = 0
-        waiting: deque = deque()
-        preds, confs = pdf["pred"].to_numpy(copy=True), pdf["conf"].to_numpy(copy=True)
-        for i in pdf.index[pdf["signal"] == "meanrev_strong"]:
-            row = pdf.loc[i]
-            while waiting and waiting[0][0] + horizon <= row["t"]:
-                hits += waiting.popleft()[1]
-                n += 1
-            base = round(hits / n, 4) if n >= P.MIN_BUCKET_N else horizon_default[horizon]
-            conf = row["mid_conf"] * (1 - row["blend"]) + base * row["blend"]
-            up = conf if row["score"] > 0 else 1 - conf
-            preds[i], confs[i] = int(up > 0.5), round(conf, 3)
-            waiting.append((row["t"], int(preds[i] == row["actual"])))
-        return pdf.assign(pred=preds, conf=confs).drop(columns=["mid_conf", "blend", "score"])
+        t, actual, mid, blend, score = (pdf[c].to_numpy()[at] for c in (
+            "t", "actual", "mid_conf", "blend", "score"))
+        preds, confs = slim["pred"].to_numpy(copy=True), slim["conf"].to_numpy(copy=True)
+        hit = np.zeros(len(at), dtype=bool)
+        hits = known = 0
+        for i in range(len(at)):
+            while t[known] + horizon <= t[i]:
+                hits += int(hit[known])
+                known += 1
+            base = round(hits / known, 4) if known >= min_n else horizon_default[horizon]
+            conf = mid[i] * (1 - blend[i]) + base * blend[i]
+            pred = int((conf if score[i] > 0 else 1 - conf) > 0.5)
+            hit[i] = pred == actual[i]
+            preds[at[i]], confs[at[i]] = pred, round(conf, 3)
+        return slim.assign(pred=preds, conf=confs)
 
     return replay
 

@@ -124,9 +124,8 @@ def factor_decisions(long: DataFrame, horizon: int = P.LABEL_HORIZON, start: int
     values.
     """
     keys = [*by, "feature"]
-    med = expanding_median(long, keys, "t", "value", "threshold", lag=horizon, start=start,
-                           min_n=min_n)
-    df = long.join(med, [*keys, "t"])
+    df = expanding_median(long, keys, "t", "value", "threshold", lag=horizon, start=start,
+                          min_n=min_n, keep=["date", "y2", "value"])
     value = F.col("value")
     rules = F.array(
         F.struct(F.lit("median").alias("rule"),

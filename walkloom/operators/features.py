@@ -51,7 +51,6 @@ def _returns(df: DataFrame, by) -> DataFrame:
     return df.withColumns({
         "r": F.col("lp") - lag("lp"),
         "ru": F.col("lu") - lag("lu"),
-        "ri": (F.col("lp") - F.col("lu")) - (lag("lp") - lag("lu")),
         "ro": F.col("lo") - lag("lo"),
     })
 
@@ -84,9 +83,34 @@ def build(df: DataFrame, by=SERIES, keep: list[str] | None = None) -> DataFrame:
                              "_nur": seen(F.when(F.col("r").isNotNull(), F.col("ru")), w),
                              "_nor": seen(F.when(F.col("r").isNotNull(), F.col("ro")), w)})
     n, nr, nu, no, nur, nor = (F.col(c) for c in ("_n", "_nr", "_nu", "_no", "_nur", "_nor"))
-    lp, r, ru, ri, ro = (F.col(c) for c in ("lp", "r", "ru", "ri", "ro"))
+    lp, lu, lo, r, ru, ro = (F.col(c) for c in ("lp", "lu", "lo", "r", "ru", "ro"))
     fr = lambda agg, cnt, k: full(agg, cnt, w, k)
-    sd = F.stddev_samp
+    # a sum of log returns is a difference of log levels: one lag instead of a frame
+    moved = lambda level, cnt, k: F.when(cnt >= k, level - F.lag(level, k).over(w))
+    raw = lambda x, k: F.sum(x).over(trailing(w, k))
+    li = lp - lu
+
+    # Sample moments of returns from sums inside the frame. Returns scatter around zero, so
+    # the squares do not cancel, and plain sums are the cheapest aggregates a frame can hold.
+    def cov(x, y, level_x, level_y, cnt, k):
+        sx, sy = moved(level_x, cnt, k), moved(level_y, cnt, k)
+        return F.when(cnt >= k, (raw(x * y, k) - sx * sy / k) / (k - 1))
+
+    def var(x, level, cnt, k):
+        return F.greatest(cov(x, x, level, level, cnt, k), F.when(cnt >= k, 0.0))
+
+    sd = lambda x, level, cnt, k: F.sqrt(var(x, level, cnt, k))
+
+    def corr(x, y, level_x, level_y, cnt, k):
+        scale = F.sqrt(var(x, level_x, cnt, k) * var(y, level_y, cnt, k))
+        return F.try_divide(cov(x, y, level_x, level_y, cnt, k), scale)
+
+    def skew(k):
+        m = moved(lp, nr, k) / k
+        m2 = raw(r * r, k) / k - m * m
+        m3 = raw(r * r * r, k) / k - 3 * m * raw(r * r, k) / k + 2 * m * m * m
+        return F.when(nr >= k, (k * (k - 1)) ** 0.5 / (k - 2) * F.try_divide(m3, F.pow(m2, F.lit(1.5))))
+
     lo60, hi60 = fr(F.min(lp), n, 60), fr(F.max(lp), n, 60)
     mean20, mean60 = fr(F.avg(lp), n, 20), fr(F.avg(lp), n, 60)
     tail = F.pow(F.lit(RSI_DECAY), F.lit(RSI_BLOCK))
@@ -97,13 +121,13 @@ def build(df: DataFrame, by=SERIES, keep: list[str] | None = None) -> DataFrame:
     rate = F.col("key_rate")
     cols = {
         "ret1": r,
-        "mom5": fr(F.sum(r), nr, 5),
-        "mom20": fr(F.sum(r), nr, 20),
-        "vol5": fr(sd(r), nr, 5),
-        "vol20": fr(sd(r), nr, 20),
-        "skew20": fr(F.skewness(r), nr, 20) * ((20 * 19) ** 0.5 / 18),
+        "mom5": moved(lp, nr, 5),
+        "mom20": moved(lp, nr, 20),
+        "vol5": sd(r, lp, nr, 5),
+        "vol20": sd(r, lp, nr, 20),
+        "skew20": skew(20),
         "pos60": (lp - lo60) / (hi60 - lo60 + 1e-12),
-        "level_z60": F.try_divide(lp - mean60, fr(sd(lp), n, 60)),
+        "level_z60": F.try_divide(lp - mean60, fr(F.stddev_samp(lp), n, 60)),
         "rsi14": F.when((nr >= 14) & (loss > 0), 100 - 100 / (1 + gain / F.nullif(loss, F.lit(0.0)))),
         "dow": F.weekday("date") / 6.0,
         "ma20_dev": lp - mean20,
@@ -111,19 +135,19 @@ def build(df: DataFrame, by=SERIES, keep: list[str] | None = None) -> DataFrame:
         # the published slope runs against time: a rising line gives a negative value
         "slope20": -fr(F.regr_slope(lp, F.col("t").cast("double")), n, 20),
         "cross_ret1": ru,
-        "cross_ret5": fr(F.sum(ru), nu, 5),
-        "cross_ret20": fr(F.sum(ru), nu, 20),
-        "cross_vol20": fr(sd(ru), nu, 20),
-        "implied_mom5": fr(F.sum(ri), nur, 5),
-        "implied_mom20": fr(F.sum(ri), nur, 20),
-        "cross_corr60": fr(F.corr(r, ru), nur, 60),
-        "cross_beta60": fr(F.covar_samp(r, ru), nur, 60) / (fr(F.var_samp(ru), nu, 60) + 1e-12),
+        "cross_ret5": moved(lu, nu, 5),
+        "cross_ret20": moved(lu, nu, 20),
+        "cross_vol20": sd(ru, lu, nu, 20),
+        "implied_mom5": moved(li, nur, 5),
+        "implied_mom20": moved(li, nur, 20),
+        "cross_corr60": corr(r, ru, lp, lu, nur, 60),
+        "cross_beta60": cov(r, ru, lp, lu, nur, 60) / (var(ru, lu, nu, 60) + 1e-12),
         "oil_ret1": ro,
-        "oil_ret5": fr(F.sum(ro), no, 5),
-        "oil_ret20": fr(F.sum(ro), no, 20),
-        "oil_vol20": fr(sd(ro), no, 20),
-        "oil_vol_ratio": fr(sd(ro), no, 5) / (fr(sd(ro), no, 60) + 1e-12),
-        "oil_corr60": fr(F.corr(r, ro), nor, 60),
+        "oil_ret5": moved(lo, no, 5),
+        "oil_ret20": moved(lo, no, 20),
+        "oil_vol20": sd(ro, lo, no, 20),
+        "oil_vol_ratio": sd(ro, lo, no, 5) / (sd(ro, lo, no, 60) + 1e-12),
+        "oil_corr60": corr(r, ro, lp, lo, nor, 60),
         "sentiment_7d": mean(7),
         "sentiment_30d": mean(30),
         "sentiment_trend": mean(7) - mean(30),

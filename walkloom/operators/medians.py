@@ -17,24 +17,22 @@ from pyspark.sql import DataFrame
 
 def expanding_median(df: DataFrame, by: list[str], order: str, value: str, out: str,
                      lag: int = 0, start: int = 0, min_n: int = 1,
-                     usable: str | None = None) -> DataFrame:
-    """(by, order, out): median of ``value`` over rows with start <= order <= current - lag.
+                     keep: list[str] | None = None) -> DataFrame:
+    """Median of ``value`` over rows with start <= order <= current - lag.
 
-    ``order`` is an integer row position. NULL values, and rows where the boolean column
-    ``usable`` is false, do not enter; below ``min_n`` values the result is NULL.
+    ``order`` is an integer row position. NULL values do not enter; below ``min_n`` values
+    the result is NULL. Returns (by, order, out) and the ``keep`` columns of the same row.
     """
-    cols = [*by, order, value] + ([usable] if usable else [])
-    slim = df.select(*cols)
-    fields = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in [*by, order]) + f", `{out}` double"
+    slim = df.select(*by, order, value, *[c for c in keep or [] if c != value])
+    returned = [*by, order, *(keep or [])]
+    types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in returned) + f", `{out}` double"
 
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         at = pdf[order].to_numpy()
         x = pdf[value].to_numpy(dtype=float)
         ok = np.isfinite(x) & (at >= start)
-        if usable:
-            ok &= pdf[usable].fillna(False).to_numpy(dtype=bool)
         past: list[float] = []
         medians = np.full(len(x), np.nan)
         admitted = 0
@@ -46,9 +44,8 @@ def expanding_median(df: DataFrame, by: list[str], order: str, value: str, out:
             n = len(past)
             if n >= min_n:
                 medians[i] = (past[n // 2] + past[(n - 1) // 2]) / 2
-        result = pdf[[*by, order]].copy()
-        result[out] = pd.Series(medians, index=pdf.index).astype(object).where(
-            np.isfinite(medians), None)
+        result = pdf[returned].copy()
+        result[out] = pd.Series(medians).astype(object).where(np.isfinite(medians), None)
         return result
 
     return slim.groupBy(*by).applyInPandas(per_group, schema)
