@@ -80,7 +80,7 @@ def json_parallel_arrays(spark: SparkSession, path: str) -> DataFrame:
 
 def html_table(spark: SparkSession, path: str) -> DataFrame:
     """(date, value) cell pairs of whole HTML pages; cells that do not parse are skipped."""
-    pages = spark.read.option("wholetext", "true").text(path)
+    pages = spark.read.text(path, wholetext=True)
     pairs = F.arrays_zip(F.regexp_extract_all("value", F.lit(HTML_CELLS), F.lit(1)).alias("d"),
                          F.regexp_extract_all("value", F.lit(HTML_CELLS), F.lit(2)).alias("v"))
     cells = pages.select(F.explode(pairs).alias("c"))
