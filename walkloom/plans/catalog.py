@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from walkloom.operators import backtest as B
 from walkloom.operators import signals as S
-from walkloom.plans import landing, reports, streams, windows  # noqa: F401  (they register queries)
+from walkloom.plans import (  # noqa: F401  (they register queries)
+    landing,
+    learning,
+    reports,
+    streams,
+    windows,
+)
 from walkloom.plans.registry import ORACLES, QUERIES, price_base
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
