@@ -38,37 +38,60 @@ def direction_inputs(aligned: DataFrame, by=SERIES, with_confirms: bool = False)
 
 # ------------------------------------------------------------------ mean reversion
 
-def reversion_parts(horizon: int) -> dict[str, Column]:
+def _as_column(horizon: int | Column) -> Column:
+    return F.lit(horizon) if isinstance(horizon, int) else horizon
+
+
+def reversion_parts(horizon: int | Column) -> dict[str, Column]:
     """mid probability, mid confidence, blend weight and cross confirmation."""
     score = F.col("score")
-    confirmed = (F.col("cross_ret20").isNotNull() & ((score > 0) == (F.col("cross_ret20") > 0))
-                 if horizon >= 30 else F.lit(False))
+    confirmed = ((_as_column(horizon) >= 30) & F.col("cross_ret20").isNotNull()
+                 & ((score > 0) == (F.col("cross_ret20") > 0)))
     mid = 0.5 + 0.06 * X.clip(score, -2.0, 2.0)
     mid = X.clip(F.when(confirmed, 0.5 + (mid - 0.5) * 1.2).otherwise(mid), 0.0, 1.0)
-    return {"mid": mid, "mid_conf": F.greatest(mid, 1 - mid),
-            "blend": X.clip(F.col("strength") - 1.0, 0.0, 1.0),
-            "confirmed": F.coalesce(confirmed, F.lit(False)).cast("int")}
+    return {"mid": mid, "blend": X.clip(F.col("strength") - 1.0, 0.0, 1.0),
+            "mr_confirmed": F.coalesce(confirmed, F.lit(False)).cast("int")}
+
 
+def reversion_decision(rows: DataFrame, base: Column) -> DataFrame:
+    """Adds the reversion decision to long rows with a ``horizon`` column.
 
-def reversion_decision(horizon: int, base_conf: Column) -> dict[str, Column]:
-    """pred, conf (3 digits), prob_up, signal and confirms; flat (0, .5) on invalid rows."""
-    part = reversion_parts(horizon)
+    mid_conf, blend, mr_pred, mr_conf, mr_up, mr_signal, mr_confirms; flat (0, .5) on
+    invalid rows. ``base`` is the calibrated rate that strong scores blend towards.
+    """
     valid, strong = F.col("is_valid"), F.col("strength") >= 1.0
-    conf = part["mid_conf"] * (1 - part["blend"]) + base_conf * part["blend"]
-    up = F.when(~strong, part["mid"]).when(F.col("score") > 0, conf).otherwise(1 - conf)
-    return {"pred": F.when(valid & (up > 0.5), 1).otherwise(0),
-            "conf": F.when(valid, F.round(conf, 3)).otherwise(0.5),
-            "prob_up": F.when(valid, F.round(up, 3)).otherwise(0.5),
-            "signal": F.when(valid, F.when(strong, "meanrev_strong").otherwise("meanrev_medium"))
-                       .otherwise("flat"),
-            "confirms": F.when(valid, part["confirmed"])}
+    df = rows.withColumns(reversion_parts(F.col("horizon")))
+    df = df.withColumn("mid_conf", F.greatest("mid", 1 - F.col("mid")))
+    df = df.withColumn("_mr", F.col("mid_conf") * (1 - F.col("blend")) + base * F.col("blend"))
+    df = df.withColumn("_up", F.when(~strong, F.col("mid")).when(F.col("score") > 0, F.col("_mr"))
+                       .otherwise(1 - F.col("_mr")))
+    return df.withColumns({
+        "mr_pred": F.when(valid & (F.col("_up") > 0.5), 1).otherwise(0),
+        "mr_conf": F.when(valid, F.round("_mr", 3)).otherwise(0.5),
+        "mr_up": F.when(valid, F.col("_up")).otherwise(0.5),
+        "mr_signal": F.when(valid, F.when(strong, "meanrev_strong").otherwise("meanrev_medium"))
+                      .otherwise("flat"),
+        "mr_confirms": F.when(valid, F.col("mr_confirmed"))}).drop("_mr", "_up", "mid", "mr_confirmed")
+
+
+def strong_first(horizon: int | Column) -> Column:
+    """Horizons in [30, 90) prefer a strong reversion over the market spread."""
+    n = _as_column(horizon)
+    return F.coalesce((n >= 30) & (n < 90) & F.col("is_valid") & (F.col("strength") >= 1.0),
+                      F.lit(False))
 
 
-def strong_first(horizon: int) -> Column:
-    """Horizons in [30, 90) prefer a strong reversion over the market spread."""
-    if not 30 <= horizon < 90:
-        return F.lit(False)
-    return F.col("is_valid") & (F.col("strength") >= 1.0)
+def per_horizon(df: DataFrame, horizons, cols: list[str], **values) -> DataFrame:
+    """One row per horizon: the ``cols``, ``horizon`` and per-horizon values (name -> function
+    of the horizon). Decisions are then written once, not once per horizon."""
+    cells = F.array(*[F.struct(F.lit(n).alias("horizon"),
+                               *[_value(fn(n)).alias(k) for k, fn in values.items()])
+                      for n in horizons])
+    return df.select(*cols, F.explode(cells).alias("_h")).select(*cols, "_h.*")
+
+
+def _value(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
 
 
 # -------------------------------------------------------------- direction walk-forward
@@ -134,24 +157,22 @@ def direction_decisions(inputs: DataFrame, horizons=P.HORIZONS, by=SERIES) -> Da
                                         F.col("_zb")).items():
             rates[f"rate_{n}_{b}"] = rate
     df = df.withColumns(rates)
-    rows = []
-    for n in horizons:
-        rev = reversion_decision(n, F.lit(P.DEFAULT_REVERSION_RATE[n]))
-        part = reversion_parts(n)
-        strong = strong_first(n)
-        conf = X.confidence7(az, {b: F.col(f"rate_{n}_{b}") for b in P.Z7_BUCKETS})
-        signal = F.when(strong, "meanrev_strong").when(z.isNotNull(), "moex_dev") \
-            .otherwise("mean_rev")
-        market = ~strong & z.isNotNull()
-        rows.append(F.struct(
-            F.lit(n).alias("horizon"), signal.alias("signal"),
-            F.when(market, up).otherwise(rev["pred"]).alias("pred"),
-            F.when(market, conf).otherwise(rev["conf"]).alias("conf"),
-            F.col(f"actual_{n}").alias("actual"), part["mid_conf"].alias("mid_conf"),
-            part["blend"].alias("blend"), F.col("score").alias("score")))
-    long = (df.where(F.col("t") >= F.col("first_row"))
-            .select(*by, "date", "t", F.explode(F.array(*rows)).alias("d"))
-            .select(*by, "date", "t", "d.*").where(F.col("actual").isNotNull()))
+    df = df.where(F.col("t") >= F.col("first_row"))
+    long = per_horizon(
+        df, horizons, [*by, "date", "t", "z", "is_valid", "score", "strength", "cross_ret20"],
+        actual=lambda n: F.col(f"actual_{n}"), base=P.DEFAULT_REVERSION_RATE.get,
+        **{f"rate_{b}": (lambda n, b=b: F.col(f"rate_{n}_{b}")) for b in P.Z7_BUCKETS})
+    long = reversion_decision(long.where(F.col("actual").isNotNull()), F.col("base"))
+    strong = strong_first(F.col("horizon"))
+    market = ~strong & z.isNotNull()
+    conf = X.confidence7(az, {b: F.col(f"rate_{b}") for b in P.Z7_BUCKETS})
+    long = long.select(
+        *by, "date", "t", "horizon",
+        F.when(strong, "meanrev_strong").when(z.isNotNull(), "moex_dev").otherwise("mean_rev")
+        .alias("signal"),
+        F.when(market, up).otherwise(F.col("mr_pred")).alias("pred"),
+        F.when(market, conf).otherwise(F.col("mr_conf")).alias("conf"),
+        "actual", "mid_conf", "blend", "score")
     if not any(30 <= n < 90 for n in horizons):
         return long.drop("mid_conf", "blend", "score")
     keep = [c for c in long.columns if c not in ("mid_conf", "blend", "score")]

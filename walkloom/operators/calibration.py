@@ -22,11 +22,10 @@ def bucket_counts(inputs: DataFrame, horizons=P.HORIZONS, by=SERIES) -> DataFram
     """(series, horizon, bucket, hits, n) of market-spread rows; all four buckets present."""
     df = J.forward_outcome(inputs, horizons, by).where(F.col("t") >= F.col("first_row"))
     z = F.col("z")
-    rows = F.array(*[F.struct(
-        F.lit(n).alias("horizon"), F.col(f"actual_{n}").alias("actual"),
-        (z.isNotNull() & ~B.strong_first(n)).alias("is_market")) for n in horizons])
-    long = (df.select(*by, "z", F.explode(rows).alias("d")).select(*by, "z", "d.*")
-            .where(F.col("actual").isNotNull()))
+    long = B.per_horizon(df, horizons, [*by, "z", "is_valid", "strength"],
+                         actual=lambda n: F.col(f"actual_{n}"))
+    long = long.where(F.col("actual").isNotNull()).withColumn(
+        "is_market", z.isNotNull() & ~B.strong_first(F.col("horizon")))
     hit = F.when(z > 0, 1).otherwise(0) == F.col("actual")
     zb = X.z_bucket7(z)
     mine = lambda b: F.col("is_market") & (zb == b)
@@ -86,14 +85,11 @@ def reversion_rates(inputs: DataFrame, horizons=P.HORIZONS, by=SERIES) -> DataFr
     """Hit rate of strong-reversion rows with default confidence; rate NULL below 20 cases."""
     df = J.forward_outcome(inputs, horizons, by).where(
         (F.col("t") >= F.col("first_row")) & F.col("is_valid") & (F.col("strength") >= 1.0))
-    rows = F.array(*[F.struct(
-        F.lit(n).alias("horizon"), F.col(f"actual_{n}").alias("actual"),
-        B.reversion_decision(n, F.lit(P.DEFAULT_REVERSION_RATE[n]))["pred"].alias("pred"))
-        for n in horizons])
-    long = (df.select(*by, F.explode(rows).alias("d")).select(*by, "d.*")
-            .where(F.col("actual").isNotNull()))
+    long = B.per_horizon(df, horizons, [*by, "score", "strength", "is_valid", "cross_ret20"],
+                         actual=lambda n: F.col(f"actual_{n}"), base=P.DEFAULT_REVERSION_RATE.get)
+    long = B.reversion_decision(long.where(F.col("actual").isNotNull()), F.col("base"))
     return (long.groupBy(*by, "horizon")
-            .agg(F.count_if(F.col("pred") == F.col("actual")).alias("hits"),
+            .agg(F.count_if(F.col("mr_pred") == F.col("actual")).alias("hits"),
                  F.count(F.lit(1)).alias("n"))
             .withColumn("rate", F.when(F.col("n") >= P.MIN_BUCKET_N,
                                        F.round(F.col("hits") / F.col("n"), 4))))

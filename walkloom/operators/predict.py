@@ -27,51 +27,37 @@ def market_direction(inputs: DataFrame, horizons=P.HORIZONS, by=SERIES,
     calibration tables; without them the built-in defaults apply.
     """
     z = F.col("z")
-    rows = []
-    for n in horizons:
-        strong = B.strong_first(n)
-        part = B.reversion_parts(n)
-        rows.append(F.struct(
-            F.lit(n).alias("horizon"), strong.alias("strong_first"),
-            part["mid"].alias("mid"), part["mid_conf"].alias("mid_conf"),
-            part["blend"].alias("blend"), part["confirmed"].alias("mr_confirms"),
-            *[F.lit(P.DEFAULT_BUCKET_RATE[n][b]).alias(f"d_{b}") for b in P.Z7_BUCKETS],
-            F.lit(P.DEFAULT_REVERSION_RATE[n]).alias("d_mr")))
-    cols = [*by, "date", "z", "score", "strength", "is_valid"]
-    cols += ["confirms"] if "confirms" in inputs.columns else []
-    df = inputs.select(*cols, F.explode(F.array(*rows)).alias("d")).select(*cols, "d.*")
+    shown = [*by, "date", "z", "score", "strength", "is_valid"]
+    shown += ["confirms"] if "confirms" in inputs.columns else []
+    df = B.per_horizon(inputs, horizons, [*shown, "cross_ret20"],
+                       d_mr=P.DEFAULT_REVERSION_RATE.get,
+                       **{f"d_{b}": (lambda n, b=b: P.DEFAULT_BUCKET_RATE[n][b]) for b in P.Z7_BUCKETS})
     keys = [*by, "horizon"]
+    rate = {b: F.col(f"d_{b}") for b in P.Z7_BUCKETS}
     if rates is not None:
-        wide = rates.groupBy(*keys).pivot("bucket", list(P.Z7_BUCKETS)).agg(F.first("rate"))
-        wide = wide.select(*keys, *[F.col(b).alias(f"c_{b}") for b in P.Z7_BUCKETS])
+        wide = rates.groupBy(*keys).agg(*[
+            F.max(F.when(F.col("bucket") == b, F.col("rate"))).alias(f"c_{b}") for b in P.Z7_BUCKETS])
         df = df.join(wide, keys, "left")
         rate = {b: F.coalesce(f"c_{b}", f"d_{b}") for b in P.Z7_BUCKETS}
-    else:
-        rate = {b: F.col(f"d_{b}") for b in P.Z7_BUCKETS}
     base = F.col("d_mr")
     if reversion is not None:
         df = df.join(reversion.select(*keys, F.col("rate").alias("c_mr")), keys, "left")
         base = F.coalesce("c_mr", "d_mr")
-    valid, strong = F.col("is_valid"), F.col("strength") >= 1.0
-    mr_conf = F.col("mid_conf") * (1 - F.col("blend")) + base * F.col("blend")
-    mr_up = F.when(~strong, F.col("mid")).when(F.col("score") > 0, mr_conf).otherwise(1 - mr_conf)
-    is_market = ~F.col("strong_first") & z.isNotNull()
-    conf7 = X.confidence7(F.abs("z"), rate)
-    pred = F.when(is_market, F.when(z > 0, 1).otherwise(0)).otherwise(
-        F.when(valid & (mr_up > 0.5), 1).otherwise(0))
-    up = F.when(is_market, F.when(z > 0, conf7).otherwise(1 - conf7)).otherwise(
-        F.when(valid, mr_up).otherwise(0.5))
+    strong = B.strong_first(F.col("horizon"))
+    market = ~strong & z.isNotNull()
+    df = B.reversion_decision(df, base).withColumn("_c7", X.confidence7(F.abs("z"), rate))
+    df = df.withColumn("_pu", F.when(market, F.when(z > 0, F.col("_c7")).otherwise(1 - F.col("_c7")))
+                       .otherwise(F.col("mr_up")))
     out = {
-        "signal": F.when(F.col("strong_first"), "meanrev_strong")
-                   .when(z.isNotNull(), "moex_dev").otherwise("mean_rev"),
-        "prediction": pred,
-        "confidence": F.when(is_market, conf7).otherwise(
-            F.when(valid, F.round(mr_conf, 3)).otherwise(0.5)),
-        "prob_up": F.round(up, 3), "prob_down": F.round(1 - up, 3),
-        "z_bucket": F.when(is_market, X.z_bucket7(z)),
-        "weak_signal": F.when(is_market, F.abs("z") < P.WEAK_Z),
+        "signal": F.when(strong, "meanrev_strong").when(z.isNotNull(), "moex_dev")
+                   .otherwise("mean_rev"),
+        "prediction": F.when(market, F.when(z > 0, 1).otherwise(0)).otherwise(F.col("mr_pred")),
+        "confidence": F.when(market, F.col("_c7")).otherwise(F.col("mr_conf")),
+        "prob_up": F.round("_pu", 3), "prob_down": F.round(1 - F.col("_pu"), 3),
+        "z_bucket": F.when(market, X.z_bucket7(z)),
+        "weak_signal": F.when(market, F.abs("z") < P.WEAK_Z),
     }
-    return df.withColumns(out).select(*cols, "horizon", *out)
+    return df.withColumns(out).select(*shown, "horizon", *out)
 
 
 def long_now(signals: DataFrame, report: DataFrame, gates: DataFrame, buckets: DataFrame,

@@ -490,14 +490,14 @@ _mr_union = " UNION ALL ".join(
 @query("sig_meanrev_direction", Q.query(
     f"SELECT series_id, date, horizon, prediction, {r('confidence', 'prob_up')}, signal, confirms FROM ({_mr_union})", "din"))
 def sig_meanrev_direction(spark, d):
-    df = directions_input(spark, d)
-    cells = []
-    for n in P.HORIZONS:
-        x = B.reversion_decision(n, F.lit(P.DEFAULT_REVERSION_RATE[n]))
-        cells.append(F.struct(F.lit(n).alias("horizon"), x["pred"].alias("prediction"),
-                              x["conf"].alias("confidence"), x["prob_up"].alias("prob_up"),
-                              x["signal"].alias("signal"), x["confirms"].alias("confirms")))
-    return report(df.select(*KEYS, F.explode(F.array(*cells)).alias("x")).select(*KEYS, "x.*"))
+    long = B.per_horizon(directions_input(spark, d), P.HORIZONS,
+                         [*KEYS, "score", "strength", "is_valid", "cross_ret20"],
+                         base=P.DEFAULT_REVERSION_RATE.get)
+    out = B.reversion_decision(long, F.col("base"))
+    return report(out.select(*KEYS, "horizon", F.col("mr_pred").alias("prediction"),
+                             F.col("mr_conf").alias("confidence"),
+                             F.round("mr_up", 3).alias("prob_up"), F.col("mr_signal").alias("signal"),
+                             F.col("mr_confirms").alias("confirms")))
 
 
 _dir_cols = ("series_id, date, horizon, signal, prediction, "
