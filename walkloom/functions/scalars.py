@@ -134,16 +134,20 @@ def binary_label(r: Column) -> Column:
 def lexicon_score(text: Column, positive: list[str], negative: list[str]) -> Column:
     """(positive - negative) / words over runs of [a-z]; 0 for a text without words.
 
-    Lexicon words are counted as whole runs by the regex engine, so only matching words are
-    materialised, not the token list of a long text once per lexicon.
+    The text is first reduced to its words with single blanks between them, so words are
+    counted from lengths and only lexicon hits are materialised, not the token list. The
+    reduced text appears several times without a branch around it, which lets the generated
+    code compute it once.
     """
-    low = F.lower(text)
+    words_only = F.trim(F.regexp_replace(F.lower(text), "[^a-z]+", " "))
+    padded = F.concat(F.lit(" "), words_only, F.lit(" "))
 
     def hits(lexicon: list[str]) -> Column:
-        return F.regexp_count(low, F.lit(f"(?<![a-z])(?:{'|'.join(sorted(lexicon))})(?![a-z])"))
+        return F.regexp_count(padded, F.lit(f" (?:{'|'.join(sorted(lexicon))})(?= )"))
 
-    words = F.regexp_count(low, F.lit("[a-z]+"))
-    return F.when(words > 0, (hits(positive) - hits(negative)) / words).otherwise(0.0)
+    blanks = F.length(words_only) - F.length(F.replace(words_only, F.lit(" "), F.lit("")))
+    words = blanks + (F.length(words_only) > 0).cast("int")
+    return F.coalesce(F.try_divide(hits(positive) - hits(negative), words), F.lit(0.0))
 
 
 def parse_feed_date(text: Column, run_date: Column) -> Column:
