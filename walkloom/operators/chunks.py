@@ -20,7 +20,7 @@ from walkloom.functions.frames import SERIES
 CHUNK = "chunk"
 
 
-def _offsets(per_span: DataFrame, by: list[str], span: str, cols: list[str]) -> DataFrame:
+def offsets(per_span: DataFrame, by: list[str], span: str, cols: list[str]) -> DataFrame:
     """Exclusive prefix sums over the spans of each series (one row per span)."""
     w = Window.partitionBy(*by).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
     return per_span.select(*by, span, *[
@@ -35,7 +35,7 @@ def row_ids(df: DataFrame, span: Column, by=SERIES, order: str = "date") -> Data
     by = list(by)
     df = df.withColumn("_span", span)
     counts = df.groupBy(*by, "_span").agg(F.count(F.lit(1)).alias("rows"))
-    before = _offsets(counts, by, "_span", ["rows"])
+    before = offsets(counts, by, "_span", ["rows"])
     local = F.row_number().over(Window.partitionBy(*by, "_span").orderBy(order)) - 1
     return (df.withColumn("_local", local).join(before, [*by, "_span"])
             .withColumn("t", (F.col("_local") + F.col("_before_rows")).cast("int"))
@@ -65,7 +65,7 @@ def running_totals(df: DataFrame, cols: list[str], chunk_rows: int, by=SERIES) -
     by = list(by)
     df = df.withColumn("_span", F.floor(F.col("t") / chunk_rows))
     totals = df.groupBy(*by, "_span").agg(*[F.sum(c).alias(c) for c in cols])
-    before = _offsets(totals, by, "_span", cols)
+    before = offsets(totals, by, "_span", cols)
     w = Window.partitionBy(*by, "_span").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumns({f"_in_{c}": F.sum(c).over(w) for c in cols}).join(before, [*by, "_span"])
     return out.withColumns({

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from walkloom import params as P
 from walkloom.functions import scalars as X
 from walkloom.functions.frames import SERIES, series_window, upto
 from walkloom.operators import backtest as B
+from walkloom.operators import chunks
 from walkloom.operators import joins as J
 from walkloom.operators import signals as S
 from walkloom.operators.medians import expanding_median
 
 QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
+PROB_SLICES = 4096
 LAYERS = ("year", "era", "vol_regime", "trend_regime", "market_at_t")
 
 
@@ -30,9 +32,9 @@ def labels(df: DataFrame, horizon: int = P.LABEL_HORIZON, by=SERIES) -> DataFram
 
 
 def label_rows(df: DataFrame, market: DataFrame | None = None, horizon: int = P.LABEL_HORIZON,
-               split_year: int = 2021, by=SERIES) -> DataFrame:
+               split_year: int = 2021, jump: float = P.JUMP_THRESHOLD, by=SERIES) -> DataFrame:
     """Labelable rows with contamination flag and layers: year, era, regimes, market."""
-    out = S.trend_regime(S.high_vol(S.jumps(df, by), by), by)
+    out = S.trend_regime(S.high_vol(S.jumps(df, by, jump), by), by)
     out = J.interval_contaminated(labels(out, horizon, by), F.col("edge"), horizon, by)
     vol = F.when((F.col("t") < P.REGIME_WINDOW) | F.col("vol20p").isNull(), "unknown_warmup") \
         .when(F.col("high_vol"), "high_vol").otherwise("normal_vol")
@@ -192,18 +194,21 @@ def class_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
     """n, hit, ROC-AUC and Brier per group of (y, prob).
 
     The AUC is the rank-sum statistic with average ranks. Equal probabilities are counted
-    first, so the ranking runs over distinct values.
+    first; ranks are made in two levels, inside slices of the probability range and over one
+    row per slice, so a group of any size never sits in a single task.
     """
-    from pyspark.sql import Window
     p, y = F.col("prob"), F.col("y")
     basic = scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg((F.when(p >= 0.5, 1).otherwise(0) == y).cast("double")), 6).alias("hit"),
         F.round(F.avg((p - y) * (p - y)), 6).alias("brier"))
-    ties = scored.groupBy(*keys, "prob").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("pos"))
-    w = Window.partitionBy(*keys).orderBy("prob")
-    below = F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("avg_rank", below + (F.col("c") + 1) / 2.0)
+    ties = (scored.groupBy(*keys, "prob").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("pos"))
+            .withColumn("_slice", F.floor(p * PROB_SLICES)))
+    per_slice = ties.groupBy(*keys, "_slice").agg(F.sum("c").alias("rows"))
+    ties = ties.join(chunks.offsets(per_slice, keys, "_slice", ["rows"]), [*keys, "_slice"])
+    w = Window.partitionBy(*keys, "_slice").orderBy("prob")
+    inside = F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ties.withColumn("avg_rank", F.col("_before_rows") + inside + (F.col("c") + 1) / 2.0)
     pos, neg = F.sum("pos"), F.sum(F.col("c") - F.col("pos"))
     auc = F.try_divide(F.sum(F.col("avg_rank") * F.col("pos")) - pos * (pos + 1) / 2.0, pos * neg)
     return basic.join(ranked.groupBy(*keys).agg(F.round(auc, 6).alias("auc")), keys)

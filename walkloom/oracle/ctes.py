@@ -464,7 +464,7 @@ SELECT a.series_id, a.date, a.t, (lead(a.price, 30) OVER wa - a.price) / a.price
     WHEN lag(a.price, 60) OVER wa IS NOT NULL THEN 'sideways' ELSE 'unknown_warmup' END AS trend_regime,
   CASE WHEN a.close IS NOT NULL THEN 'yes' ELSE 'no' END AS market_at_t,
   coalesce(max(edge::int) OVER (PARTITION BY a.series_id ORDER BY a.date ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) = 1, false) AS contaminated
-FROM (SELECT *, abs(ln(lead(price) OVER ({W})) - ln(price)) > 0.20 AS edge FROM al) a
+FROM (SELECT *, abs(ln(lead(price) OVER ({W})) - ln(price)) > 1.8 AS edge FROM al) a
 JOIN hv h ON h.series_id = a.series_id AND h.t = a.t
 WINDOW wa AS (PARTITION BY a.series_id ORDER BY a.date)) WHERE r_fwd IS NOT NULL""")
 
