@@ -30,32 +30,35 @@ from walkloom.sources import panel
 from walkloom.streaming import live
 
 SERIES = "c_nationkey"
+# steps whose result is written out and used by later steps
+SHARED = ("align_panel", "direction_inputs", "long_signals")
 
 
 def headline(spark, d):
-    """name -> function returning the result DataFrame, in the order of a daily update."""
+    """(steps, shared): name -> function returning the result DataFrame, in the order of a daily
+    update, and the tables the steps share."""
     # tables read back from disk get their series partitioning again
     full = lambda: by_series(session.materialise(R.full_base(spark, d, SERIES), "bench-base"))
     base = {}
 
     def aligned():
-        if "full" not in base:
-            base["full"] = full()
-        return base["full"]
+        if "align_panel" not in base:
+            base["align_panel"] = full()
+        return base["align_panel"]
 
     def inputs():
-        if "inputs" not in base:
-            base["inputs"] = by_series(session.materialise(B.direction_inputs(aligned()).select(
+        if "direction_inputs" not in base:
+            base["direction_inputs"] = by_series(session.materialise(B.direction_inputs(aligned()).select(
                 "series_id", "date", "t", "price", "z", "z_own", "score", "strength", "is_valid",
                 "first_row", "cross_ret20"), "bench-inputs"))
-        return base["inputs"]
+        return base["direction_inputs"]
 
     def signals():
-        if "signals" not in base:
-            base["signals"] = by_series(session.materialise(S.long_signals(aligned()).select(
+        if "long_signals" not in base:
+            base["long_signals"] = by_series(session.materialise(S.long_signals(aligned()).select(
                 "series_id", "date", "t", "price", "rev", "z60", "gate", "breakout", "extreme",
                 "bucket"), "bench-signals"))
-        return base["signals"]
+        return base["long_signals"]
 
     def decisions():
         return B.long_decisions(signals())
@@ -76,7 +79,7 @@ def headline(spark, d):
             "daily_vol")
         return PJ.project(session.materialise(seven.unionByName(longer), "bench-now"), bases)
 
-    return {
+    steps = {
         "align_panel": aligned,
         "features_35": lambda: feat.build(aligned()).select("series_id", "date", *feat.ALL),
         "direction_inputs": inputs,
@@ -97,6 +100,7 @@ def headline(spark, d):
         "lexicon_scores": lambda: R.sentiment(spark, d),
         "minute_bars": lambda: live.minute_bars(panel.table(spark, d, "events")),
     }
+    return steps, base
 
 
 def main():
@@ -105,19 +109,23 @@ def main():
     spark = session.build(f"local[{cpus}]", shuffle_partitions=cpus)
     # one untimed job starts the executor threads and the Python worker pool
     spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().collect()
-    timings, rows = {}, {}
-    for name, fn in headline(spark, d).items():
-        t0 = time.time()
-        df = fn()
-        if name not in ("align_panel", "direction_inputs", "long_signals"):
-            df.write.format("noop").mode("overwrite").save()
-        timings[name] = round(time.time() - t0, 3)
+    timings, cold, rows = {}, {}, {}
+    queries, shared = headline(spark, d)
+    for name, fn in queries.items():
+        # first run: class loading, code generation; second run: the steady state
+        for run in (cold, timings):
+            shared.pop(name, None)
+            t0 = time.time()
+            df = fn()
+            if name not in SHARED:
+                df.write.format("noop").mode("overwrite").save()
+            run[name] = round(time.time() - t0, 3)
         if name == "align_panel":
             rows["panel_rows"] = df.count()
     backtest = sum(timings[k] for k in ("features_35", "backtest_direction_4_horizons"))
     print(json.dumps({
         "metric": "daily_update_total", "value": round(sum(timings.values()), 3), "unit": "sec",
-        "queries": timings, "sf": os.path.basename(d.rstrip("/")), **rows,
+        "queries": timings, "cold": cold, "sf": os.path.basename(d.rstrip("/")), **rows,
         "backtest_rows_per_sec": round(rows["panel_rows"] / backtest, 1)}))
 
 
