@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkloom.llm import langid, mixing, quality, toxicity
+from walkloom.llm import decontam, langid, license, license_rules, minhash, mixing, quality, toxicity
 from walkloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,86 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, d, "labels"))
     return toxicity.score(docs, model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"),
                                               "score", "predicted")
+
+
+_WORDS = r"regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _op1_sql() -> str:
+    values = ", ".join("({}, '{}', {}, '{}', '{}')".format(n, label, level, word, f"^({pattern})(?: |$)".replace("'", "''"))
+                       for n, (label, level, pattern) in enumerate(license.rule_table())
+                       for word in license_rules.keywords(pattern))
+    conf = " ".join(f"WHEN {k} THEN CAST({c} AS DOUBLE)" for k, c in license.CONFIDENCE.items())
+    return f"""
+WITH r(rule, label, level, word, x) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+m AS (SELECT rid, i - 1 AS start, rule, label, level,
+        regexp_extract(array_to_string(w[i:i + {license_rules.REACH - 1}], ' '), x, 1) AS m
+      FROM p JOIN r ON r.word = w[i]),
+f AS (SELECT rid, start, start + len(string_split(m, ' ')) AS stop, rule, label, level FROM m WHERE m <> ''),
+k AS (SELECT a.* FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.rid = a.rid AND b.start <= a.start AND b.stop >= a.stop
+        AND b.level >= a.level AND (b.start < a.start OR b.stop > a.stop OR b.level > a.level OR b.rule < a.rule))),
+b AS (SELECT rid, COUNT(*) AS n_base, MIN(start) AS first_word, MAX(start) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM f WHERE rule < {len(license.BASE)} GROUP BY rid),
+l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (
+        SELECT rid, label FROM k UNION SELECT rid, label FROM f WHERE rule < {len(license.BASE)}) GROUP BY rid),
+s AS (SELECT rid, MAX(level) AS top FROM k GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n_base, 0) AS BIGINT) AS n_base,
+  CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  COALESCE(base_labels, '') AS base_labels, COALESCE(labels, '') AS labels,
+  CASE top {conf} ELSE CAST(0 AS DOUBLE) END AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN l USING (rid) LEFT JOIN s USING (rid)
+"""
+
+
+@_register("op1_license_scan", _op1_sql())
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return license.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                                     "base_labels", "labels", "score")
+
+
+_OP6 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh
+      FROM (SELECT doc_id, w, unnest(range(1, GREATEST(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, g.b FROM r JOIN g ON g.a = r.m),
+c AS (SELECT doc_id, MIN(m) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
+
+
+@_register("op6_minhash_dedup", _OP6)
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
+
+
+_OP9 = f"""
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, L, array_to_string(w[i:i + L - 1], ' ') AS g FROM (
+        SELECT item_id, w, LEAST(10, len(w)) AS L, unnest(range(1, GREATEST(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+ng AS (SELECT rid, i, L, array_to_string(w[i:i + L - 1], ' ') AS g FROM (
+        SELECT rid, w, L, unnest(range(1, len(w) - L + 2)) AS i
+        FROM d JOIN (SELECT DISTINCT L FROM iw) q ON len(w) >= L)),
+h AS (SELECT DISTINCT rid, i, ng.L AS L, item_id FROM ng JOIN iw ON iw.L = ng.L AND iw.g = ng.g),
+k AS (SELECT rid, COUNT(DISTINCT x) AS n_hit FROM (SELECT rid, unnest(range(i, i + L)) AS x FROM h) GROUP BY rid),
+t AS (SELECT rid, COUNT(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+      FROM h WHERE item_id IS NOT NULL GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items, sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN k USING (rid) LEFT JOIN t USING (rid)
+"""
+
+
+@_register("op9_decontaminate", _OP9)
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return decontam.decontaminate(docs, table(spark, d, "benchmark")).drop("_h")
