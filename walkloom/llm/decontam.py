@@ -169,3 +169,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, anchors
         F.size(items_of).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items_of), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "_h")
+
+
+def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, anchors: int = ANCHORS,
+          limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows that contain a window of an item."""
+    exact, _ = phrase_matches(docs, items, size, anchors, limit)
+    hit = cut(exact.select(*KEY).distinct(), "decontam-hit")
+    rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+                             "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return rows.join(_small(hit, limit), list(KEY), "left_anti").select(docs.columns)

@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkloom.llm import decontam, langid, license, license_rules, minhash, mixing, quality, toxicity
-from walkloom.llm.common import fold, table
+from walkloom.llm import (
+    ann,
+    decontam,
+    langid,
+    license,
+    license_rules,
+    minhash,
+    mixing,
+    quality,
+    toxicity,
+    urlfilter,
+    warc,
+)
+from walkloom.llm.common import fold, fresh_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +169,82 @@ FROM d LEFT JOIN k USING (rid) LEFT JOIN t USING (rid)
 def op9(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return decontam.decontaminate(docs, table(spark, d, "benchmark")).drop("_h")
+
+
+def _crc(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def url_lists(pages: DataFrame) -> DataFrame:
+    """A dated list history over the hosts, domains and paths that ``pages`` has: hash rules decide
+    what is listed, when, in which category, and whether it is removed and added again."""
+    keys = (pages.select(F.explode(urlfilter.keys_of(F.col("url"))).alias("k")).select("k.kind", "k.key").distinct()
+            .withColumn("x", _crc(F.concat_ws(":", "kind", "key")))
+            .where(F.col("x") % F.when(F.col("kind") == "host", 3).when(F.col("kind") == "domain", 5).otherwise(7) == 0))
+    first = F.lit("2024-01-01").cast("date")
+    n = lambda c: c.cast("int")
+    x = F.col("x")
+    dated = keys.select("kind", "key", F.get(F.array(F.lit("ads"), F.lit("malware"), F.lit("adult")), n(F.floor(x / 11) % 3)).alias("category"),
+                        F.date_add(first, n(F.floor(x / 64) % 365)).alias("d1"), x)
+    dated = dated.withColumn("d2", F.date_add("d1", n(30 + F.floor(x / 32) % 200))).withColumn("d3", F.date_add("d2", 20))
+    row = lambda action, day: F.struct(F.lit(action).alias("action"), F.col(day).alias("day"))
+    history = F.when(x % 2 == 1, F.array(row("add", "d1"))).when(x % 5 > 1, F.array(row("add", "d1"), row("remove", "d2"))).otherwise(
+        F.array(row("add", "d1"), row("remove", "d2"), row("add", "d3")))
+    return dated.select("kind", "key", "category", F.explode(history).alias("e")).select(
+        "kind", "key", "category", "e.action", "e.day")
+
+
+_OP3 = r"""
+WITH c AS (SELECT DISTINCT page_id, url, DATE '2024-01-01' + CAST(CAST('0x' || substr(md5('fetch-' || COALESCE(CAST(page_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 540 AS INTEGER) AS day,
+        lower(regexp_extract(COALESCE(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
+        list_filter(string_split(regexp_extract(COALESCE(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
+k AS (SELECT page_id, url, day, 'host' AS kind, host AS key FROM c WHERE host <> ''
+  UNION SELECT page_id, url, day, 'domain', array_to_string(l[i:], '.') FROM (SELECT *, unnest(range(1, len(l))) AS i FROM (SELECT *, string_split(host, '.') AS l FROM c WHERE host <> ''))
+  UNION SELECT page_id, url, day, 'prefix', host || '/' || array_to_string(parts[1:i], '/') FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM c WHERE host <> '')),
+x AS (SELECT DISTINCT kind, key, CAST('0x' || substr(md5(kind || ':' || key), 1, 8) AS BIGINT) AS x FROM k),
+y AS (SELECT *, CASE (x // 11) % 3 WHEN 0 THEN 'ads' WHEN 1 THEN 'malware' ELSE 'adult' END AS category,
+        DATE '2024-01-01' + CAST((x // 64) % 365 AS INTEGER) AS d1 FROM x
+      WHERE x % CASE kind WHEN 'host' THEN 3 WHEN 'domain' THEN 5 ELSE 7 END = 0),
+z AS (SELECT *, d1 + CAST(30 + (x // 32) % 200 AS INTEGER) AS d2 FROM y),
+e AS (SELECT kind, key, category, 'add' AS action, d1 AS day FROM z
+  UNION ALL SELECT kind, key, category, 'remove', d2 FROM z WHERE x % 2 = 0
+  UNION ALL SELECT kind, key, category, 'add', d2 + 20 FROM z WHERE x % 2 = 0 AND x % 5 <= 1),
+a AS (SELECT k.page_id, k.url, k.day, k.kind, k.key, category, arg_max(action, e.day) AS state
+      FROM k JOIN e ON e.kind = k.kind AND e.key = k.key AND e.day <= k.day GROUP BY ALL),
+v AS (SELECT page_id, url, day, COUNT(*) AS n_active, string_agg(DISTINCT category, ',' ORDER BY category) AS categories,
+        arg_max(key, (CASE kind WHEN 'domain' THEN 1 WHEN 'host' THEN 2 ELSE 3 END, length(key), key)) AS rule
+      FROM a WHERE state = 'add' GROUP BY ALL)
+SELECT c.page_id, c.url, c.day, CAST(COALESCE(n_active, 0) AS BIGINT) AS n_active, COALESCE(categories, '') AS categories, rule,
+  COALESCE(n_active, 0) > 0 AS blocked
+FROM c LEFT JOIN v ON v.page_id IS NOT DISTINCT FROM c.page_id AND v.url IS NOT DISTINCT FROM c.url AND v.day = c.day
+"""
+
+
+@_register("op3_url_filter", _OP3)
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (_crc(F.concat(
+        F.lit("fetch-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))) % 540).cast("int"))
+    return urlfilter.evaluate(pages.withColumn("day", fetched), url_lists(pages))
+
+
+@_register("op4_nearest_neighbours")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return ann.search(table(spark, d, "embeddings").select("vec_id", "embedding"))
+
+
+_OP8 = """
+WITH p AS (SELECT page_id, CAST(strlen(COALESCE(html, '')) AS BIGINT) AS n, sha1(COALESCE(html, '')) AS h FROM pages),
+m AS (SELECT h, MAX(page_id) AS last FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, p.h AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM p LEFT JOIN m ON m.h = p.h
+"""
+
+
+@_register("op8_warc", _OP8)
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_dir(spark, "warc")
+    warc.archive(table(spark, d, "pages").select("page_id", "url", "html"), path)
+    return warc.captures(spark, path)
