@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkloom.llm import mixing, quality, toxicity
+from walkloom.llm import decontam, minhash, mixing, quality, toxicity
 from walkloom.llm.common import cut, table
 
 
@@ -25,12 +25,28 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.score(docs, model).where(F.col("predicted") == 0).select(docs.columns)
 
 
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates stays, the one with the smallest id."""
+    return minhash.deduplicate(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a window of a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
+    """Every document as often as the mix of sources takes it, with the number of the copy."""
     return mixing.emit(mixing.mix(docs)).select(*docs.columns, "copy")
 
 
-STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("mixing", mixing_stage)]
+STAGES = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
 
 #: The classifiers are not SQL; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None
