@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from walkloom.llm import bytesets as B
 from walkloom.llm.common import cut, extended, fold, sample_ids
+from walkloom.llm.idfilter import build, matching
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -212,8 +213,11 @@ def train(docs: DataFrame, labels: DataFrame, curve_rows: int = 6_000, slots: in
     """Counts over every labelled document of folds 1 to 3; the curve is fitted on at most
     ``curve_rows`` labelled documents of fold 4. Fold 0 is never looked at."""
     marked = clean_labels(labels)
-    counted = (docs.select("doc_id", "text").where(fold(F.col("doc_id")).isin(1, 2, 3))
-               .join(marked.where(fold(F.col("_id")).isin(1, 2, 3)), F.col("doc_id") == F.col("_id")))
+    used = marked.where(fold(F.col("_id")).isin(1, 2, 3)).withColumn("_id", F.col("_id").cast(docs.schema["doc_id"].dataType))
+    wanted = build(used, "_id")  # unlabelled texts are not shuffled
+    texts = docs.select("doc_id", "text")
+    texts = matching(texts, "doc_id", wanted) if wanted else texts.limit(0)
+    counted = texts.join(used.hint("merge"), F.col("doc_id") == F.col("_id"))
     grams = cut(gram_counts(counted), "toxicity-grams")
     seen, contexts = log_ratios(grams, slots)
     model = Model(np.full(slots, np.nan, np.float32), np.zeros(slots, np.float32),
