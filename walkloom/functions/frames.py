@@ -62,13 +62,12 @@ def carry(x: Column, w: WindowSpec) -> Column:
 def by_series(df: DataFrame, by=SERIES) -> DataFrame:
     """One shuffle on the series for all windows that follow.
 
-    The partition count is given explicitly: daily panels are small in bytes but heavy in
-    window work, and adaptive execution would merge them into a single task by size. It
-    follows ``spark.sql.shuffle.partitions`` up to four tasks per core.
+    The partition count is given explicitly, as ``spark.sql.shuffle.partitions`` says: panels
+    are small in bytes but heavy in window work, and adaptive execution would merge them into
+    a single task by size.
     """
-    spark = df.sparkSession
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(min(wanted, 4 * spark.sparkContext.defaultParallelism), *by)
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(wanted, *by)
 
 
 def wide_moments(df: DataFrame, cols, w: WindowSpec, n: int) -> DataFrame:

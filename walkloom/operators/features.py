@@ -23,7 +23,7 @@ RATE = ["key_rate", "rate_change", "rate_change_60d"]
 ALL = OWN + CROSS + OIL + SENTIMENT + RATE
 
 # The smoothing of rsi14 is an exponential mean with weight 1/14. Weighted running sums are
-# restarted every RSI_BLOCK rows; older blocks than the previous one weigh (13/14)^512 ~ 3e-17.
+# restarted every RSI_BLOCK rows; the totals of all earlier blocks are folded into one pair.
 RSI_BLOCK = 512
 RSI_DECAY = 13.0 / 14.0
 
@@ -34,12 +34,15 @@ LOOKBACK = 2 * RSI_BLOCK
 def _levels(df: DataFrame, by) -> DataFrame:
     w = series_window(by)
     whole = Window.partitionBy(*by)
+    rate = carry(F.col("rate_raw"), w)
+    if "rate_absent" in df.columns:  # no rate table at all: 0.0, unlike NULL before the first decision
+        rate = F.when(F.col("rate_absent"), F.lit(0.0)).otherwise(rate)
     active = F.avg(F.col("cross_price").isNotNull().cast("double")).over(whole) > 0.9
     return df.withColumns({
         "lp": F.log("price"),
         "lu": F.when(active, F.log(carry(F.col("cross_price"), w))),
         "lo": F.log("oil"),
-        "key_rate": carry(F.col("rate_raw"), w),
+        "key_rate": rate,
         "sentiment": F.coalesce("sentiment_raw", F.lit(0.0)),
         "sentiment_coverage": F.col("sentiment_raw").isNotNull().cast("double"),
     })
@@ -73,11 +76,21 @@ def build(df: DataFrame, by=SERIES, keep: list[str] | None = None) -> DataFrame:
     w = series_window(by)
     base = _rsi_sums(_returns(_levels(df, by), by), by)
     offset = F.col("t") % RSI_BLOCK
-    # blocks start at multiples of 512, so row 511 of a block holds the block's total
-    closing = lambda c: F.last(F.when(offset == RSI_BLOCK - 1, F.col(c)), ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, -1))
-    base = base.withColumns({"_pgain": F.coalesce(closing("_gain"), F.lit(0.0)),
-                             "_ploss": F.coalesce(closing("_loss"), F.lit(0.0)),
+    # blocks start at multiples of 512, so row 511 of a block holds the block's total; one entry
+    # per earlier block, 72 in a century of days
+    tail = F.pow(F.lit(RSI_DECAY), F.lit(RSI_BLOCK))
+    totals = F.collect_list(F.when(offset == RSI_BLOCK - 1, F.struct(
+        F.col("_gain").alias("g"), F.col("_loss").alias("l")))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    zero = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("l"))
+
+    def fold(past, block):
+        # only the ratio of gain and loss matters: a block without any move leaves it, and the
+        # numbers, as they are, so that it survives stretches of any length
+        moved = F.struct((block["g"] + tail * past["g"]).alias("g"), (block["l"] + tail * past["l"]).alias("l"))
+        return F.when((block["g"] == 0) & (block["l"] == 0), past).otherwise(moved)
+
+    base = base.withColumn("_past", F.aggregate(totals, zero, fold)).withColumns({
+                             "_pgain": F.col("_past.g"), "_ploss": F.col("_past.l"),
                              "_n": seen(F.col("lp"), w), "_nr": seen(F.col("r"), w),
                              "_nu": seen(F.col("ru"), w), "_no": seen(F.col("ro"), w),
                              "_nur": seen(F.when(F.col("r").isNotNull(), F.col("ru")), w),
@@ -109,11 +122,12 @@ def build(df: DataFrame, by=SERIES, keep: list[str] | None = None) -> DataFrame:
         m = moved(lp, nr, k) / k
         m2 = raw(r * r, k) / k - m * m
         m3 = raw(r * r * r, k) / k - 3 * m * raw(r * r, k) / k + 2 * m * m * m
-        return F.when(nr >= k, (k * (k - 1)) ** 0.5 / (k - 2) * F.try_divide(m3, F.pow(m2, F.lit(1.5))))
+        flat = fr(F.max(r), nr, k) == fr(F.min(r), nr, k)  # a window without variation has skew 0
+        return F.when(flat, 0.0).when(
+            nr >= k, (k * (k - 1)) ** 0.5 / (k - 2) * F.try_divide(m3, F.pow(m2, F.lit(1.5))))
 
     lo60, hi60 = fr(F.min(lp), n, 60), fr(F.max(lp), n, 60)
     mean20, mean60 = fr(F.avg(lp), n, 20), fr(F.avg(lp), n, 60)
-    tail = F.pow(F.lit(RSI_DECAY), F.lit(RSI_BLOCK))
     gain = F.col("_gain") + tail * F.col("_pgain")
     loss = F.col("_loss") + tail * F.col("_ploss")
     sent = F.col("sentiment")
@@ -156,7 +170,7 @@ def build(df: DataFrame, by=SERIES, keep: list[str] | None = None) -> DataFrame:
     }
     wanted = set(ALL if keep is None else keep)
     out = base.withColumns({c: x for c, x in cols.items() if c in wanted})
-    return out.drop("_blk", "_gain", "_loss", "_pgain", "_ploss", "_n", "_nr", "_nu", "_no",
+    return out.drop("_past", "_blk", "_gain", "_loss", "_pgain", "_ploss", "_n", "_nr", "_nu", "_no",
                     "_nur", "_nor")
 
 

@@ -82,12 +82,19 @@ def asof_backward(left: DataFrame, right: DataFrame, cols: list[str], by=SERIES,
 def asof_macro(panel: DataFrame, macro: DataFrame, value: str, name: str) -> DataFrame:
     """As-of join of a date-only macro series onto every series of the panel.
 
-    The macro series (one row per calendar day at most) is spread over the days each value
+    Of rows with the same date the largest value counts, so there is one row per calendar day. The
+    series is spread over the days each value
     is in force, so the panel needs a plain equality on date and is neither scanned nor
     shuffled again. The last value stays in force without an end.
     """
-    steps = macro.select("date", F.col(value).alias("_v")).withColumn(
-        "_next", F.lead("date").over(Window.partitionBy(F.lit(0)).orderBy("date")))
+    daily = (macro.where(F.col("date").isNotNull()).groupBy("date").agg(F.max(value).alias("_v"))
+             .withColumn("_y", F.year("date")))
+    # the next date: within the year, or the first one of the next year that has any
+    years = daily.groupBy("_y").agg(F.min("date").alias("_first")).withColumn(
+        "_after", F.lead("_first").over(Window.orderBy("_y")))  # one row per year
+    inside = F.lead("date").over(Window.partitionBy("_y").orderBy("date"))
+    steps = (daily.withColumn("_in", inside).join(F.broadcast(years.select("_y", "_after")), "_y")
+             .select("date", "_v", F.coalesce("_in", "_after").alias("_next")))
     days = F.sequence(F.col("date"), F.coalesce(F.date_sub("_next", 1), F.col("date")))
     in_force = steps.select(F.explode(days).alias("date"), F.col("_v").alias(name))
     newest = (steps.where(F.col("_next").isNull())
@@ -190,6 +197,7 @@ def aligned(official: DataFrame, market: DataFrame | None = None, oil: DataFrame
 
     Adds ``t`` (0-based row), market close/high/low of the same day, as-of oil and
     sentiment, and the key rate of the same day (carried later, inside the features).
+    ``rate_absent`` tells an absent or empty rate table from a rate that is not yet known.
     """
     df = official
     if market is not None:
@@ -205,10 +213,11 @@ def aligned(official: DataFrame, market: DataFrame | None = None, oil: DataFrame
     else:
         df = df.withColumn("sentiment_raw", F.lit(None).cast("double"))
     if key_rate is not None:
-        df = df.join(per_day(key_rate.select("date", F.col("value").alias("rate_raw"))),
-                     "date", "left")
+        daily = key_rate.where(F.col("date").isNotNull()).groupBy("date").agg(F.max("value").alias("rate_raw"))
+        rows = key_rate.select(F.count(F.lit(1)).alias("n")).scalar()
+        df = df.join(per_day(daily), "date", "left").withColumn("rate_absent", rows == 0)
     else:
-        df = df.withColumn("rate_raw", F.lit(None).cast("double"))
+        df = df.withColumns({"rate_raw": F.lit(None).cast("double"), "rate_absent": F.lit(True)})
     return by_series(df, by).withColumn("t", row_id(series_window(by)))
 
 

@@ -253,9 +253,7 @@ def snk_publish_artifact(spark, d):
     df = panel.official(spark, d).select(*KEYS, "price")
     sinks.publish(df, path)
     sinks.publish(df.where(F.lit(False)), path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
+    return sinks.published(spark, path, schema=df.schema)
 
 
 @query("flt_shadow_meta", Q.query("""

@@ -426,15 +426,14 @@ def join_default_fallback(spark, d):
 
 
 @query("join_nearest_key", Q.query("""
-SELECT series_id, wanted, arg_min(horizon, abs(horizon - wanted) * 1000 + horizon)::int AS horizon,
+SELECT series_id, bucket, wanted, arg_min(horizon, abs(horizon - wanted) * 1000 + horizon)::int AS horizon,
   arg_min(rate, abs(horizon - wanted) * 1000 + horizon) AS rate
-FROM (SELECT * FROM calr WHERE bucket = 'z10') CROSS JOIN (SELECT unnest([5, 14, 45, 75, 120]) AS wanted) GROUP BY 1, 2""", "calr"))
+FROM calr CROSS JOIN (SELECT unnest([5, 14, 45, 75, 120]) AS wanted) GROUP BY 1, 2, 3""", "calr"))
 def join_nearest_key(spark, d):
-    table = C.market_buckets(directions_input(spark, d)).where(F.col("bucket") == "z10")
+    table = C.market_buckets(directions_input(spark, d))
     wanted = F.array(*[F.lit(x) for x in (5, 14, 45, 75, 120)])
-    requests = (panel.official(spark, d).select("series_id").distinct()
-                .withColumn("wanted", F.explode(wanted)))
-    return J.nearest_key(requests, table, "wanted", "horizon", ["rate"], ["series_id"])
+    requests = table.select("series_id", "bucket").distinct().withColumn("wanted", F.explode(wanted))
+    return J.nearest_key(requests, table, "wanted", "horizon", ["rate"], ["series_id", "bucket"])
 
 
 @query("join_segment_range", Q.query("""

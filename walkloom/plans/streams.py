@@ -96,15 +96,15 @@ def str_micro_refresh(spark, d):
         sinks.publish(rep, out)
 
     _drain(live.run_batches(orders, each, _folder(spark, "ck"), live.AVAILABLE_NOW))
-    return spark.read.parquet(out).select("series_id", "horizon", "policy", "oos_emitted",
+    return sinks.published(spark, out).select("series_id", "horizon", "policy", "oos_emitted",
                                           "eligible_days", "oos_hit")
 
 
 @query("str_ledger_dedup", Q.query("""
-SELECT series_id, as_of, horizon, model_version, prediction, 1 AS n FROM led WHERE horizon <> 7""", "led"))
+SELECT series_id, as_of, horizon, model_version, prediction, 1 AS n FROM led""", "led"))
 def str_ledger_dedup(spark, d):
     """The same ledger rows arrive in two files; every key is stored once."""
-    rows_ = L.history_rows(long_rows(spark, d), F.lit("2001-09-01").cast("timestamp_ntz"))
+    rows_ = ledger_history(spark, d)
     landed = _folder(spark, "ledger-in")
     for _ in range(2):
         rows_.coalesce(1).write.mode("append").parquet(landed)

@@ -64,6 +64,19 @@ _feature_query(
 
 # ---------------------------------------------------------------------- windows
 
+_absent = ("key_rate", "rate_change", "rate_change_60d", "sentiment", "sentiment_7d", "sentiment_30d", "sentiment_coverage")
+
+
+@query("feat_absent_inputs", Q.query(f"""
+SELECT series_id, date, {", ".join(f"0.0::double AS {c}" for c in _absent)}, NULL::double AS oil_ret1, NULL::double AS oil_corr60,
+  {r('mom5')} FROM feat""", "feat"))
+def feat_absent_inputs(spark, d):
+    """No market, oil, sentiment or rate table: rates and sentiment read 0.0, oil stays unknown."""
+    names = [*_absent, "oil_ret1", "oil_corr60", "mom5"]
+    df = feat.build(price_base(spark, d), keep=names)
+    return report(df, *KEYS, *names)
+
+
 @query("win_zdev150", Q.query(f"SELECT series_id, date, mrow, {r('dev', 'z=z_own')} FROM mk", "mk"))
 def win_zdev150(spark, d):
     df = S.market_z(market_base(spark, d)).where("has_market")
@@ -378,13 +391,16 @@ def _scored_market(spark, d):
 @query("prj_conf_tier", Q.query(f"""
 SELECT series_id, date, CASE WHEN c >= 0.65 THEN 'high' WHEN c >= 0.55 THEN 'mid' ELSE 'low' END AS tier,
   c < 0.55 AS is_weak, az < 0.3 AS weak_signal,
-  CASE WHEN c < 0.55 THEN 'low' ELSE 'mid' END AS long_badge
-FROM (SELECT series_id, date, abs(z_own) AS az, {_conf} AS c FROM mk WHERE z_own IS NOT NULL)""", "mk"))
+  CASE WHEN c < 0.55 THEN 'low' WHEN passed_gate THEN 'high' ELSE 'mid' END AS long_badge, horizon
+FROM (SELECT series_id, date, abs(z_own) AS az, {_conf} AS c FROM mk WHERE z_own IS NOT NULL)
+JOIN (SELECT series_id, horizon, passed_gate FROM lrep) USING (series_id)""", "mk", "lrep"))
 def prj_conf_tier(spark, d):
-    df = _scored_market(spark, d)
+    from walkloom.plans.reports import ERAS, long_rows
+    gates = B.long_report(long_rows(spark, d), ERAS).select("series_id", "horizon", "passed_gate")
+    df = _scored_market(spark, d).join(gates, "series_id")
     conf = F.col("conf")
-    gate_passed = F.lit(False)
-    return df.select(*KEYS, X.confidence_tier(conf).alias("tier"), (conf < 0.55).alias("is_weak"),
+    gate_passed = F.coalesce("passed_gate", F.lit(False))
+    return df.select(*KEYS, "horizon", X.confidence_tier(conf).alias("tier"), (conf < 0.55).alias("is_weak"),
                      (F.abs("z_own") < P.WEAK_Z).alias("weak_signal"),
                      X.long_badge(conf, gate_passed).alias("long_badge"))
 

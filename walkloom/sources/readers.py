@@ -49,9 +49,40 @@ def strict_rates(records: DataFrame) -> DataFrame:
     return records.select("series_id", "date", price.alias("price"))
 
 
-def json_candles(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of columnar candles: column names once, then rows of values by position."""
-    pages = spark.read.schema(CANDLE_SCHEMA).json(path)
+def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, doc, broken) of JSON documents: one to a line, or one to a file with line breaks inside.
+
+    A file whose first line is a document of its own holds one per line, any other is a single
+    document. ``doc`` is NULL and ``broken`` holds the source text where it cannot be read: keep those
+    rows as a quarantine, or fail on them with ``strict_documents``.
+    """
+    full = f"{schema}, _broken string"
+    parse = lambda text: F.from_json(text, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    fine = lambda text: parse(text)["_broken"].isNull()
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    texts = F.when(F.size(lines) == 0, lines).when(fine(F.get(lines, F.lit(0))), lines).otherwise(F.array("value"))
+    docs = files.select("file", F.explode(texts).alias("text")).withColumn("doc", parse(F.col("text")))
+    bad = F.col("doc").isNull() | F.col("doc._broken").isNotNull()
+    return docs.select("file", F.when(~bad, F.col("doc")).alias("doc"), F.when(bad, F.col("text")).alias("broken"))
+
+
+def strict_documents(docs: DataFrame) -> DataFrame:
+    """The documents; the job fails on one that cannot be read."""
+    fail = F.raise_error(F.concat(F.lit("unreadable document in "), F.col("file")))
+    return docs.select("file", F.when(F.col("broken").isNull(), F.col("doc")).otherwise(
+        fail.cast(docs.schema["doc"].dataType)).alias("doc"))
+
+
+def json_candles(spark: SparkSession, path: str, series: Column | None = None) -> DataFrame:
+    """Pages of columnar candles: column names once, then rows of values by position.
+
+    Pages may carry line breaks. A page without a series_id takes ``series``, which may use the
+    column ``file``. Unreadable pages are left out here; ``documents`` shows them.
+    """
+    pages = documents(spark, path, CANDLE_SCHEMA).where(F.col("doc").isNotNull()).select("file", "doc.*")
+    if series is not None:
+        pages = pages.withColumn("series_id", F.coalesce("series_id", series))
     rows = pages.select("series_id", F.col("candles.columns").alias("names"),
                         F.explode("candles.data").alias("row"))
     cell = lambda name: F.get("row", F.array_position("names", name).cast("int") - 1)
@@ -71,7 +102,7 @@ def csv_series(spark: SparkSession, path: str, after: Column | None = None) -> D
 
 def json_parallel_arrays(spark: SparkSession, path: str) -> DataFrame:
     """timestamp[] and close[] side by side; rows without a close are dropped."""
-    raw = spark.read.schema(ARRAYS_SCHEMA).json(path)
+    raw = documents(spark, path, ARRAYS_SCHEMA).where(F.col("doc").isNotNull()).select("doc.*")
     cells = raw.select(F.explode(F.arrays_zip("timestamp", "close")).alias("c"))
     return (cells.where(F.col("c.close").isNotNull())
             .select(F.to_date(F.timestamp_seconds("c.timestamp")).alias("date"),
@@ -99,9 +130,9 @@ def rss_items(spark: SparkSession, path: str, run_date: Column) -> DataFrame:
 
 
 def json_spot(spark: SparkSession, path: str) -> DataFrame:
-    """One quote object per line: (series_id, date, price); the stamp reads
+    """Quote objects, one per line or one per file: (series_id, date, price); the stamp reads
     'Fri, 01 Jan 2021 00:00:01 +0000'."""
-    raw = spark.read.schema(SPOT_SCHEMA).json(path)
+    raw = documents(spark, path, SPOT_SCHEMA).where(F.col("doc").isNotNull()).select("doc.*")
     day = F.substring("time_last_update_utc", 6, 11)
     return raw.select("series_id",
                       F.to_date(F.try_to_timestamp(day, F.lit("dd MMM yyyy"))).alias("date"),

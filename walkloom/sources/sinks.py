@@ -1,9 +1,11 @@
 """Keyed writes. Plain parquet has no MERGE, so each write builds the next snapshot from the
-stored one and the batch; publishing relies on the file commit protocol."""
+stored one and the batch; publishing writes a new version and switches a pointer to it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,18 +60,46 @@ def update_by_key(stored: DataFrame, updates: DataFrame, keys: list[str],
                            for c in stored.columns])
 
 
+POINTER = "CURRENT"
+
+
 def publish(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
             keep_previous_if_empty: bool = True) -> bool:
-    """Replace a published result; an empty result leaves the previous one in place."""
-    if keep_previous_if_empty and df.isEmpty():
-        return False
-    writer = df.write.mode("overwrite")
+    """Replace a published result in one step; read it with ``published``.
+
+    The result is written to a new version folder and counted in the same job; then a pointer file
+    is switched by one rename. A job that fails, or an empty result, leaves the previous version.
+    """
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.format(fmt).save(path)
+    writer.format(fmt).save(f"{path}/{version}")
+    rows = (seen.get or {}).get("rows", 0)  # a plan known to be empty reports nothing
+    if keep_previous_if_empty and not rows:
+        return False
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    fresh, current = hadoop.Path(f"{path}/{POINTER}.{version}"), hadoop.Path(f"{path}/{POINTER}")
+    out = fresh.getFileSystem(conf).create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fresh.toUri(), conf).rename(fresh, current, options)
     return True
 
 
+def published(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
+    """The version the pointer names."""
+    version = spark.read.text(f"{path}/{POINTER}").first()[0]
+    reader = spark.read.format(fmt)
+    return (reader.schema(schema) if schema is not None else reader).load(f"{path}/{version}")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: str, n: int = 1) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
