@@ -14,8 +14,8 @@ lists, yet leaves no candidates, because documents that share little else are ne
 *No all-pairs*: only the components are wanted. Each round lets every posting list name two
 pivots; a member outside a pivot's component is compared with its best pivots, confirmed on
 full shingle sets, and components grow. What is left, members of different components in one list,
-is compared in full, except that the members of the list's largest component are not paired with
-one another. So no link between different texts is lost, and a group of G near copies costs about G
+is compared too, unless a bound on their common shingles shows that they cannot be similar enough (see
+``remaining``). So no link between different texts is lost, and a group of G near copies costs about G
 comparisons per round, not G squared. Exact copies are one set from the start.
 
 Rows that share a doc_id count as one document; a null doc_id takes part in nothing.
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import cut
+from walkloom.llm.common import cut, unused
 from walkloom.llm.graph import components
 from walkloom.llm.idfilter import build, matching
 
@@ -37,6 +37,10 @@ K = 48
 MATCHES = 22
 PERCENT = 75
 ROUNDS = 2
+#: Lists up to this many members are paired without the bound on shared shingles.
+SMALL = 32
+#: A shingle that so many sets have at most is rare.
+RARE = 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 64, K, dtype=np.uint64) | np.uint64(1)
@@ -170,19 +174,56 @@ def link_components(docs: DataFrame, reps: DataFrame, words: int = WORDS, percen
                  .where(F.col("_r") <= best).select("a", "b"))
         links = cut(confirmed(tried, sets, percent), "minhash-links")
         comps = _grown(comps, links)
-    here = posts.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    here = cut(here, "minhash-here")
+    rest = cut(remaining(posts, comps, members, sets, matches, percent), "minhash-pairs")
+    if rest.isEmpty():
+        return comps
+    return _grown(comps, cut(confirmed(rest, sets, percent), "minhash-rest"))
+
+
+def remaining(posts: DataFrame, comps: DataFrame, members: DataFrame, sets: DataFrame, matches: int = MATCHES,
+              percent: int = PERCENT, small: int = SMALL, rare: int = RARE) -> DataFrame:
+    """The pairs (a, b) of different components that share a list and may still be linked.
+
+    A pair comes once, from the first list both are posted in; the members of a list's largest
+    component are not paired with one another. In lists of more than ``small`` members a pair must
+    also pass a bound on its overlap. A shingle is rare if at most ``rare`` sets of all these lists
+    have it; the other shingles of a set number c. Two sets of n and m shingles without a common rare
+    one overlap in at most the smaller c, and a similarity of p percent takes p (n + m) / (100 + p). Pairs
+    with a common rare shingle are found by joining those, at most ``rare`` to a shingle. So in a large group of
+    near copies, the many that are too far from all others leave hardly a pair.
+    """
+    here = cut(posts.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "minhash-here")
     per = here.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = (per.groupBy("list").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("kinds"))
-            .where("kinds > 1").select("list", F.col("m.comp").alias("main")))
-    mixed = here.join(main, "list")
-    minor = mixed.where(F.col("comp") != F.col("main")).select("list", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    other = mixed.select("list", F.col("rep").alias("b"), F.col("comp").alias("cb"), "main")
-    rest = (minor.join(other, "list")
-            .where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = cut(confirmed(_plausible(rest, members, matches, percent).select("a", "b"), sets, percent), "minhash-rest")
-    return _grown(comps, links)
+    lists = (per.groupBy("list").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size"),
+                                     F.count(F.lit(1)).alias("kinds"))
+             .where("kinds > 1").select("list", F.col("m.comp").alias("main"), (F.col("size") <= small).alias("few")))
+    mixed = cut(here.join(lists, "list"), "minhash-mixed")
+    known = members.join(mixed.groupBy("rep").agg(F.sort_array(F.collect_list("list")).alias("lists")), "rep")  # k at most
+    crowd = mixed.where(~F.col("few")).select(F.col("rep").alias("id"), "comp").distinct()
+    own = sets.join(crowd, "id").select("id", "comp", F.explode("set").alias("s"))
+    common = own.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    seen = cut(own.join(common, "s"), "minhash-shared")
+    core = seen.where(F.col("n") > rare).groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+    scarce = seen.where(F.col("n") <= rare)
+    by_rare = (scarce.select("s", F.col("id").alias("a"), F.col("comp").alias("ca"))
+               .join(scarce.select("s", F.col("id").alias("b"), F.col("comp").alias("cb")), "s")
+               .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct())
+    known = cut(known.join(core.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("c", F.lit(0))),
+                "minhash-known")
+    rows = mixed.join(known, "rep")
+    side = lambda tag: [F.col(x).alias(x + tag) for x in ("rep", "comp", "n", "sig", "lists", "c")]
+    need = (100 + percent) * F.least("c1", "c2") >= percent * (F.col("n1") + F.col("n2"))
+    pairs = (rows.where(F.col("comp") != F.col("main")).select("list", "few", *side("1"))
+             .join(rows.select("list", "main", *side("2")), "list")
+             .where((F.col("comp1") != F.col("comp2"))
+                    & ((F.col("comp2") == F.col("main")) | (F.col("rep1") < F.col("rep2")))
+                    & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+                    & (F.col("few") | need)
+                    & (F.col("list") == F.array_min(F.array_intersect("lists1", "lists2")))
+                    & (collisions(F.col("sig1"), F.col("sig2")) >= matches))
+             .select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")))
+    more = _plausible(by_rare, members, matches, percent).select("a", "b")
+    return pairs.unionByName(more).distinct()
 
 
 def _grown(comps: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -228,10 +269,11 @@ def deduplicate(docs: DataFrame, **knobs) -> DataFrame:
     """``docs`` without the documents that are not kept. Only documents a filter on the dropped ids
     lets through are shuffled; all others pass where they are."""
     result = cut(near_duplicates(docs, **knobs), "minhash-result")
-    dropped = result.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    wanted = build(dropped, "_gone")
+    gone = unused(docs, "_gone")
+    dropped = result.where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    wanted = build(dropped, gone)
     if wanted is None:
         return docs
     maybe = matching(docs, "doc_id", wanted)
     return matching(docs, "doc_id", wanted, keep=False).unionByName(
-        maybe.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti"))
+        maybe.join(dropped, F.col("doc_id") == F.col(gone), "left_anti"))
