@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from walkloom.session import materialise, shared_dir
 
-__all__ = ["cut", "extended", "fold", "fresh_dir", "lower_ascii", "md5_unit", "sample_ids", "table"]
+__all__ = ["cut", "extended", "fold", "fresh_dir", "lower_ascii", "md5_unit", "packed", "sample_ids", "table", "unpacked", "unused"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,3 +56,22 @@ def extended(df: DataFrame, **columns: str) -> T.StructType:
     for name, kind in columns.items():
         schema = schema.add(name, kind)
     return schema
+
+
+def packed(df: DataFrame, *columns: str, row: str = "_row") -> DataFrame:
+    """The named columns next to the whole row in one struct, so that an operator's own columns
+    cannot clash with any other column of ``df``."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row), *columns)
+
+
+def unpacked(df: DataFrame, columns: list[str], *new: str, row: str = "_row") -> DataFrame:
+    """The packed columns again, and the new ones in the place of columns of the same name."""
+    return df.select(*[F.col(row)[c].alias(c) for c in columns if c not in new], *new)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

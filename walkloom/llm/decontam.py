@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import cut
+from walkloom.llm.common import cut, packed
 from walkloom.llm.words import count_of, spaced, words_of
 
 WINDOW = 10
@@ -51,14 +51,15 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, _d, _h, pos) of the tokens of ``docs`` (from ``keyed``) that are in ``terms`` (term)."""
-    tokens = docs.select(*KEY, F.posexplode(words_of(spaced(F.col("text")))).alias("pos", "term"))
+    """(term, _d, _h, pos) of the tokens of ``docs`` (from ``keyed``) that are in ``terms`` (term). A
+    text without words yields an empty token, which no term equals."""
+    tokens = docs.select(*KEY, F.posexplode(F.split(spaced(F.col("text")), " ")).alias("pos", "term"))
     return tokens.join(terms, "term").select("term", *KEY, "pos")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): how often the corpus has each of ``terms``; absent terms are absent."""
-    tokens = docs.select(F.explode(words_of(spaced(F.col("text")))).alias("term"))
+    tokens = docs.select(F.explode(F.split(spaced(F.col("text")), " ")).alias("term"))
     return tokens.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -161,8 +162,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, anchors
     found = covered.join(listed, list(KEY), "left")
     text = F.col("text")
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_d"),
-                       F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"),
-                       count_of(spaced(text)).alias("n_words"))
+                       F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), spaced(text).alias("_s"))
+    rows = rows.select("doc_id", *KEY, count_of(F.col("_s")).alias("n_words"))
     items_of = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return rows.join(found, list(KEY), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -176,6 +177,7 @@ def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, anchors: int =
     """``docs`` without the rows that contain a window of an item."""
     exact, _ = phrase_matches(docs, items, size, anchors, limit)
     hit = cut(exact.select(*KEY).distinct(), "decontam-hit")
-    rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-                             "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return rows.join(_small(hit, limit), list(KEY), "left_anti").select(docs.columns)
+    rows = packed(docs, "doc_id", "text").select(
+        "_row", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_d"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    return rows.join(_small(hit, limit), list(KEY), "left_anti").select("_row.*")

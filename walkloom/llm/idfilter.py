@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from walkloom.llm.common import unused
+
 PER_ID = 32
 MAX_BITS = 1 << 27
 
@@ -41,7 +43,7 @@ def build(ids: DataFrame, column: str, max_bits: int = MAX_BITS) -> Filter | Non
 def matching(df: DataFrame, column: str, wanted: Filter, keep: bool = True) -> DataFrame:
     """The rows whose id may be wanted, or with ``keep=False`` those whose id is certainly not.
     A null id is not wanted."""
-    hashed = df.withColumn("_h", F.when(F.col(column).isNotNull(),
+    hashed = df.withColumn(unused(df, "_h"), F.when(F.col(column).isNotNull(),
                                         F.pmod(F.xxhash64(column), F.lit(wanted.bits))).otherwise(F.lit(-1)))
     shared, names = wanted.shared, df.columns
 

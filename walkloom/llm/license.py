@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from walkloom.llm.common import packed, unpacked
 from walkloom.llm.license_rules import BASE, REACH, keywords, rules
 from walkloom.llm.words import count_of, spaced, words_of
 
@@ -86,7 +87,7 @@ def scan(docs: DataFrame, table: list[tuple[str, int, str]] | None = None) -> Da
     n_base_rules = len(BASE)
     gate = "(?:^| )(?:" + "|".join(sorted(_by_keyword(table))) + ")(?: |$)"
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "found")
-    df = docs.drop(*new).withColumn("_t", spaced(F.col("text")))
+    df = packed(docs, "text").withColumn("_t", spaced(F.col("text")))
     df = df.withColumn("_w", F.when(F.rlike("_t", F.lit(gate)), words_of(F.col("_t"))))
     df = df.withColumn("_all", F.when(F.col("_w").isNotNull(), detections(F.col("_w"), table)))
     base = F.filter(F.col("_all"), lambda d: d["rule"] < n_base_rules)
@@ -106,4 +107,4 @@ def scan(docs: DataFrame, table: list[tuple[str, int, str]] | None = None) -> Da
             .withColumn("first_word", F.array_min(starts)).withColumn("last_word", F.array_max(starts))
             .withColumn("base_labels", text_of(base_labels)).withColumn("labels", text_of(labels))
             .withColumn("score", F.coalesce(sure, F.lit(0.0))).withColumn("found", out)
-            .drop("_t", "_w", "_all", "_base", "_kept"))
+            .transform(unpacked, docs.columns, *new))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import cut, md5_unit
+from walkloom.llm.common import cut, md5_unit, packed, unpacked, unused
 
 #: Fixed: what counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,14 +75,13 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3,
     plan = cut(targets(weighted, max_epochs), "mix-targets").select(
         F.col("source").alias("_source"), F.col("source_size").alias("_source_size"),
         F.col("target").alias("_target"))
-    own = set(docs.columns)
-    clash = [c for c in ("size", "source_size", "target", "copies", "taken") if c in own]
+    rows = packed(docs, "doc_id", "text", "source", row="_all")
     if plan.count() <= broadcast_rows:
-        joined = docs.drop(*clash).join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")))
+        joined = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")))
     else:
         salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(salts)).cast("int")
-        joined = docs.drop(*clash).withColumn("_salt", drawn).join(
+        joined = rows.withColumn("_salt", drawn).join(
             salted.withColumnRenamed("_salt", "_salt2"),
             F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_salt2")))
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
@@ -93,10 +92,13 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3,
             .withColumn("target", F.col("_target"))
             .withColumn("copies", copies.cast("long"))
             .withColumn("taken", F.col("size") * F.col("copies"))
-            .drop("_source", "_source_size", "_target", "_salt", "_salt2"))
+            .transform(unpacked, docs.columns, "size", "source_size", "target", "copies", "taken", row="_all"))
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """One row per copy, with ``copy`` counted from 1."""
-    return (mixed.where(F.col("copies") > 0)
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
+def emit(docs: DataFrame, copy: str = "copy", **knobs) -> DataFrame:
+    """The columns of ``docs``, one row per copy the mix takes, and the number of the copy from 1 in a
+    column ``copy`` (lengthened by underscores if ``docs`` has that name)."""
+    mixed = mix(packed(docs, "doc_id", "text", "source"), **knobs).where(F.col("copies") > 0)
+    number = unused(docs, copy)
+    taken = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select("_row.*", F.col("_copy").alias(number))

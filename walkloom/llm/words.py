@@ -22,5 +22,5 @@ def words_of(spaced_text: Column) -> Column:
 
 
 def count_of(spaced_text: Column) -> Column:
-    blanks = F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit(" "), F.lit("")))
-    return F.when(spaced_text == "", F.lit(0)).otherwise(blanks + 1).cast("long")
+    blanks = F.octet_length(spaced_text) - F.octet_length(F.replace(spaced_text, F.lit(" "), F.lit("")))
+    return (blanks + (spaced_text != "").cast("int")).cast("long")
