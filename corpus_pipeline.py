@@ -10,19 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from walkloom.llm import decontam, minhash, mixing, quality, toxicity
-from walkloom.llm.common import cut, table
+from walkloom.llm.common import cut, packed, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier rejects go."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("predicted") == 1).select(docs.columns)
+    return quality.score(packed(docs, "text"), model).where(F.col("predicted") == 1).select("_row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the toxicity models reject go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(docs.columns)
+    return toxicity.score(packed(docs, "text"), model).where(F.col("predicted") == 0).select("_row.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it, with the number of the copy."""
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns, "copy")
+    return mixing.emit(docs)
 
 
 STAGES = [
