@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from walkloom.session import materialise, shared_dir
 
-__all__ = ["cut", "extended", "fold", "fresh_dir", "lower_ascii", "md5_unit", "packed", "sample_ids", "table", "unpacked", "unused"]
+__all__ = ["cut", "extended", "fold", "fresh_dir", "lower_ascii", "md5_unit", "packed", "sample_ids", "slices", "table", "unpacked", "unused"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,3 +75,10 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches cut into short ones, so that a task holds the work of a few texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

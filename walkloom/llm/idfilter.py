@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import unused
+from walkloom.llm.common import slices, unused
 
 PER_ID = 32
 MAX_BITS = 1 << 27
@@ -40,9 +40,9 @@ def build(ids: DataFrame, column: str, max_bits: int = MAX_BITS) -> Filter | Non
     return Filter(bits, ids.sparkSession.sparkContext.broadcast(out.tobytes()))
 
 
-def matching(df: DataFrame, column: str, wanted: Filter, keep: bool = True) -> DataFrame:
+def matching(df: DataFrame, column: str, wanted: Filter, keep: bool = True, then=None, schema=None) -> DataFrame:
     """The rows whose id may be wanted, or with ``keep=False`` those whose id is certainly not.
-    A null id is not wanted."""
+    A null id is not wanted. ``then`` turns the rows that pass, a few at a time, into ``schema``."""
     hashed = df.withColumn(unused(df, "_h"), F.when(F.col(column).isNotNull(),
                                         F.pmod(F.xxhash64(column), F.lit(wanted.bits))).otherwise(F.lit(-1)))
     shared, names = wanted.shared, df.columns
@@ -56,6 +56,7 @@ def matching(df: DataFrame, column: str, wanted: Filter, keep: bool = True) -> D
             if not keep:
                 hit = ~hit
             if hit.any():
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(pa.array(hit))
+                passed = pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(pa.array(hit))
+                yield from map(then, slices([passed])) if then else [passed]
 
-    return hashed.mapInArrow(run, df.schema)
+    return hashed.mapInArrow(run, schema or df.schema)

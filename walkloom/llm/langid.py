@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from walkloom.llm import bytesets as B
-from walkloom.llm.common import extended, fold, sample_ids
+from walkloom.llm.common import extended, fold, sample_ids, slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             p = model.probabilities(texts)
             some = np.array([letters(t) for t in texts], bool)

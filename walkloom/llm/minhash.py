@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import cut, unused
+from walkloom.llm.common import cut, slices, unused
 from walkloom.llm.graph import components
 from walkloom.llm.idfilter import build, matching
 
@@ -80,29 +80,41 @@ def signature(sh: np.ndarray, k: int = K) -> np.ndarray:
     return out.astype(np.uint32).view(np.int32)
 
 
+def _lists(arrays, kind):
+    """Arrow lists out of numpy arrays."""
+    import pyarrow as pa
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    flat = np.concatenate(arrays) if len(arrays) else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind, copy=False)))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, sig): k1 and k2 name the shingle set."""
+    """(doc_id, n_shingles, k1, k2, sig): k1 and k2 name the shingle set. A few texts at a time."""
     def run(batches):
         import hashlib
-        for pdf in batches:
-            sets = [shingles(t, words) for t in pdf["text"]]
+
+        import pyarrow as pa
+        for batch in slices(batches):
+            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             keys = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets],
-                                "k1": [k[0] for k in keys], "k2": [k[1] for k in keys],
-                                "sig": [signature(s) for s in sets]})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
+                 pa.array([k[1] for k in keys], pa.int64()), _lists([signature(s) for s in sets], np.int32)],
+                names=["doc_id", "n_shingles", "k1", "k2", "sig"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, k1 long, k2 long, sig array<int>"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, wanted, words: int = WORDS) -> DataFrame:
     """(id, set) of the documents an id filter lets through."""
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["doc_id"], "set": [shingles(t, words).view(np.int64) for t in pdf["text"]]})
+    def made(batch):
+        import pyarrow as pa
+        sets = [shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), _lists(sets, np.int64)], names=["id", "set"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return matching(docs.select("doc_id", "text"), "doc_id", wanted).mapInPandas(run, f"id {kind}, set array<long>")
+    return matching(docs.select("doc_id", "text"), "doc_id", wanted, then=made, schema=f"id {kind}, set array<long>")
 
 
 def collisions(a: Column, b: Column) -> Column:

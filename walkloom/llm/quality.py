@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from walkloom.llm import bytesets as B
-from walkloom.llm.common import extended, fold, sample_ids
+from walkloom.llm.common import extended, fold, sample_ids, slices
 
 FEATURES = (
     "log_bytes", "log_words", "word_len", "sentence_len", "line_len", "space_share", "punct_share",
@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: Additive, threshold: float = 0.3) -> DataFrame
 
     def run(batches):
         import pyarrow as pa
-        for batch in batches:
+        for batch in slices(batches):
             values = model.score(_matrix(batch.column(names.index("text")).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())],
                                              names=[*batch.schema.names, "score"])

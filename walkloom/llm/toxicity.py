@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from walkloom.llm import bytesets as B
-from walkloom.llm.common import cut, extended, fold, sample_ids
+from walkloom.llm.common import cut, extended, fold, sample_ids, slices
 from walkloom.llm.idfilter import build, matching
 
 ORDER = 5
@@ -258,7 +258,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         here = Model(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             values = here.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())],
                                              names=[*batch.schema.names, "score"])
