@@ -102,11 +102,19 @@ def test_round_trip(spark, tmp_path, compress):
     want = {(i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if last.get(b, i) != i else "response", last[b] if last.get(b, i) != i else None)
             for i, b in body.items()}
     assert {tuple(r) for r in warc.captures(spark, path).collect()} == want
-    back = warc.read(spark, path, partition_bytes=1)
+    back = warc.read(spark, path)
     got = {r.record_id: r for r in back.collect()}
     assert bytes(got["<urn:page:13>"].payload) == body[13] and got["<urn:page:9>"].target_uri is None
     assert got["<urn:page:3>"].target_uri == "u%0D%0AInjected: yes"
-    assert back.rdd.getNumPartitions() >= 2
+
+
+def test_files_become_partitions(tmp_path):
+    import json
+    listed = [{"name": f"part-{i}.warc", "records": 1, "size": s} for i, s in enumerate([5, 5, 30, 1, 1])]
+    (tmp_path / warc.MANIFEST).write_text(json.dumps(listed))
+    parts = lambda n: [p.names for p in warc.WarcReader({"path": str(tmp_path), "partition_bytes": n}).partitions()]
+    assert len(parts(1)) == 5 and parts(10**6) == [tuple(e["name"] for e in listed)]
+    assert parts(10) == [("part-0.warc", "part-1.warc"), ("part-2.warc",), ("part-3.warc", "part-4.warc")]
 
 
 def test_header_predicates_skip_payloads(spark, tmp_path):

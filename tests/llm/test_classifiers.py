@@ -41,10 +41,10 @@ def test_language_on_held_out_rows(docs, models):
 
 
 def test_toxic_words_are_caught_and_clean_rows_left(docs, labels, models):
-    out = held_out(toxicity.score(docs, models[2])).join(labels, "doc_id").toPandas()
+    out = held_out(toxicity.score(docs, models[2])).join(labels, "doc_id", "left").toPandas()
     words = out["text"].str.lower().str.contains("trash|pathetic|idiot|worthless|disgusting|stupid|clown|scum|loser|moron")
-    assert out[words & (out.toxic == 1)]["predicted"].mean() > 0.85
-    assert out[~words & (out.toxic == 0)]["predicted"].mean() < 0.06
+    assert out[words]["predicted"].mean() > 0.85
+    assert out[~words]["predicted"].mean() < 0.06
 
 
 def test_odd_rows_get_defined_results(spark, models):
