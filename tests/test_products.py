@@ -173,7 +173,7 @@ def test_upsert_keeps_old_values_and_labels(spark):
 def test_publish_keeps_previous_on_empty(spark, tmp_path):
     path = str(tmp_path / "out")
     assert sinks.publish(spark.range(3), path) and not sinks.publish(spark.range(0), path)
-    assert spark.read.parquet(path).count() == 3
+    assert sinks.published(spark, path).count() == 3
 
 
 def ticks(spark, rows):
@@ -207,12 +207,45 @@ def test_streamed_bars_equal_batch_and_dedup(spark, tmp_path):
 def test_replayed_batch_is_not_applied_twice(spark, tmp_path):
     schema = "series_id string, date string, price double, source string"
     old = spark.createDataFrame([("s", "d1", 1.0, "erapi")], schema)
-    snaps = live.Snapshots(spark, str(tmp_path / "snap"), old.schema)
-    snaps.seed(old)
     batch = spark.createDataFrame([("s", "d1", None, "cbr", 2), ("s", "d1", 4.0, "erapi", 1)], schema + ", seq int")
+    store = live.Deltas(spark, str(tmp_path / "store"), old.schema, batch.schema)
+    store.seed(old)
+    resolve = live.newest_values(["series_id", "date"])
+    assert [tuple(r) for r in store.view(resolve).collect()] == [("s", "d1", 1.0, "erapi")]
     for _ in range(2):
-        live.revise(snaps, ["series_id", "date"])(batch, 0)
-    assert [tuple(r) for r in snaps.at(1).collect()] == [("s", "d1", 4.0, "cbr")]
+        store.append(0, batch)
+    assert [tuple(r) for r in store.view(resolve).collect()] == [("s", "d1", 4.0, "cbr")]
+    store.compact(resolve)
+    assert store.folded() == 1 and store.pending().count() == 0
+    store.append(1, batch.withColumn("price", F.lit(9.0)))
+    assert [tuple(r) for r in store.view(resolve).collect()] == [("s", "d1", 9.0, "cbr")]
+
+
+def test_a_batch_costs_the_same_whatever_the_history(spark, tmp_path):
+    sizes = []
+    for n in (10, 20_000):
+        old = spark.range(n).selectExpr("cast(id as string) k", "cast(id as double) price")
+        store = live.Deltas(spark, str(tmp_path / f"h{n}"), old.schema)
+        store.seed(old)
+        before = {p for p in (tmp_path / f"h{n}").rglob("*.parquet")}
+        store.append(0, spark.createDataFrame([("5", 1.0), ("new", 2.0)], old.schema).coalesce(1))
+        sizes.append(sum(p.stat().st_size for p in (tmp_path / f"h{n}").rglob("*.parquet") if p not in before))
+        view = {r.k: r.price for r in store.view(live.first_rows(["k"])).collect()}
+        assert view["5"] == 5.0 and view["new"] == 2.0 and len(view) == n + 1
+    assert sizes[0] == sizes[1]
+
+
+def test_settled_rows_stay_and_open_rows_take_the_first_outcome(spark, tmp_path):
+    schema = "k string, prediction int, realized double, realized_ret double, realized_date string"
+    ledger = spark.createDataFrame([("a", 1, None, None, None), ("b", 1, 5.0, 0.1, "d0"), ("c", None, None, None, None)], schema)
+    outcome = "k string, realized double, realized_ret double, realized_date string"
+    rows = spark.createDataFrame([(k, 7.0, 0.2, "d1") for k in "abc"], outcome)
+    store = live.Deltas(spark, str(tmp_path / "ledger"), ledger.schema, rows.schema)
+    store.seed(ledger)
+    store.append(0, rows)
+    store.append(1, rows.withColumn("realized", F.lit(8.0)))
+    got = {r.k: r.realized for r in store.view(live.open_rows_filled(["k"])).collect()}
+    assert got == {"a": 7.0, "b": 5.0, "c": None}
 
 
 def test_freshness_rules(spark):

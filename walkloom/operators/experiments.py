@@ -245,7 +245,3 @@ def top_moves(df: DataFrame, k: int = 8, by=SERIES) -> DataFrame:
         *by, F.col("date").alias("from_date"), F.col("next_date").alias("to_date"),
         F.round(F.exp("next_move") - 1, 6).alias("move"))
 
-
-def known_so_far(df: DataFrame, col: str, lag: int, by=SERIES) -> Column:
-    """Number of non-null values known ``lag`` rows ago."""
-    return F.count(col).over(upto(series_window(by), lag))

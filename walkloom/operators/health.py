@@ -93,6 +93,3 @@ def prediction_card(directions: DataFrame, direction_report: DataFrame, long_rep
             .join(state.select(*keys, F.col("rolling_acc").alias("rolling"),
                                F.col("n").alias("rolling_n"), "status"), keys, "left"))
 
-
-def policy_rows(signals: DataFrame, by=SERIES) -> DataFrame:
-    return B.long_decisions(signals, P.LONG_POLICY, by)

@@ -1,7 +1,7 @@
 """Fixed values of the published method, and the run parameters derived from them.
 
 Everything here is a value that results must agree on (windows, thresholds,
-default rates, word lists). Values are plain so they can be read and overridden.
+default rates). Values are plain so they can be read and overridden.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from walkloom.operators import backtest as B
 from walkloom.operators import joins as J
@@ -13,9 +14,9 @@ from walkloom.operators import signals as S
 from walkloom.oracle import ctes as Q
 from walkloom.oracle.ctes import r
 from walkloom.plans.registry import query, report
-from walkloom.plans.reports import ERAS, ledger_history, long_rows
-from walkloom.session import shared_dir
-from walkloom.sources import panel, sinks
+from walkloom.plans.reports import ERAS, ledger_history
+from walkloom.session import materialise, shared_dir
+from walkloom.sources import panel
 from walkloom.streaming import live
 
 KEYS = ["series_id", "date"]
@@ -85,41 +86,52 @@ def str_last_bar_stream(spark, d):
 
 @query("str_micro_refresh", Q.query("SELECT series_id, horizon, policy, oos_emitted, eligible_days, oos_hit FROM lrep", "lrep"))
 def str_micro_refresh(spark, d):
-    """Every arriving batch of orders triggers the batch report again; the last one is kept."""
-    out = _folder(spark, "refresh")
-    orders = live.file_stream(spark, d, "o_orderkey bigint, o_orderdate timestamp_ntz", "orders.parquet")
+    """Orders arrive in four files. A batch adds its sums to the panel and recomputes the report of the series it
+    touches; the newest report of a series counts."""
+    orders = panel.table(spark, d, "orders").select("o_orderpriority", "o_orderdate", "o_totalprice")
+    landed = _folder(spark, "orders-in")
+    orders.repartition(4, F.dayofyear("o_orderdate") % 4).write.parquet(landed)
+    sums = T.StructType.fromDDL("series_id string, date date, total bigint, n bigint")
+    cols = ("series_id", "horizon", "policy", "oos_emitted", "eligible_days", "oos_hit")
+    parts = live.Deltas(spark, _folder(spark, "sums"), sums)
+    parts.seed(spark.createDataFrame([], sums))
+    market, oil = (materialise(df, "refresh-static") for df in (panel.market(spark, d), panel.oil(spark, d)))
+    reports = _folder(spark, "refresh")
+    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(landed)
 
     def each(batch, batch_id):
-        if batch.isEmpty():
-            return
-        rep = B.long_report(long_rows(spark, d), ERAS)
-        sinks.publish(rep, out)
+        batch = batch.groupBy(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("date")).agg(
+            F.sum(panel.cents(F.col("o_totalprice"))).alias("total"), F.count(F.lit(1)).alias("n"))
+        parts.append(batch_id, batch)
+        stored = parts.view(lambda base, deltas: base.unionByName(deltas.drop("b")))
+        touched = parts.pending().where(F.col("b") == batch_id).select("series_id").distinct()
+        prices = (stored.join(touched, "series_id", "left_semi").groupBy("series_id", "date")
+                  .agg(panel.mean_of_cents(F.sum("total"), F.sum("n"), panel.OFFICIAL_SCALE).alias("price"))
+                  .withColumn("cross_price", F.lit(None).cast("double")))
+        rep = B.long_report(B.long_decisions(S.long_signals(J.aligned(prices, market, oil))), ERAS)
+        rep.select(*cols).write.mode("overwrite").parquet(f"{reports}/b={batch_id}")
 
-    _drain(live.run_batches(orders, each, _folder(spark, "ck"), live.AVAILABLE_NOW))
-    return sinks.published(spark, out).select("series_id", "horizon", "policy", "oos_emitted",
-                                          "eligible_days", "oos_hit")
+    _drain(live.run_batches(stream, each, _folder(spark, "ck"), live.AVAILABLE_NOW))
+    newest = F.max_by(F.struct(*cols[2:]), "b")
+    found = spark.read.parquet(reports).groupBy("series_id", "horizon").agg(newest.alias("x"))
+    return found.select("series_id", "horizon", "x.*")
 
 
 @query("str_ledger_dedup", Q.query("""
 SELECT series_id, as_of, horizon, model_version, prediction, 1 AS n FROM led""", "led"))
 def str_ledger_dedup(spark, d):
-    """The same ledger rows arrive in two files; every key is stored once."""
+    """The same ledger rows arrive twice, in several files; every key is stored once."""
     rows_ = ledger_history(spark, d)
     landed = _folder(spark, "ledger-in")
     for _ in range(2):
-        rows_.coalesce(1).write.mode("append").parquet(landed)
-    snaps = live.Snapshots(spark, _folder(spark, "ledger"), rows_.schema)
-    snaps.seed(rows_.where(F.lit(False)))
-    stream = spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    seen = []
-
-    def each(batch, batch_id):
-        live.record_each(snaps, ["series_id", *L.KEY])(batch, batch_id)
-        seen.append(batch_id)
-
-    _drain(live.run_batches(stream, each, _folder(spark, "ck"), live.AVAILABLE_NOW))
-    final = snaps.at(max(seen) + 1)
-    return final.groupBy("series_id", "as_of", "horizon", "model_version").agg(
+        rows_.repartition(3, "horizon").write.mode("append").parquet(landed)
+    keys = ["series_id", *L.KEY]
+    store = live.Deltas(spark, _folder(spark, "ledger"), rows_.schema)
+    store.seed(rows_.where(F.lit(False)))
+    stream = spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 2).parquet(landed)
+    _drain(live.run_batches(stream, lambda batch, i: store.append(i, batch), _folder(spark, "ck"), live.AVAILABLE_NOW))
+    store.compact(live.first_rows(keys))
+    return store.base().groupBy("series_id", "as_of", "horizon", "model_version").agg(
         F.max("prediction").alias("prediction"), F.count(F.lit(1)).cast("int").alias("n"))
 
 
@@ -128,22 +140,16 @@ SELECT series_id, as_of, horizon, prediction, realized, {r('realized_ret')}, rea
 def str_settle(spark, d):
     """Outcomes arrive year by year and fill the open rows of the stored ledger."""
     ledger = ledger_history(spark, d)
-    snaps = live.Snapshots(spark, _folder(spark, "ledger"), ledger.schema)
-    snaps.seed(ledger)
-    outcomes = L.outcomes(panel.official(spark, d)).withColumn("year", F.year("realized_date"))
+    outcomes = L.outcomes(panel.official(spark, d))
     landed = _folder(spark, "outcomes")
-    outcomes.repartition("year").write.partitionBy("year").parquet(landed)
-    stream = (spark.readStream.schema(outcomes.schema).option("maxFilesPerTrigger", 4)
-              .parquet(landed))
-    seen = []
-
-    def each(batch, batch_id):
-        live.settle_each(snaps, ["series_id", "as_of", "horizon"])(batch, batch_id)
-        seen.append(batch_id)
-
-    _drain(live.run_batches(stream, each, _folder(spark, "ck"), live.AVAILABLE_NOW))
-    return report(snaps.at(max(seen) + 1), "series_id", "as_of", "horizon", "prediction", "realized",
-                  "realized_ret", "realized_date")
+    (outcomes.withColumn("year", F.year("realized_date")).repartition("year").write.partitionBy("year").parquet(landed))
+    store = live.Deltas(spark, _folder(spark, "ledger"), ledger.schema, outcomes.schema)
+    store.seed(ledger)
+    schema = T.StructType([*outcomes.schema.fields, T.StructField("year", T.IntegerType())])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(landed)
+    _drain(live.run_batches(stream, lambda batch, i: store.append(i, batch), _folder(spark, "ck"), live.AVAILABLE_NOW))
+    return report(store.view(live.open_rows_filled(["series_id", "as_of", "horizon"])), "series_id", "as_of", "horizon",
+                  "prediction", "realized", "realized_ret", "realized_date")
 
 
 @query("str_late_revision", Q.query(f"""
@@ -153,27 +159,19 @@ FROM (SELECT series_id, date, price, 'erapi' AS source FROM official WHERE date
 FULL JOIN (SELECT series_id, date, close AS price FROM market WHERE date >= date '2000-01-01') b
   ON s.series_id = b.series_id AND s.date = b.date""", "official", "market"))
 def str_late_revision(spark, d):
-    """Market rows arrive as official revisions in two files and overwrite the store."""
+    """Market rows arrive as official revisions in several files and overwrite the store."""
     stored = panel.official(spark, d).where(F.col("date") <= F.lit("2000-06-30").cast("date")).select(
         *KEYS, "price", F.lit("erapi").alias("source"))
     revisions = (panel.market(spark, d).where(F.col("date") >= F.lit("2000-01-01").cast("date"))
                  .select(*KEYS, F.col("close").alias("price"), F.lit("cbr").alias("source"),
                          F.lit(1).alias("seq")))
     landed = _folder(spark, "revisions")
-    half = F.dayofmonth("date") <= 15
-    revisions.where(half).coalesce(1).write.mode("append").parquet(landed)
-    revisions.where(~half).coalesce(1).write.mode("append").parquet(landed)
-    snaps = live.Snapshots(spark, _folder(spark, "rates"), stored.schema)
-    snaps.seed(stored)
+    revisions.repartition(4, "series_id").write.parquet(landed)
+    store = live.Deltas(spark, _folder(spark, "rates"), stored.schema, revisions.schema)
+    store.seed(stored)
     stream = spark.readStream.schema(revisions.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    seen = []
-
-    def each(batch, batch_id):
-        live.revise(snaps, KEYS)(batch, batch_id)
-        seen.append(batch_id)
-
-    _drain(live.run_batches(stream, each, _folder(spark, "ck"), live.AVAILABLE_NOW))
-    return snaps.at(max(seen) + 1)
+    _drain(live.run_batches(stream, lambda batch, i: store.append(i, batch), _folder(spark, "ck"), live.AVAILABLE_NOW))
+    return store.view(live.newest_values(list(KEYS)))
 
 
 @query("str_freshness_pick", Q.query("""

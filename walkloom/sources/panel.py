@@ -103,11 +103,3 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         day.alias("date"), "text", F.substring("text", 1, 200).alias("title"), "source")
 
-
-def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, minute, high, low, n, close) from the event stream."""
-    return (table(spark, sf_dir, "events")
-            .groupBy(F.col("event_type").alias("series_id"),
-                     F.date_trunc("minute", "ts").alias("minute"))
-            .agg(F.max("value").alias("high"), F.min("value").alias("low"),
-                 F.count(F.lit(1)).alias("n"), F.max_by("value", "event_id").alias("close")))

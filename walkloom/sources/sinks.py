@@ -64,14 +64,15 @@ POINTER = "CURRENT"
 
 
 def publish(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
-            keep_previous_if_empty: bool = True) -> bool:
-    """Replace a published result in one step; read it with ``published``.
+            keep_previous_if_empty: bool = True, tag: str = "") -> bool:
+    """Replace a published result in one step; read it with ``published``. ``tag`` goes into the
+    version's name.
 
     The result is written to a new version folder and counted in the same job; then a pointer file
     is switched by one rename. A job that fails, or an empty result, leaves the previous version.
     """
     spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    version = f"v{tag}-{uuid.uuid4().hex}"
     seen = Observation()
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
     if partition_by:
@@ -93,9 +94,13 @@ def publish(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[s
     return True
 
 
+def current_version(spark: SparkSession, path: str) -> str:
+    return spark.read.text(f"{path}/{POINTER}").first()[0]
+
+
 def published(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
     """The version the pointer names."""
-    version = spark.read.text(f"{path}/{POINTER}").first()[0]
+    version = current_version(spark, path)
     reader = spark.read.format(fmt)
     return (reader.schema(schema) if schema is not None else reader).load(f"{path}/{version}")
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from walkloom import params as P
@@ -74,62 +75,81 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-class Snapshots:
-    """Versioned snapshots of a keyed table in one folder: v=0, v=1, ...
+class Deltas:
+    """A keyed table as a published base and one delta per batch: what a batch costs depends on the batch,
+    not on the history.
 
-    A batch writes the snapshot of its own number from the newest one below it. A batch
-    that runs again after a failure writes the same version again, so nothing is
-    applied twice.
+    A batch writes the folder of its own number; one that runs again after a failure writes the same
+    folder again, so nothing is applied twice. Readers resolve keys over base and deltas;
+    ``compact``, on a schedule of its own, folds the deltas into a new base and switches to it in one step.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, delta_schema: T.StructType | None = None):
         self.spark, self.root, self.schema = spark, root, schema
-
-    def _path(self, version: int) -> str:
-        return f"{self.root}/v={version}"
+        self.delta_schema = delta_schema or schema
 
     def seed(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self._path(0))
-
-    def at(self, version: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self._path(version))
-
-    def advance(self, batch_id: int, build: Callable[[DataFrame], DataFrame]) -> None:
-        """Version batch_id + 1 from version batch_id."""
-        build(self.at(batch_id)).write.mode("overwrite").parquet(self._path(batch_id + 1))
-
-
-def revise(snapshots: Snapshots, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: revised or future-dated rows overwrite stored ones column by column."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        # several revisions of a key inside one batch: the last non-null value per column wins
-        values = [c for c in batch.columns if c not in (*keys, "seq")]
-        newest = batch.groupBy(*keys).agg(*[
-            F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in values])
-        snapshots.advance(batch_id, lambda old: sinks.upsert_coalesce(old, newest, keys))
-    return each
-
-
-def settle_each(snapshots: Snapshots, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: new outcomes (stream) fill open ledger rows (static snapshot)."""
-    cols = ["realized", "realized_ret", "realized_date"]
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        def fill(ledger: DataFrame) -> DataFrame:
-            new = batch.select(*keys, *[F.col(c).alias(f"_{c}") for c in cols]).dropDuplicates(keys)
-            open_row = F.col("realized").isNull() & F.col("prediction").isNotNull()
-            joined = ledger.join(new, keys, "left")
-            return joined.select(*[F.when(open_row, F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
-                                   if c in cols else F.col(c) for c in ledger.columns])
-        snapshots.advance(batch_id, fill)
-    return each
-
-
-def record_each(snapshots: Snapshots, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: append ledger rows whose key is new."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        snapshots.advance(batch_id, lambda old: sinks.insert_ignore(old, batch, keys))
-    return each
+        sinks.publish(df, f"{self.root}/base", keep_previous_if_empty=False, tag="0")
+
+    def base(self) -> DataFrame:
+        return sinks.published(self.spark, f"{self.root}/base", schema=self.schema)
+
+    def folded(self) -> int:
+        """Batches below this number are in the base."""
+        return int(sinks.current_version(self.spark, f"{self.root}/base")[1:].split("-")[0])
+
+    def append(self, batch_id: int, df: DataFrame) -> None:
+        df.select(*self.delta_schema.names).write.mode("overwrite").parquet(f"{self.root}/deltas/b={batch_id}")
+
+    def pending(self) -> DataFrame:
+        """Deltas that are not in the base, with their batch number ``b``."""
+        schema = T.StructType([*self.delta_schema.fields, T.StructField("b", T.LongType())])
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/deltas")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/deltas").where(F.col("b") >= self.folded())
+
+    def view(self, resolve: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        return resolve(self.base(), self.pending())
+
+    def compact(self, resolve: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        pending = self.pending()
+        last = pending.agg(F.max("b")).first()[0]
+        if last is not None:
+            sinks.publish(resolve(self.base(), pending.where(F.col("b") <= last)), f"{self.root}/base",
+                          keep_previous_if_empty=False, tag=str(last + 1))
+
+
+def newest_values(keys: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Revisions overwrite stored rows column by column; the last non-null value wins by (b, seq)."""
+    def resolve(base: DataFrame, deltas: DataFrame) -> DataFrame:
+        values = [c for c in deltas.columns if c not in (*keys, "seq", "b")]
+        newest = deltas.groupBy(*keys).agg(*[
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("b", "seq"))).alias(c) for c in values])
+        return sinks.upsert_coalesce(base, newest, keys)
+    return resolve
+
+
+def open_rows_filled(keys: list[str], cols=("realized", "realized_ret", "realized_date")):
+    """The first outcome of a key fills an open row of the ledger; settled rows stay."""
+    def resolve(base: DataFrame, deltas: DataFrame) -> DataFrame:
+        first = deltas.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct("b", *cols)).alias("_o"))
+        open_row = F.col("realized").isNull() & F.col("prediction").isNotNull()
+        joined = base.join(first, keys, "left")
+        return joined.select(*[F.when(open_row, F.col("_o")[c]).otherwise(F.col(c)).alias(c)
+                               if c in cols else F.col(c) for c in base.columns])
+    return resolve
+
+
+def first_rows(keys: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A stored row stays; of new rows with one key the first batch counts."""
+    def resolve(base: DataFrame, deltas: DataFrame) -> DataFrame:
+        rest = [c for c in base.columns if c not in keys]
+        first = deltas.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("b", *rest)).alias("_f"))
+        new = first.join(base.select(*keys), keys, "left_anti").select(
+            *[F.col(c) if c in keys else F.col("_f")[c].alias(c) for c in base.columns])
+        return base.unionByName(new)
+    return resolve
 
 
 def dedup(stream: DataFrame, keys: list[str], time_col: str, delay: str) -> DataFrame:
