@@ -33,7 +33,7 @@ DISCOUNT = 0.75
 CLASS_DISCOUNTS = (0.9, 1.6, 2.2)
 WINDOWS = (12, 32)
 #: Buckets of the finished tables; a prime.
-SLOTS = 4_194_301
+SLOTS = 1_048_573
 
 
 def plain(text: str | None) -> np.ndarray:
@@ -66,6 +66,7 @@ class Model:
     seen: np.ndarray       # log ratio of a 5-gram seen in training, NaN elsewhere
     context: np.ndarray    # log ratio of backoff weights of a 4-byte context, 0 if in neither class
     weights: np.ndarray    # logistic curve over `shape`
+    shared: object = None  # the broadcast of the two tables
 
     def ratios(self, text: str | None) -> np.ndarray:
         data = plain(text)
@@ -100,8 +101,10 @@ class Model:
 
 
 def spread(df: DataFrame, model: Model):
-    """The model's arrays to every executor: ``2 * SLOTS`` floats."""
-    return df.sparkSession.sparkContext.broadcast((model.seen, model.context, model.weights))
+    """The model's arrays to every executor: ``2 * SLOTS`` floats, once per model."""
+    if model.shared is None:
+        model.shared = df.sparkSession.sparkContext.broadcast((model.seen, model.context))
+    return model.shared
 
 
 def clean_labels(labels: DataFrame, label: str = "toxic") -> DataFrame:
@@ -228,10 +231,10 @@ def train(docs: DataFrame, labels: DataFrame, curve_rows: int = 6_000, slots: in
     chosen = sample_ids(marked.where(fold(F.col("_id")) == 4).withColumnRenamed("_id", "doc_id"), "doc_id", curve_rows)
     chosen = chosen.withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    shared = spread(docs, model)
+    shared, weights = spread(docs, model), model.weights
 
     def run(batches):
-        here = Model(*shared.value)
+        here = Model(*shared.value, weights)
         for pdf in batches:
             yield pd.DataFrame({"y": pdf["_y"], "x": [here.shape(t) for t in pdf["text"]]})
 
@@ -253,11 +256,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     kept = docs.drop("score", "predicted")
     schema = extended(kept, score="double")
     at = kept.columns.index("text")
-    shared = spread(docs, model)
+    shared, weights = spread(docs, model), model.weights
 
     def run(batches):
         import pyarrow as pa
-        here = Model(*shared.value)
+        here = Model(*shared.value, weights)
         for batch in slices(batches):
             values = here.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())],
