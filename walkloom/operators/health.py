@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from walkloom import params as P
 from walkloom.functions.frames import SERIES
-from walkloom.operators import backtest as B
 from walkloom.operators import joins as J
 
 

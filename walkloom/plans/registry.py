@@ -51,10 +51,11 @@ def scored_news(spark: SparkSession, d: str) -> DataFrame:
         lexicon_score(F.col("text"), list(panel.POSITIVE), list(panel.NEGATIVE)).alias("sentiment"))
 
 
-def full_base(spark: SparkSession, d: str, series: str | None = "o_orderpriority") -> DataFrame:
-    """Aligned table with market, oil, sentiment and key rate."""
-    return J.aligned(panel.official(spark, d, series), panel.market(spark, d, series),
-                     panel.oil(spark, d), sentiment(spark, d), panel.key_rate(spark, d))
+def full_base(spark: SparkSession, d: str, series: str | None = "o_orderpriority", gaps: dict | None = None) -> DataFrame:
+    """Aligned table with market, oil, sentiment and key rate; ``gaps`` as in ``panel.GAPS``."""
+    of = lambda name: (gaps or {}).get(name, {})
+    return J.aligned(panel.official(spark, d, series), panel.market(spark, d, series, **of("market")),
+                     panel.oil(spark, d, **of("oil")), sentiment(spark, d), panel.key_rate(spark, d, **of("key_rate")))
 
 
 def price_base(spark: SparkSession, d: str, series: str | None = "o_orderpriority") -> DataFrame:
@@ -62,7 +63,8 @@ def price_base(spark: SparkSession, d: str, series: str | None = "o_orderpriorit
     return J.aligned(panel.official(spark, d, series))
 
 
-def market_base(spark: SparkSession, d: str, series: str | None = "o_orderpriority") -> DataFrame:
-    """Official prices with market and oil."""
-    return J.aligned(panel.official(spark, d, series), panel.market(spark, d, series),
-                     panel.oil(spark, d))
+def market_base(spark: SparkSession, d: str, series: str | None = "o_orderpriority", gaps: dict | None = None) -> DataFrame:
+    """Official prices with market and oil; ``gaps`` as in ``panel.GAPS``."""
+    of = lambda name: (gaps or {}).get(name, {})
+    return J.aligned(panel.official(spark, d, series), panel.market(spark, d, series, **of("market")),
+                     panel.oil(spark, d, **of("oil")))

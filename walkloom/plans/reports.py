@@ -45,8 +45,8 @@ def directions_input(spark: SparkSession, d: str, **kw) -> DataFrame:
     return B.direction_inputs(full_base(spark, d), **kw)
 
 
-def long_rows(spark: SparkSession, d: str, policy=None, with_regime=False) -> DataFrame:
-    return B.long_decisions(S.long_signals(market_base(spark, d), with_regime=with_regime), policy)
+def long_rows(spark: SparkSession, d: str, policy=None, with_regime=False, gaps=None) -> DataFrame:
+    return B.long_decisions(S.long_signals(market_base(spark, d, gaps=gaps), with_regime=with_regime), policy)
 
 
 def current_directions(spark: SparkSession, d: str) -> DataFrame:
@@ -149,9 +149,9 @@ def agg_bucket_hits(spark, d):
     return report(df, "series_id", "horizon", "pool", "bucket", "wins", "n", "rate")
 
 
-@query("agg_gate_buckets", Q.query("SELECT series_id, horizon, cell, wins, n, rate FROM gates", "gates"))
+@query("agg_gate_buckets", Q.query("SELECT series_id, horizon, cell, wins, n, rate FROM gates", "gates", gaps=True))
 def agg_gate_buckets(spark, d):
-    return report(B.gate_tables(long_rows(spark, d)), exact=("rate",))
+    return report(B.gate_tables(long_rows(spark, d, gaps=panel.GAPS)), exact=("rate",))
 
 
 _dir_report = f"""
@@ -198,8 +198,8 @@ def agg_pool_monotonic(spark, d):
                                           "raw_rate", "rate")
 
 
-def label_rows(spark, d):
-    return E.label_rows(market_base(spark, d), split_year=SPLIT_YEAR, jump=PANEL_JUMP)
+def label_rows(spark, d, gaps=None):
+    return E.label_rows(market_base(spark, d, gaps=gaps), split_year=SPLIT_YEAR, jump=PANEL_JUMP)
 
 
 _stats = f"""count(*) AS n, count(*) FILTER (WHERE y3 = 1) AS up, count(*) FILTER (WHERE y3 = 0) AS flat,
@@ -222,9 +222,9 @@ def _layer_sql(source: str) -> str:
             f"GROUP BY GROUPING SETS ({sets})")
 
 
-@query("agg_label_layers", Q.query(_layer_sql("lbl"), "lbl"))
+@query("agg_label_layers", Q.query(_layer_sql("lbl"), "lbl", gaps=True))
 def agg_label_layers(spark, d):
-    return report(E.label_layers(label_rows(spark, d)))
+    return report(E.label_layers(label_rows(spark, d, panel.GAPS)))
 
 
 @query("agg_distribution", Q.query(f"""
@@ -696,9 +696,9 @@ def card_predict(spark, d):
 
 @query("exp_label_diagnostic", Q.query(
     f"SELECT 'raw' AS frame, * FROM ({_layer_sql('lbl')}) UNION ALL "
-    f"SELECT 'clean', * FROM ({_layer_sql('(SELECT * FROM lbl WHERE clean)')})", "lbl"))
+    f"SELECT 'clean', * FROM ({_layer_sql('(SELECT * FROM lbl WHERE clean)')})", "lbl", gaps=True))
 def exp_label_diagnostic(spark, d):
-    rows_ = label_rows(spark, d)
+    rows_ = label_rows(spark, d, panel.GAPS)
     raw = E.label_layers(rows_).select(F.lit("raw").alias("frame"), "*")
     return report(raw.unionByName(
         E.label_layers(rows_.where("clean")).select(F.lit("clean").alias("frame"), "*")))

@@ -23,12 +23,12 @@ KEYS = ("series_id", "date")
 # ---------------------------------------------------------------------- features
 
 def _feature_query(name: str, cols: list[str], sql_cols: str | None = None,
-                   blocks: tuple[str, ...] = ("feat",), source: str = "feat") -> None:
-    sql = Q.query(f"SELECT series_id, date, {sql_cols or r(*cols)} FROM {source}", *blocks)
+                   blocks: tuple[str, ...] = ("feat",), source: str = "feat", gaps: dict | None = None) -> None:
+    sql = Q.query(f"SELECT series_id, date, {sql_cols or r(*cols)} FROM {source}", *blocks, gaps=bool(gaps))
 
     @query(name, sql)
     def run(spark, d):
-        return report(feat.build(full_base(spark, d), keep=cols), *KEYS, *cols)
+        return report(feat.build(full_base(spark, d, gaps=gaps), keep=cols), *KEYS, *cols)
 
 
 _feature_query("feat_returns", ["ret1", "mom5", "mom20"])
@@ -44,7 +44,7 @@ _feature_query("feat_corr60", ["cross_corr60"])
 _feature_query("feat_beta60", ["cross_beta60"])
 _feature_query("feat_oil", list(feat.OIL))
 _feature_query("feat_sentiment", list(feat.SENTIMENT))
-_feature_query("feat_rate", list(feat.RATE))
+_feature_query("feat_rate", list(feat.RATE), gaps=panel.GAPS)
 _feature_query(
     "feat_skew20", ["skew20"],
     r("""skew20=CASE WHEN n = 20 THEN sqrt(20*19)/18.0
@@ -464,10 +464,10 @@ def join_exact(spark, d):
 
 
 @query("join_exact_then_carry", Q.query(f"""
-SELECT series_id, date, {Q.carry("close")} AS close, {Q.carry("rate_raw")} AS rate FROM al""", "al"))
+SELECT series_id, date, {Q.carry("close")} AS close, {Q.carry("rate_raw")} AS rate FROM al""", "al", gaps=True))
 def join_exact_then_carry(spark, d):
-    df = J.exact_then_carry(panel.official(spark, d), panel.market(spark, d), ["close"])
-    rate = panel.key_rate(spark, d).withColumnRenamed("value", "rate")
+    df = J.exact_then_carry(panel.official(spark, d), panel.market(spark, d, **panel.GAPS["market"]), ["close"])
+    rate = panel.key_rate(spark, d, **panel.GAPS["key_rate"]).withColumnRenamed("value", "rate")
     df = J.exact_then_carry(df, J.per_day(rate), ["rate"], on=("date",))
     return report(df, *KEYS, "close", "rate")
 
@@ -475,18 +475,18 @@ def join_exact_then_carry(spark, d):
 @query("join_asof_backward", Q.query(f"""
 SELECT o.series_id, o.date, i.value AS oil, m.close AS market_close FROM official o
 ASOF LEFT JOIN oil i ON o.date >= i.date
-ASOF LEFT JOIN market m ON o.series_id = m.series_id AND o.date >= m.date""", "official", "oil", "market"))
+ASOF LEFT JOIN market m ON o.series_id = m.series_id AND o.date >= m.date""", "official", "oil", "market", gaps=True))
 def join_asof_backward(spark, d):
-    df = J.asof_macro(panel.official(spark, d), panel.oil(spark, d), "value", "oil")
-    market = panel.market(spark, d).select(*KEYS, F.col("close").alias("market_close"))
+    df = J.asof_macro(panel.official(spark, d), panel.oil(spark, d, **panel.GAPS["oil"]), "value", "oil")
+    market = panel.market(spark, d, **panel.GAPS["market"]).select(*KEYS, F.col("close").alias("market_close"))
     return report(J.asof_backward(df, market, ["market_close"], chunk=F.year),
                   *KEYS, "oil", "market_close")
 
 
 @query("join_asof_tolerance_rows", Q.query(
-    f"SELECT series_id, date, src_t::int AS src_t, {r('dev')} FROM near", "near"))
+    f"SELECT series_id, date, src_t::int AS src_t, {r('dev')} FROM near", "near", gaps=True))
 def join_asof_tolerance_rows(spark, d):
-    df = S.market_position(S.market_z(market_base(spark, d)))
+    df = S.market_position(S.market_z(market_base(spark, d, gaps=panel.GAPS)))
     return report(df, *KEYS, F.col("near_src_t").alias("src_t"), F.col("near_dev").alias("dev"))
 
 
@@ -509,9 +509,9 @@ def join_interval_contaminate(spark, d):
 
 @query("join_semi_exists", Q.query("""
 SELECT series_id, date, EXISTS (SELECT 1 FROM market m WHERE m.series_id = o.series_id AND m.date = o.date)
-  AS has_market FROM official o""", "official", "market"))
+  AS has_market FROM official o""", "official", "market", gaps=True))
 def join_semi_exists(spark, d):
-    marks = panel.market(spark, d).select(*KEYS, F.lit(True).alias("has_market"))
+    marks = panel.market(spark, d, **panel.GAPS["market"]).select(*KEYS, F.lit(True).alias("has_market"))
     return panel.official(spark, d).join(marks, list(KEYS), "left").select(
         *KEYS, F.coalesce("has_market", F.lit(False)).alias("has_market"))
 
