@@ -155,6 +155,25 @@ def test_log_ratios_equal_brute_force(spark):
         assert set(got) == set(slots) and all(abs(got[s] - r) < 1e-9 for s, r in single.items())
 
 
+def test_every_gram_keeps_its_own_ratio(spark):
+    # two letter 5-grams that 1,048,573 buckets could not tell apart
+    letters = [int.from_bytes(bytes([a, b, c, d, e])) for a in b"aeos" for b in b"bdfglmn" for c in range(97, 123)
+               for d in range(97, 123) for e in range(97, 123)]
+    at = {}
+    one, two = next((at[g % 1_048_573], g) for g in letters if at.setdefault(g % 1_048_573, g) != g)
+    toxic, plain = (g.to_bytes(5).decode() for g in (one, two))
+    rows = [(f"he is {toxic} and {toxic}y", 1)] + [(f"the {plain} of day {'abcdefgh'[i]}", 0) for i in range(8)]
+    seen, contexts = kneser_ney(rows, None)
+    tables = toxicity.log_ratios(toxicity.gram_counts(spark.createDataFrame(rows, "text string, _y int")))
+    parts = [toxicity.pieces(df, "test", size=9) for df in tables]
+    model = toxicity.Model(*parts, np.zeros(5))
+    assert len(parts[0]) > 2 and len(model.seen) == len(seen) and seen[one] > 0 > seen[two]
+    texts = [t for t, _ in rows] + [None, "", f"she is {plain} and unseen {toxic}zz words"]
+    for text, got in zip(texts, model.ratios(texts), strict=True):
+        grams = toxicity.codes(toxicity.plain(text), 5).tolist()
+        assert np.allclose(got, [seen.get(g, contexts.get(g >> 8, 0.0)) for g in grams], atol=1e-5)
+
+
 def test_rejection_threshold():
     top, right = np.array([0.9, 0.8, 0.7, 0.6]), np.array([True, True, False, True])
     assert langid.reject_below(top, right, 0.0) == 0.8

@@ -10,8 +10,10 @@ log-likelihoods and by the largest such difference over short windows, which a l
 fitted on a fold kept out of the counts turns into a probability.
 
 Counting, continuation counts and smoothing are Spark aggregations and joins over all labelled
-documents; what they gather grows with the corpus. Only the finished log ratios, folded into a
-fixed number of buckets, go to the tasks: ``2 * SLOTS`` floats whatever the corpus.
+documents; what they gather grows with the corpus, and so does the finished model: every 5-gram and
+every context has its own key. Keys and log ratios go to the tasks as broadcasts of at most ``PIECE``
+keys each, in ranges of keys. A task looks a few texts up in one range after the other and holds one
+range at a time; the driver passes them on one at a time, too.
 """
 
 from __future__ import annotations
@@ -32,8 +34,11 @@ DISCOUNT = 0.75
 #: What a class's 5-gram counted once, twice, or more often gives to the shared backoff model.
 CLASS_DISCOUNTS = (0.9, 1.6, 2.2)
 WINDOWS = (12, 32)
-#: Buckets of the finished tables; a prime.
-SLOTS = 1_048_573
+#: Keys of the finished tables: every five bytes have their own.
+SLOTS = 1 << 40
+#: Keys in one broadcast, and letters that are looked up together.
+PIECE = 1 << 20
+LETTERS = 1 << 20
 
 
 def plain(text: str | None) -> np.ndarray:
@@ -61,26 +66,52 @@ def codes(data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def opened(piece):
+    """(keys, ratios) of a piece, a tuple or a broadcast; a broadcast is read and not kept."""
+    if isinstance(piece, tuple):
+        return piece
+    plain_file = piece._sc is None and getattr(piece, "_path", None) and not hasattr(piece, "_value")  # a task, not encrypted
+    return piece.load_from_path(piece._path) if plain_file else piece.value
+
+
+def looked_up(pieces, grams: np.ndarray) -> np.ndarray:
+    """The ratio of each of the ascending ``grams``, NaN where no piece has it."""
+    out = np.full(len(grams), np.nan)
+    for piece in pieces:
+        keys, ratios = opened(piece)
+        a, b = np.searchsorted(grams, keys[0]), np.searchsorted(grams, keys[-1], "right")
+        at = np.searchsorted(keys, grams[a:b])
+        hit = keys[at] == grams[a:b]
+        out[a:b][hit] = ratios[at[hit]]
+    return out
+
+
 @dataclass
 class Model:
-    seen: np.ndarray       # log ratio of a 5-gram seen in training, NaN elsewhere
-    context: np.ndarray    # log ratio of backoff weights of a 4-byte context, 0 if in neither class
+    grams: list            # pieces (keys, log ratios) of the 5-grams seen in training, in ranges of keys
+    contexts: list         # the same of backoff weights of 4-byte contexts
     weights: np.ndarray    # logistic curve over `shape`
-    shared: object = None  # the broadcast of the two tables
-
-    def ratios(self, text: str | None) -> np.ndarray:
-        data = plain(text)
-        five = codes(data, ORDER)
-        if not len(five):
-            return np.zeros(0)
-        known = self.seen[five % len(self.seen)]
-        back = self.context[(five >> 8) % len(self.context)]
-        return np.where(np.isnan(known), back, known).astype(float)
-
-    def shape(self, text: str | None) -> np.ndarray:
+
+    @property
+    def seen(self) -> np.ndarray:
+        """Log ratios of all seen 5-grams in the order of their keys."""
+        return np.concatenate([np.zeros(0, np.float32), *[opened(p)[1] for p in self.grams]])
+
+    def ratios(self, texts) -> list[np.ndarray]:
+        """The log ratio at every position: of the 5-gram, else of its context, else 0."""
+        five = [codes(plain(t), ORDER) for t in texts]
+        flat = np.concatenate([np.zeros(0, np.int64), *five])
+        once = np.unique(flat)
+        known = looked_up(self.grams, once)
+        new = np.isnan(known)
+        heads = once[new] >> 8  # ascending, too
+        known[new] = np.nan_to_num(looked_up(self.contexts, heads))
+        flat = known[np.searchsorted(once, flat)]
+        return np.split(flat, np.cumsum([len(f) for f in five])[:-1])
+
+    def shape(self, r: np.ndarray) -> np.ndarray:
         """Length-normalised log-likelihood difference of the whole text and its largest value over
         windows; zeros for a text without letters."""
-        r = self.ratios(text)
         out = np.zeros(2 + len(WINDOWS))
         if not len(r):
             return out
@@ -92,19 +123,54 @@ class Model:
         out[-1] = np.log1p(len(r)) / 10
         return out
 
+    def shapes(self, texts) -> np.ndarray:
+        """``shape`` of every text, as many texts at a time as have ``LETTERS`` letters together."""
+        out, some, n = [], [], 0
+        for i, text in enumerate(texts):
+            some.append(text)
+            n += len(text or "")
+            if n >= LETTERS or i == len(texts) - 1:
+                out += [self.shape(r) for r in self.ratios(some)]
+                some, n = [], 0
+        return np.array(out, float).reshape(len(out), 2 + len(WINDOWS))
+
     def score(self, texts) -> np.ndarray:
-        if not len(texts):
-            return np.zeros(0)
-        x = np.stack([self.shape(t) for t in texts])
+        x = self.shapes(texts)
         z = np.column_stack([x, np.ones(len(x))]) @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def spread(df: DataFrame, model: Model):
-    """The model's arrays to every executor: ``2 * SLOTS`` floats, once per model."""
-    if model.shared is None:
-        model.shared = df.sparkSession.sparkContext.broadcast((model.seen, model.context))
-    return model.shared
+def pieces(table: DataFrame, name: str, size: int = PIECE) -> list:
+    """Broadcasts of (ascending keys, ratios) of a (slot, ratio) table, in ranges of about ``size``
+    keys. The driver knows the first key of every range and holds one range at a time."""
+    table = cut(table, f"toxicity-{name}")
+    parts = -(-table.count() // size) or 1
+
+    def pack(batches):
+        import pyarrow as pa
+        got = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        for a in range(0, got.num_rows if got else 0, size):
+            keys, ratios = (got.column(i).slice(a, size).to_numpy() for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(keys[0])]), pa.array([len(keys)], pa.int64()), pa.array([keys.astype(np.int64).tobytes()], pa.binary()),
+                 pa.array([ratios.astype(np.float32).tobytes()], pa.binary())], names=["first", "n", "keys", "ratios"])
+
+    ranges = cut(table.select("slot", "ratio").repartitionByRange(parts, "slot").sortWithinPartitions("slot")
+                 .mapInArrow(pack, "first long, n long, keys binary, ratios binary"), f"toxicity-{name}-ranges")
+    groups, held = [], size
+    for row in ranges.select("first", "n").orderBy("first").toLocalIterator():
+        if held + row["n"] > size:
+            groups.append([row["first"], row["first"]])
+            held = 0
+        groups[-1][1] = row["first"]
+        held += row["n"]
+    out = []
+    for a, b in groups:
+        got = sorted(ranges.where(F.col("first").between(a, b)).select("first", "keys", "ratios").collect())
+        out.append(table.sparkSession.sparkContext.broadcast(
+            (np.frombuffer(b"".join(r["keys"] for r in got), np.int64),
+             np.frombuffer(b"".join(r["ratios"] for r in got), np.float32))))
+    return out
 
 
 def clean_labels(labels: DataFrame, label: str = "toxic") -> DataFrame:
@@ -154,9 +220,9 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 def log_ratios(grams: DataFrame, slots: int = SLOTS, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
-    """Bucketed (slot, ratio) tables: of seen 5-grams, and of 4-byte contexts.
+    """(slot, ratio) tables: of seen 5-grams, and of 4-byte contexts. A slot is the gram itself.
 
-    Buckets shared by several grams hold the mean weighted by their counts.
+    With fewer ``slots`` than keys, those shared by several grams hold the mean weighted by their counts.
     """
     low = lambda n: F.lit((1 << (8 * n)) - 1)
     # shared lower orders: a gram counts once for every different longer gram that ends in it
@@ -193,6 +259,8 @@ def log_ratios(grams: DataFrame, slots: int = SLOTS, discount: float = DISCOUNT)
                           F.log(weight("t") / weight("o")).alias("r"))
 
     def folded(df):
+        if slots >= SLOTS:
+            return df.select(F.col("gram").alias("slot"), F.col("r").alias("ratio"))
         return (df.groupBy(F.pmod("gram", F.lit(slots)).alias("slot"))
                 .agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("ratio")))
 
@@ -212,7 +280,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60
     return np.concatenate([w[:-1] / sd, [w[-1] - (w[:-1] * mean / sd).sum()]])
 
 
-def train(docs: DataFrame, labels: DataFrame, curve_rows: int = 6_000, slots: int = SLOTS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, curve_rows: int = 6_000) -> Model:
     """Counts over every labelled document of folds 1 to 3; the curve is fitted on at most
     ``curve_rows`` labelled documents of fold 4. Fold 0 is never looked at."""
     marked = clean_labels(labels)
@@ -222,21 +290,15 @@ def train(docs: DataFrame, labels: DataFrame, curve_rows: int = 6_000, slots: in
     texts = matching(texts, "doc_id", wanted) if wanted else texts.limit(0)
     counted = texts.join(used.hint("merge"), F.col("doc_id") == F.col("_id"))
     grams = cut(gram_counts(counted), "toxicity-grams")
-    seen, contexts = log_ratios(grams, slots)
-    model = Model(np.full(slots, np.nan, np.float32), np.zeros(slots, np.float32),
-                  np.zeros(3 + len(WINDOWS)))
-    for df, into in ((seen, model.seen), (contexts, model.context)):
-        got = df.toArrow()
-        into[got["slot"].to_numpy()] = got["ratio"].to_numpy()
+    seen, contexts = log_ratios(grams)
+    model = Model(pieces(seen, "seen"), pieces(contexts, "contexts"), np.zeros(3 + len(WINDOWS)))
     chosen = sample_ids(marked.where(fold(F.col("_id")) == 4).withColumnRenamed("_id", "doc_id"), "doc_id", curve_rows)
     chosen = chosen.withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    shared, weights = spread(docs, model), model.weights
 
     def run(batches):
-        here = Model(*shared.value, weights)
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf["_y"], "x": [here.shape(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"y": pdf["_y"], "x": list(model.shapes(pdf["text"].tolist()))})
 
     got = rows.select("text", "_y").mapInPandas(run, "y int, x array<double>").toArrow()
     y = np.asarray(got["y"].to_numpy(), float)
@@ -256,13 +318,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     kept = docs.drop("score", "predicted")
     schema = extended(kept, score="double")
     at = kept.columns.index("text")
-    shared, weights = spread(docs, model), model.weights
 
     def run(batches):
         import pyarrow as pa
-        here = Model(*shared.value, weights)
         for batch in slices(batches):
-            values = here.score(batch.column(at).to_pylist())
+            values = model.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())],
                                              names=[*batch.schema.names, "score"])
 
