@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import empty_documents, odd_documents, odd_texts
 from walkloom.llm import langid, quality, toxicity
-from walkloom.llm.common import fold, table
+from walkloom.llm.common import fold, sample_ids, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -174,6 +174,19 @@ def test_every_gram_keeps_its_own_ratio(spark):
         assert np.allclose(got, [seen.get(g, contexts.get(g >> 8, 0.0)) for g in grams], atol=1e-5)
 
 
+def test_fold_four_beyond_the_curve_is_counted(spark):
+    rows = [(i, f"text {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}vwxz") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    folds = dict(docs.select("doc_id", fold(F.col("doc_id"))).collect())
+    of = lambda ids: {g for i, t in rows if i in ids for g in toxicity.codes(toxicity.plain(t), 5).tolist()}
+    for taken in (3, 1000):
+        model = toxicity.train(docs, labels, curve_rows=taken)
+        curve = {r[0] for r in sample_ids(docs.where(fold(F.col("doc_id")) == 4), "doc_id", taken).collect()}
+        want = of({i for i, f in folds.items() if f in (1, 2, 3, 4) and i not in curve})
+        assert set(np.concatenate([toxicity.opened(p)[0] for p in model.grams]).tolist()) == want
+
+
 def test_rejection_threshold():
     top, right = np.array([0.9, 0.8, 0.7, 0.6]), np.array([True, True, False, True])
     assert langid.reject_below(top, right, 0.0) == 0.8

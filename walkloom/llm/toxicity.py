@@ -281,10 +281,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60
 
 
 def train(docs: DataFrame, labels: DataFrame, curve_rows: int = 6_000) -> Model:
-    """Counts over every labelled document of folds 1 to 3; the curve is fitted on at most
-    ``curve_rows`` labelled documents of fold 4. Fold 0 is never looked at."""
+    """The curve is fitted on at most ``curve_rows`` labelled documents of fold 4, and every other
+    labelled document of folds 1 to 4 is counted. Fold 0 is never looked at."""
     marked = clean_labels(labels)
-    used = marked.where(fold(F.col("_id")).isin(1, 2, 3)).withColumn("_id", F.col("_id").cast(docs.schema["doc_id"].dataType))
+    chosen = sample_ids(marked.where(fold(F.col("_id")) == 4), "_id", curve_rows)
+    chosen = cut(chosen, "toxicity-curve")
+    used = (marked.where(fold(F.col("_id")).isin(1, 2, 3, 4)).join(F.broadcast(chosen), "_id", "left_anti")
+            .withColumn("_id", F.col("_id").cast(docs.schema["doc_id"].dataType)))
     wanted = build(used, "_id")  # unlabelled texts are not shuffled
     texts = docs.select("doc_id", "text")
     texts = matching(texts, "doc_id", wanted) if wanted else texts.limit(0)
@@ -292,8 +295,6 @@ def train(docs: DataFrame, labels: DataFrame, curve_rows: int = 6_000) -> Model:
     grams = cut(gram_counts(counted), "toxicity-grams")
     seen, contexts = log_ratios(grams)
     model = Model(pieces(seen, "seen"), pieces(contexts, "contexts"), np.zeros(3 + len(WINDOWS)))
-    chosen = sample_ids(marked.where(fold(F.col("_id")) == 4).withColumnRenamed("_id", "doc_id"), "doc_id", curve_rows)
-    chosen = chosen.withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
 
     def run(batches):
