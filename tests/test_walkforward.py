@@ -79,6 +79,24 @@ def test_direction_walkforward_equals_simulation(inputs, decisions, n):
         assert strong_rows > 20
 
 
+def test_registered_walkforward_returns_all_horizons(spark, inputs, monkeypatch):
+    from walkloom.plans import registry, reports
+    monkeypatch.setattr(reports, "directions_input", lambda *_: inputs)
+    rows = registry.QUERIES["bt_direction_walkforward_all"](spark, "").toPandas()
+    summary = registry.QUERIES["agg_direction_report_all"](spark, "").toPandas()
+    windows = summary.set_index(["series_id", "horizon"])["windows"].to_dict()
+    frame = inputs.toPandas().sort_values(["series_id", "t"])
+    assert set(rows.horizon) == set(P.HORIZONS)
+    for name, g in frame.groupby("series_id"):
+        g = g.reset_index(drop=True)
+        for n in P.HORIZONS:
+            want = {g["date"][t]: v for t, v in simulate(g, n).items()}
+            got = rows[(rows.series_id == name) & (rows.horizon == n)]
+            assert len(got) == len(want) == windows[name, n]
+            for row in got.itertuples():
+                assert (row.signal, row.pred) == want[row.date][:2] and abs(row.conf - want[row.date][2]) < 2e-3
+
+
 def long_simulation(g, n, policy):
     lp, rev, z = np.log(g["price"].to_numpy()), g["rev"].to_numpy(float), g["z60"].to_numpy(float)
     pools, out = {"plain": {}, "confirmed": {}, "weak": {}}, {}

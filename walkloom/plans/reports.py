@@ -526,6 +526,19 @@ def bt_direction_walkforward_mid(spark, d):
     return report(B.direction_report(B.direction_decisions(directions_input(spark, d), [30, 60])))
 
 
+@query("bt_direction_walkforward_all")
+def bt_direction_walkforward_all(spark, d):
+    """Decisions of all horizons; those of 30 and 60 depend on earlier strong rows, which the SQL leaves out."""
+    df = B.direction_decisions(directions_input(spark, d), P.HORIZONS)
+    return report(df, *KEYS, "horizon", "signal", "pred", "conf", "actual")
+
+
+@query("agg_direction_report_all")
+def agg_direction_report_all(spark, d):
+    """The report over all horizons."""
+    return report(B.direction_report(B.direction_decisions(directions_input(spark, d), P.HORIZONS)))
+
+
 @query("cal_market_buckets", Q.query(
     "SELECT series_id, horizon, bucket, hits, n, rate FROM calr UNION ALL "
     "SELECT series_id, horizon, 'meanrev', hits, n, rate FROM mrr", "calr", "mrr"))
