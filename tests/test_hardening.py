@@ -139,6 +139,32 @@ def test_pretty_printed_candles_and_quarantine(spark, tmp_path):
         readers.strict_documents(docs).collect()
 
 
+def test_a_broken_first_line_loses_only_itself(spark, tmp_path):
+    good = [json.dumps({"timestamp": [86400 * i], "close": [float(i)]}) for i in range(1, 5)]
+    (tmp_path / "cut.json").write_text("\n".join(['{"timestamp": [1, 2', *good[:2]]))
+    (tmp_path / "type.json").write_text("\r\n".join(['{"timestamp": "x", "close": [7.0]}', *good[2:], "{}"]))
+    (tmp_path / "pretty.json").write_text('{\n"extra":\n{"a": [1]},\n"timestamp": [432000],\n"close":\n[5.0]\n}\n')
+    got = readers.json_parallel_arrays(spark, str(tmp_path)).collect()
+    assert sorted((r.date.day, r.value) for r in got) == [(i + 1, float(i)) for i in range(1, 6)]
+    docs = readers.documents(spark, str(tmp_path), readers.ARRAYS_SCHEMA)
+    assert sorted(r.broken for r in docs.where("broken IS NOT NULL").collect()) == ['{"timestamp": "x", "close": [7.0]}', '{"timestamp": [1, 2']
+    assert docs.where("doc IS NOT NULL").count() == 6
+
+
+def test_documents_are_read_in_splits(spark, tmp_path):
+    (tmp_path / "many.json").write_text("\n".join(json.dumps({"timestamp": [86400 * i], "close": [1.0]}) for i in range(3000)))
+    (tmp_path / "pretty.json").write_text(json.dumps({"timestamp": [86400 * i for i in range(3000)], "close": [1.0] * 3000}, indent=1))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        docs = readers.documents(spark, str(tmp_path), readers.ARRAYS_SCHEMA)
+        assert docs.where("broken IS NOT NULL").count() == 0 and docs.count() == 3001
+        split = docs.where(F.col("file").contains("many")).select(F.spark_partition_id().alias("p")).distinct().count()
+        assert split > 3 and readers.json_parallel_arrays(spark, str(tmp_path)).count() == 6000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_pretty_printed_arrays_and_quotes(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "q").mkdir()

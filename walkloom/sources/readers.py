@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from walkloom.functions import scalars as X
 
@@ -52,19 +53,27 @@ def strict_rates(records: DataFrame) -> DataFrame:
 def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(file, doc, broken) of JSON documents: one to a line, or one to a file with line breaks inside.
 
-    A file whose first line is a document of its own holds one per line, any other is a single
-    document. ``doc`` is NULL and ``broken`` holds the source text where it cannot be read: keep those
-    rows as a quarantine, or fail on them with ``strict_documents``.
+    Files are read by lines. A line is a document if it can be read and has a field of the schema; a file
+    with such a line holds one document per line, and only what its other lines hold is lost. The lines of
+    a file without one are put together again, as a single document. ``doc`` is NULL and ``broken`` holds
+    the source text where it cannot be read: keep those rows as a quarantine, or fail on them with
+    ``strict_documents``.
     """
-    full = f"{schema}, _broken string"
+    full = T.StructType.fromDDL(f"{schema}, _broken string")
     parse = lambda text: F.from_json(text, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    fine = lambda text: parse(text)["_broken"].isNull()
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    texts = F.when(F.size(lines) == 0, lines).when(fine(F.get(lines, F.lit(0))), lines).otherwise(F.array("value"))
-    docs = files.select("file", F.explode(texts).alias("text")).withColumn("doc", parse(F.col("text")))
-    bad = F.col("doc").isNull() | F.col("doc._broken").isNotNull()
-    return docs.select("file", F.when(~bad, F.col("doc")).alias("doc"), F.when(bad, F.col("text")).alias("broken"))
+    fine = F.col("doc").isNotNull() & F.col("doc._broken").isNull()
+    filled = F.greatest(*[F.col("doc")[f.name].isNotNull() for f in full.fields if f.name != "_broken"], F.lit(False))
+    shaped = lambda df: df.select("file", F.when(fine, F.col("doc")).alias("doc"), F.when(~fine, F.col("text")).alias("broken"))
+    lines = (spark.read.text(path).where(F.trim("value") != "")
+             .select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+                     F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text"))
+             .withColumn("doc", parse(F.col("text"))).withColumn("_good", fine & filled))
+    by_line = lines.groupBy("file").agg(F.max("_good").alias("_by_line"))
+    rest = lines.where(~F.col("_good")).join(by_line, "file")
+    whole = (rest.where(~F.col("_by_line")).groupBy("file")
+             .agg(F.array_sort(F.collect_list(F.struct("_start", "_at", "text"))).alias("_lines"))
+             .select("file", F.array_join(F.col("_lines.text"), "\n").alias("text")).withColumn("doc", parse(F.col("text"))))
+    return shaped(lines.where("_good")).unionByName(shaped(rest.where("_by_line"))).unionByName(shaped(whole))
 
 
 def strict_documents(docs: DataFrame) -> DataFrame:
