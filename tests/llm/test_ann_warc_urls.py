@@ -57,6 +57,24 @@ def test_small_odd_tables_are_exact(spark):
     assert ann.search(df.where("vec_id = 0")).collect() == []
 
 
+def test_every_length_gets_neighbours(spark):
+    rng = np.random.default_rng(6)
+    dims = {0: 3, 1: 5, 2: 3, 3: 8}
+    rows = [(i, rng.normal(size=dims[i % 4]).astype(np.float32).tolist()) for i in range(120)]
+    rows += [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(200, 212)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
+    got = {}
+    for r in ann.search(df, every=5, k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    vec = dict(rows)
+    assert set(got) == {i for i, _ in rows if i % 5 == 0}
+    for q, ids in got.items():
+        assert len(ids) == 3 and all(len(vec[i]) == len(vec[q]) for i in ids)
+        alike = [(i, v) for i, v in rows if len(v) == len(vec[q])]
+        if len(alike) <= 12:
+            assert ids == [i for _, i in nearest(alike, 5, 3)[q]]
+
+
 def test_a_hot_vector_and_ties(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [1.0] * 16 if i % 3 else rng.normal(size=16).astype(np.float32).tolist()) for i in range(1500)]

@@ -13,6 +13,7 @@ anybody's k nearest; the others are left out before lists are made, which loses
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -120,17 +121,30 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, fit_rows: int = FI
            max_lists: int = MAX_LISTS, block: int = BLOCK, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows whose id ``every`` divides, their k nearest others.
 
-    Rows with a null id, or a vector that is null, empty, zero, or holds null or non-finite components take no part, nor do
-    those whose length isn't the commonest. Repeated rows count once. Ties go to the smaller id.
+    Rows with a null id, or a vector that is null, empty, zero, or holds null or non-finite components take no part. Vectors are
+    compared with those of their own length: there is one index and one search per length (lengths are few, and counted first).
+    Repeated rows count once. Ties go to the smaller id.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fine = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(column).alias("v")).where(
         F.col("vec_id").isNotNull() & usable(F.col("v")))
-    common = fine.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    if common is None:
+    lengths = (fine.groupBy(F.size("v").alias("dim"))
+               .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("asked"))
+               .where("asked > 0").orderBy("dim").collect())
+    found = [_candidates(fine, int(r["dim"]), int(r["n"]), vectors.schema[column].dataType.simpleString(), every, k, fit_rows,
+                         goal, max_lists, block) for r in lengths]
+    if not found:
         return empty
-    dim, total = int(common["dim"]), int(common["n"])
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return (functools.reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+
+
+def _candidates(fine: DataFrame, dim: int, total: int, kind: str, every: int, k: int, fit_rows: int, goal: float,
+                max_lists: int, block: int) -> DataFrame:
+    """(query_id, vec_id, score) among the ``total`` rows of ``fine`` whose vectors have ``dim`` components."""
     fine = fine.where(F.size("v") == dim).withColumn("h", F.xxhash64("v"))
     alike = Window.partitionBy("h", "v").orderBy("vec_id")
     once = fine.distinct().withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= k + 1).select("vec_id", "v")
@@ -149,7 +163,6 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, fit_rows: int = FI
                 yield pd.DataFrame({"list": index.nearest(stacked(pdf["v"]), 1)[:, 0].astype(np.int32),
                                     "vec_id": pdf["vec_id"], "v": pdf["v"]})
 
-    kind = vectors.schema[column].dataType.simpleString()
     dealt = cut(once.mapInPandas(deal, f"list int, vec_id long, v {kind}"), "ann-lists")
     sizes = np.zeros(lists, np.int64)
     for row in dealt.groupBy("list").count().collect():  # one row per list
@@ -186,8 +199,4 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, fit_rows: int = FI
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": d})
 
     keys = ["list", "b", "c"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
