@@ -171,3 +171,19 @@ def test_given_weights(spark):
     weights = spark.createDataFrame([("a", 3), ("b", 1)], "source string, weight long")
     got = {r.source: r.target for r in mixing.mix(df, weights).select("source", "target").distinct().collect()}
     assert got == {"a": 1200.0, "b": 400.0}
+
+
+def test_sources_without_a_weight_stay(spark):
+    docs = spark.createDataFrame([(i, "one two three", None, s, 1) for i, s in enumerate(["a", "a", "b", "c", None, "d"])], SCHEMA)
+    weights = spark.createDataFrame([("a", 1), ("b", 3), ("c", None), ("d", 0), ("unused", 2)], "source string, weight long")
+    for knobs in ({}, {"broadcast_rows": 0}):
+        rows = mixing.mix(docs, weights, **knobs).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(6))
+        for r in rows:
+            if r.source in ("a", "b"):
+                assert r.target > 0
+            else:
+                assert (r.target, r.copies, r.taken, r.size, r.source_size) == (0.0, 0, 0, 3, 3)
+    for bad in ([("a", 1), ("a", 2)], [("a", -1)], [(None, 1), (None, 1)]):
+        with pytest.raises(ValueError, match="weights"):
+            mixing.mix(docs, spark.createDataFrame(bad, weights.schema))

@@ -62,17 +62,23 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3,
 
     A null or empty text has size 0 and is emitted by the same rule; a null source is a source of
     its own. Rows with equal ids draw the same number. ``weights`` is a cycle of whole numbers, or
-    a table (source, weight).
+    a table (source, weight) with one row per source. A source whose weight is missing, null or 0 has target 0
+    and no copies; its tokens are not shared out. Repeated sources and weights below 0 are errors.
     """
     sizes = (docs.select("source", n_words(F.col("text")).alias("_n"))
              .groupBy("source").agg(F.sum("_n").alias("source_size")))
     sizes = cut(sizes, "mix-sizes")
     if isinstance(weights, DataFrame):
         w = weights.select(F.col("source").alias("_s"), F.col("weight").cast("long").alias("weight"))
-        weighted = sizes.join(w, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        wrong = w.groupBy("_s").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("w")).where("n > 1 OR w < 0").first()
+        if wrong is not None:
+            raise ValueError(f"weights: {wrong['n']} rows of source {wrong['_s']!r}, the smallest weight is {wrong['w']}")
+        weighted = sizes.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        some = F.coalesce(F.col("weight") > 0, F.lit(False))
+        planned = targets(weighted.where(some), max_epochs).unionByName(weighted.where(~some).withColumn("target", F.lit(0.0)))
     else:
-        weighted = cyclic_weights(sizes, weights)
-    plan = cut(targets(weighted, max_epochs), "mix-targets").select(
+        planned = targets(cyclic_weights(sizes, weights), max_epochs)
+    plan = cut(planned, "mix-targets").select(
         F.col("source").alias("_source"), F.col("source_size").alias("_source_size"),
         F.col("target").alias("_target"))
     rows = packed(docs, "doc_id", "text", "source", row="_all")
