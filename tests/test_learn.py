@@ -43,3 +43,14 @@ def test_tree_models_fit(data, monkeypatch):
         monkeypatch.setitem(learn.MODELS, name, small(name))
         out = learn.walk_forward(data, NAMES, name, skip_years=1)
         assert out.where((F.col("prob") >= 0) & (F.col("prob") <= 1)).count() == out.count() > 0
+
+
+def test_every_model_is_registered(aligned, monkeypatch):
+    from walkloom.plans import learning, registry
+    ran = []
+    monkeypatch.setattr(learning, "full_base", lambda *_: aligned)
+    monkeypatch.setattr(learn, "report", lambda data, names, models, eras: ran.extend(models))
+    for name, query in registry.QUERIES.items():
+        if name.startswith("exp_ml_walkforward"):
+            query(None, "")
+    assert sorted(ran) == sorted(learn.MODELS) == ["GBT", "LR", "RF"]

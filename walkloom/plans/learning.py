@@ -1,4 +1,4 @@
-"""Registered classifier walk-forward (no SQL counterpart)."""
+"""Registered classifier walk-forwards (no SQL counterpart)."""
 
 from __future__ import annotations
 
@@ -9,10 +9,25 @@ from walkloom.plans.registry import full_base, query
 from walkloom.plans.reports import ERAS
 
 
-@query("exp_ml_walkforward")
-def exp_ml_walkforward(spark, d):
-    """Logistic model, refitted every year; forest and boosted trees run with models=(...), for minutes
-    each on small panels, and are left out here for that."""
+def _walkforward(spark, d, model):
     names = [*feat.ALL, "rev"]
     df = S.reversion(feat.build(full_base(spark, d)))
-    return learn.report(learn.dataset(df, names), names, models=("LR",), eras=ERAS)
+    return learn.report(learn.dataset(df, names), names, models=(model,), eras=ERAS)
+
+
+@query("exp_ml_walkforward")
+def exp_ml_walkforward(spark, d):
+    """Logistic model, refitted every year; the forest and the boosted trees take longer and are queries of their own."""
+    return _walkforward(spark, d, "LR")
+
+
+@query("exp_ml_walkforward_forest")
+def exp_ml_walkforward_forest(spark, d):
+    """Random forest, refitted every year on all labelled rows."""
+    return _walkforward(spark, d, "RF")
+
+
+@query("exp_ml_walkforward_boosted")
+def exp_ml_walkforward_boosted(spark, d):
+    """Boosted trees, refitted every year on all labelled rows."""
+    return _walkforward(spark, d, "GBT")
