@@ -30,3 +30,18 @@ def test_query_matches_sql(spark, name):
     cur = con.execute(entry.oracle_sql()[name])
     cols = [d[0] for d in cur.description]
     assert compare([tuple(r) for r in df.collect()], df.columns, cur.fetchall(), cols) is None
+
+
+@pytest.mark.parametrize("name, parts", [
+    ("exp_label_diagnostic_all", {"layers": "exp_label_diagnostic", "missing": "agg_missing", "jumps": "win_jumps"}),
+    ("exp_snapshot_audit_all", {"summary": "exp_snapshot_audit", "changed_by_year": "agg_changed_by_year",
+                                           "islands": "win_islands", "contamination": "win_trailing_contamination"})])
+def test_composites_hold_all_their_sections(spark, name, parts):
+    sf = "/root/testdata/sf0.01"
+    got = entry.queries()[name](spark, sf).cache()
+    want = {"exp_label_diagnostic_all": {"distribution", "contamination"}, "exp_snapshot_audit_all": {"metrics"}}[name] | set(parts)
+    assert {r.section for r in got.select("section").distinct().collect()} == want - {s for s, q in parts.items() if s == "jumps" and entry.queries()[q](spark, sf).isEmpty()}
+    for section, query in parts.items():
+        df = entry.queries()[query](spark, sf)
+        rows = lambda x: sorted(map(str, x.select(*df.columns).collect()))
+        assert rows(got.where(f"section = '{section}'")) == rows(df)

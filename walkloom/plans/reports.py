@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from walkloom.oracle import ctes as Q
 from walkloom.oracle.ctes import W, r, rows
 from walkloom.plans.registry import (full_base, market_base, price_base, query, report,
                                      scored_news, sentiment)
-from walkloom.plans.windows import _flip, flipped
+from walkloom.plans.windows import _flip, contamination, flipped
 from walkloom.session import materialise
 from walkloom.sources import panel, sinks
 
@@ -783,3 +785,32 @@ def exp_snapshot_audit(spark, d):
     new = panel.official(spark, d)
     return E.audit_summary(flipped(new), new)
 
+
+def _sections(**parts: DataFrame) -> DataFrame:
+    """One table of several, the name of each in a column ``section``; columns a part lacks are NULL."""
+    named = [df.select(F.lit(name).alias("section"), "*") for name, df in parts.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+@query("exp_label_diagnostic_all")
+def exp_label_diagnostic_all(spark, d):
+    """Layers with missing reasons, distribution, jump edges and contamination counts."""
+    prices = price_base(spark, d)
+    jumps = S.jumps(prices)
+    return _sections(layers=exp_label_diagnostic(spark, d), missing=E.missing_labels(prices),
+                     distribution=report(E.distribution(label_rows(spark, d, panel.GAPS))),
+                     jumps=report(jumps.where("edge"), *KEYS, "next_date", "next_move", "edge"),
+                     contamination=contamination(jumps))
+
+
+@query("exp_snapshot_audit_all")
+def exp_snapshot_audit_all(spark, d):
+    """Summary with changes by year, islands of changed rows, contamination of the old snapshot and metric deltas."""
+    new = panel.official(spark, d)
+    old = flipped(new)
+    both = J.snapshot_compare(old, new)
+    metrics = [B.long_report(B.long_decisions(S.long_signals(J.aligned(side, panel.market(spark, d), panel.oil(spark, d)))), ERAS)
+               for side in (old.drop("nominal"), new)]
+    return _sections(summary=E.audit_summary(old, new), changed_by_year=E.changed_by_year(both), islands=S.islands(both, "changed"),
+                     contamination=contamination(S.jumps(old)),
+                     metrics=report(J.metrics_delta(*metrics, ["series_id", "horizon"], list(_METRICS))))

@@ -269,7 +269,12 @@ FROM (SELECT *, {", ".join(f"max(edge_day) OVER {rows(n)} AS h{n}" for n in (20,
     FROM (SELECT series_id, date, {_edge} AS edge FROM (SELECT series_id, date, {_flip} AS price FROM official))))
 GROUP BY 1""", "official"))
 def win_trailing_contamination(spark, d):
-    df = S.trailing_contamination(S.jumps(flipped(panel.official(spark, d))))
+    return contamination(S.jumps(flipped(panel.official(spark, d))))
+
+
+def contamination(jumps):
+    """Edge days, and rows with one in their window, of ``signals.jumps``."""
+    df = S.trailing_contamination(jumps)
     return df.groupBy("series_id").agg(
         F.count_if(F.col("edge_day") == 1).alias("n_edge_days"),
         *[F.count_if(F.col(f"hit_{n}") == 1).alias(f"rows_{n}") for n in (20, 60, 120, 150, 252)])
