@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from walkloom.llm import (
     ann,
+    crosstok,
     decontam,
     langid,
     license,
@@ -20,7 +21,7 @@ from walkloom.llm import (
     urlfilter,
     warc,
 )
-from walkloom.llm.common import fold, fresh_dir, table
+from walkloom.llm.common import cut, fold, fresh_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -248,3 +249,12 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_dir(spark, "warc")
     warc.archive(table(spark, d, "pages").select("page_id", "url", "html"), path)
     return warc.captures(spark, path)
+
+
+@_register("op12_cross_tokenizer")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    aligned = crosstok.align_texts(crosstok.distinct_texts(docs), *crosstok.tokenizer_files())
+    digests = aligned.withColumn("groups_sha256", F.sha2(F.col("groups"), 256)).drop("groups")
+    found = crosstok.align(docs, cut(digests, "crosstok-aligned"), extra=("groups_sha256",))
+    return found.withColumn("groups_sha256", F.coalesce("groups_sha256", F.lit("")))
