@@ -20,6 +20,7 @@ from walkloom.llm import (
     toxicity,
     urlfilter,
     warc,
+    whitening,
 )
 from walkloom.llm.common import cut, fold, fresh_dir, table
 
@@ -258,3 +259,8 @@ def op12(spark: SparkSession, d: str) -> DataFrame:
     digests = aligned.withColumn("groups_sha256", F.sha2(F.col("groups"), 256)).drop("groups")
     found = crosstok.align(docs, cut(digests, "crosstok-aligned"), extra=("groups_sha256",))
     return found.withColumn("groups_sha256", F.coalesce("groups_sha256", F.lit("")))
+
+
+@_register("op13_embedding_whitening")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings").select("vec_id", "embedding"))
