@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from walkloom.session import materialise, shared_dir
 
-__all__ = ["cut", "extended", "fold", "fresh_dir", "lower_ascii", "md5_unit", "packed", "sample_ids", "slices", "table", "unpacked", "unused"]
+__all__ = ["cut", "extended", "fold", "fresh_dir", "lower_ascii", "md5_unit", "packed", "sample_ids", "skew_join", "slices", "table", "unpacked", "unused"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -82,3 +82,12 @@ def slices(batches, rows: int = 512):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, times: str, total: int, hot: int = 1_000, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, whose column ``times`` says how many of the ``total`` rows of ``left`` have the key: the at most
+    ``hot`` keys with ``total / hot`` rows or more are broadcast, for the others no key is frequent."""
+    often = F.col(times) * hot >= max(total, hot)
+    many = F.broadcast(right.where(often))
+    return left.join(many, key).unionByName(
+        left.join(many.select(key).distinct(), key, "left_anti").join(right.where(~often), key, how))

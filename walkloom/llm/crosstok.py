@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import cut
+from walkloom.llm.common import cut, skew_join
 
 HEAVY = 200_000
 HOT = 1_000
@@ -338,12 +338,7 @@ def align(docs: DataFrame, aligned: DataFrame, extra: tuple[str, ...] = (), id_c
     text = F.col(f"`{text_col}`")
     ids = cut(docs.select(F.col(f"`{id_col}`").alias("_id"), F.when(F.length(text.cast("binary")) > 0, _digest(text)).alias("key")),
               "crosstok-ids")
-    n = ids.count()
-    hot_texts = F.broadcast(measured.where(F.col("copies") * hot >= max(n, hot)))
-    some = ids.where("key IS NOT NULL")
-    found = (some.join(hot_texts, "key").unionByName(
-        some.join(hot_texts.select("key"), "key", "left_anti")
-        .join(measured.where(F.col("copies") * hot < max(n, hot)), "key", "left"), allowMissingColumns=True)
-        .unionByName(ids.where("key IS NULL"), allowMissingColumns=True))
+    found = (skew_join(ids.where("key IS NOT NULL"), measured, "key", "copies", ids.count(), hot, "left")
+             .unionByName(ids.where("key IS NULL"), allowMissingColumns=True))
     counted = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in [*MEASURES, "n_best", "count_sum"]]
     return found.select(F.col("_id").alias(id_col), *counted, *extra)

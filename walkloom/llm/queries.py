@@ -16,6 +16,7 @@ from walkloom.llm import (
     license_rules,
     minhash,
     mixing,
+    mtree,
     quality,
     toxicity,
     urlfilter,
@@ -252,6 +253,21 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
     return warc.captures(spark, path)
 
 
+_OP11 = """
+WITH x AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, COALESCE(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])), 0)::BIGINT AS score, q.x AS qx
+      FROM x q JOIN x c ON len(q.x) = len(c.x) AND (q.vec_id <> c.vec_id OR q.x <> c.x) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id, qx ORDER BY score DESC, vec_id) AS n FROM p)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+
+@_register("op11_exact_topk", _OP11)
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return mtree.search(table(spark, d, "embeddings").select("vec_id", "embedding"))
+
+
 @_register("op12_cross_tokenizer")
 def op12(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
