@@ -12,13 +12,17 @@ COLUMNS = {
     "op4_nearest_neighbours": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
     "op7_quality_classifier": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op12_cross_tokenizer": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint",
+                             "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"},
+    "op13_embedding_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double",
+                                 "explained": "double", "identity_error": "double"},
 }
 
 
 def test_all_are_registered():
     names = set(entry.queries())
     assert set(queries.QUERIES) <= names and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
