@@ -62,8 +62,7 @@ def test_stored_bounds_save_distances():
     most = float((x**2).sum(axis=1).max()) * (1 + 1e-12)
     pages = mtree.bulk_load(ids, x, most, page=32)
     assert sorted(np.concatenate([p["ids"] for p in pages if p["leaf"]])) == list(range(len(x)))
-    for p in pages:
-        p["real"] = p["x"].astype(float)
+    pages = [mtree.opened(**p) for p in pages]
     work = []
     for q in x[::200]:
         s, i, _, n = mtree.best_first(pages, q, most, 6)

@@ -41,7 +41,7 @@ FIT_ROWS = 20_000
 REGION = 8_192
 MAX_REGIONS = 512
 BLOCK = 16_384
-PAGE = 64
+PAGE = 256
 CHUNK = 512
 SLACK = 1e-6
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -57,13 +57,16 @@ def usable(vector):
     return F.coalesce(vector.isNotNull() & fine, F.lit(False))
 
 
-def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of integer rows with an integer vector, exact; beyond the range of long they saturate."""
+def products(x: np.ndarray, q: np.ndarray, real: np.ndarray | None = None, peak: float | None = None) -> np.ndarray:
+    """Inner products of integer rows with an integer vector, exact; beyond the range of long they saturate.
+    ``real`` are the rows in double precision, ``peak`` bounds their components."""
     if not x.size:
         return np.zeros(len(x), np.int64)
-    most = float(np.abs(x.astype(float)).max()) * float(np.abs(q.astype(float)).max()) * x.shape[1]
+    real = x.astype(float) if real is None else real
+    peak = float(np.abs(real).max()) if peak is None else peak
+    most = peak * max(abs(int(q.max())), abs(int(q.min()))) * x.shape[1]
     if most < 2.0**53:
-        return (x.astype(float) @ q.astype(float)).astype(np.int64)
+        return (real @ q.astype(float)).astype(np.int64)
     if most < 2.0**62:
         return x @ q
     exact = x.astype(object) @ q.astype(object)
@@ -131,20 +134,28 @@ def best_first(pages: list[dict], q: np.ndarray, most: float, k: int, limit: int
         alive = np.flatnonzero(np.abs(distance - page["apart"]) - page["radius"] <= far)
         if not len(alive):
             continue
-        computed += len(alive)
+        if 2 * len(alive) >= len(page["x"]):  # picking them out would cost more than the few others
+            alive = slice(None)
+        x, near = page["x"][alive], page["real"][alive]
+        computed += len(x)
         if page["leaf"]:
-            x = page["x"][alive]
-            s = products(x, q)
-            scores, ids, same = np.concatenate([scores, s]), np.concatenate([ids, page["ids"][alive]]), np.concatenate([same, (x == q).all(axis=1)])
-            if limit is not None:
-                fine = scores >= limit
-                scores, ids, same = scores[fine], ids[fine], same[fine]
+            s = products(x, q, near, page["peak"])
+            least = scores[-1] if len(scores) == k else limit
+            if least is not None:
+                fine = np.flatnonzero(s >= least)
+                if not len(fine):
+                    continue
+                s, x = s[fine], x[fine]
+                new = page["ids"][alive][fine]
+            else:
+                new = page["ids"][alive]
+            scores, ids, same = np.concatenate([scores, s]), np.concatenate([ids, new]), np.concatenate([same, (x == q).all(axis=1)])
             order = np.lexsort((ids, ~scores))[:k]
             scores, ids, same = scores[order], ids[order], same[order]
             if len(scores) == k:
                 far = min(far, reach(scores[-1]))
         else:
-            d = np.sqrt(np.maximum(base - 2 * (page["real"][alive] @ real), 0))
+            d = np.sqrt(np.maximum(base - 2 * (near @ real), 0))
             for lower, below, at in zip((d - page["radius"][alive]).tolist(), page["below"][alive].tolist(), d.tolist()):
                 if lower <= far:
                     heapq.heappush(heap, (lower, below, at))
@@ -236,6 +247,13 @@ def build(rows: DataFrame, dim: int, k: int, fit_rows: int = FIT_ROWS, region: i
     return Tree(dim, Regions(most, pivots, radius, sizes), cut(pages, "mtree-pages"), block)
 
 
+def opened(leaf: bool, route: np.ndarray, x: np.ndarray, ids: np.ndarray, radius: np.ndarray, apart: np.ndarray, below: np.ndarray) -> dict:
+    """A page in the form that :func:`best_first` reads."""
+    real = x.astype(float)
+    return {"leaf": leaf, "route": route, "x": x, "real": real, "peak": float(np.abs(real).max()) if x.size else 0.0, "ids": ids,
+            "radius": radius, "apart": apart, "below": below}
+
+
 def _visit(tree: Tree, asked: DataFrame, k: int, chunk: int) -> DataFrame:
     """Search (key, region, limit, q) rows in the blocks of their regions."""
     dim, most, sizes = tree.dim, tree.regions.most, tree.regions.sizes
@@ -254,9 +272,8 @@ def _visit(tree: Tree, asked: DataFrame, k: int, chunk: int) -> DataFrame:
             pages = [None] * len(paged)
             for r in paged.itertuples(index=False):
                 x = np.frombuffer(r.vectors, np.int64).reshape(r.entries, dim)
-                pages[r.page] = {"leaf": r.leaf, "route": np.frombuffer(r.route, np.int64), "x": x, "real": x.astype(float),
-                                 "ids": np.frombuffer(r.ids, np.int64), "radius": np.frombuffer(r.radius), "apart": np.frombuffer(r.apart),
-                                 "below": np.frombuffer(r.below, np.int32)}
+                pages[r.page] = opened(r.leaf, np.frombuffer(r.route, np.int64), x, np.frombuffer(r.ids, np.int64),
+                                       np.frombuffer(r.radius), np.frombuffer(r.apart), np.frombuffer(r.below, np.int32))
             limits = [None if pd.isna(m) else int(m) for m in ask["limit"].astype(object)]
             for key, q, limit in zip(ask["key"], _stacked(ask["q"], dim), limits):
                 s, i, same, _ = best_first(pages, q, most, k, limit)
