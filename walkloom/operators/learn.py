@@ -1,4 +1,4 @@
-"""Yearly expanding walk-forward of classifiers (Spark ML), one distributed fit per year.
+"""Yearly expanding walk-forward of classifiers.
 
 All series of the panel train one model together. Labels whose outcome falls on or after
 the first day of the predicted year are left out of training (``embargo_rows`` later rows of the
@@ -7,13 +7,8 @@ same series must already be known); 0 disables that.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,44 +17,10 @@ from walkloom.functions import scalars as X
 from walkloom.functions.frames import SERIES, series_window
 from walkloom.operators import backtest as B
 from walkloom.operators import experiments as E
+from walkloom.operators import yearly
 from walkloom.session import materialise
 
-# fixed values: hyper-parameters, never tuned
-SEED = 42
-C_INVERSE_REG = 1.0
-
-
-def _prepare(features: list[str], scale: bool) -> list:
-    filled = [f"_f_{c}" for c in features]
-    stages = [Imputer(strategy="median", inputCols=features, outputCols=filled),
-              VectorAssembler(inputCols=filled, outputCol="_raw")]
-    if scale:
-        stages.append(StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True))
-    return stages
-
-
-def logistic(features: list[str], n_rows: int) -> Pipeline:
-    """L2 strength 1/C summed over rows, as a mean-loss penalty: 1 / (C * sum of weights);
-    balanced weights sum to the number of rows."""
-    model = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", maxIter=1000,
-                               regParam=1.0 / (C_INVERSE_REG * n_rows), standardization=False)
-    return Pipeline(stages=[*_prepare(features, True), model])
-
-
-def forest(features: list[str], n_rows: int) -> Pipeline:
-    model = RandomForestClassifier(featuresCol="_raw", labelCol="y", weightCol="w", numTrees=200,
-                                   maxDepth=6, minInstancesPerNode=20, seed=SEED)
-    return Pipeline(stages=[*_prepare(features, False), model])
-
-
-def boosted(features: list[str], n_rows: int) -> Pipeline:
-    model = GBTClassifier(featuresCol="_raw", labelCol="y", maxIter=200, maxDepth=4, stepSize=0.05,
-                          subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED)
-    return Pipeline(stages=[*_prepare(features, False), model])
-
-
-MODELS: dict[str, Callable[[list[str], int], Pipeline]] = {
-    "LR": logistic, "RF": forest, "GBT": boosted}
+MODELS = tuple(yearly.MODELS)
 
 
 def dataset(features_df: DataFrame, features: list[str], embargo_rows: int = P.LABEL_HORIZON,
@@ -74,40 +35,21 @@ def dataset(features_df: DataFrame, features: list[str], embargo_rows: int = P.L
 
 
 def walk_forward(data: DataFrame, features: list[str], model: str, skip_years: int = 2,
-                 min_train: int = 100, by=SERIES) -> DataFrame:
+                 min_train: int = 100, by=SERIES, **settings) -> DataFrame:
     """(by, date, y, prob) predictions of every year after the first ``skip_years``."""
-    # one row per calendar year reaches the driver
-    years = [r["year"] for r in data.select("year").distinct().orderBy("year").collect()]
-    parts = []
-    for year in years[skip_years:]:
-        start = F.lit(f"{year}-01-01").cast("date")
-        train = data.where((F.col("year") < year) & (F.col("known_on") < start))
-        sizes = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
-        n = sum(sizes.values())
-        if n < min_train or len(sizes) < 2:
-            continue
-        weight = F.when(F.col("y") == 1, n / (2.0 * sizes[1.0])).otherwise(n / (2.0 * sizes[0.0]))
-        train = train.withColumn("w", weight).persist()
-        fitted = MODELS[model](features, n).fit(train)
-        train.unpersist()
-        scored = fitted.transform(data.where(F.col("year") == year))
-        parts.append(scored.select(*by, "date", F.col("y").cast("int").alias("y"),
-                                   vector_to_array("probability")[1].alias("prob")))
-    if not parts:
-        raise ValueError("no year has enough training rows")
-    return reduce(DataFrame.unionByName, parts)
+    return yearly.walk_forward(data, features, model, list(by), skip_years, min_train, **settings)
 
 
-def report(data: DataFrame, features: list[str], models=("LR", "RF", "GBT"),
+def report(data: DataFrame, features: list[str], models=MODELS,
            eras=P.DEFAULT_ERAS, by=SERIES) -> DataFrame:
     """n, hit, AUC and Brier per model, overall and per era, next to two baselines."""
     data = materialise(data, "learn-data")
-    scored = [walk_forward(data, features, m, by=by).withColumn("model", F.lit(m)) for m in models]
+    scored = [materialise(walk_forward(data, features, m, by=by), "learn-scores").withColumn("model", F.lit(m)) for m in models]
     rev = X.clip(F.col("rev"), -10.0, 10.0)
     scored.append(data.where(F.col("rev").isNotNull()).select(
         *by, "date", F.col("y").cast("int").alias("y"), (1 / (1 + F.exp(-rev))).alias("prob"),
         F.lit("baseline_rev_sign").alias("model")))
-    table = materialise(reduce(DataFrame.unionByName, scored), "learn-scores")
+    table = reduce(DataFrame.unionByName, scored)
     spans = F.array_compact(F.array(F.lit("all"), B.era_of(F.col("date"), eras)))
     table = table.withColumn("era", F.explode(spans))
     metrics = E.class_metrics(table, ["model", "era"])
