@@ -156,6 +156,26 @@ def test_mix_comes_near_its_targets_and_repeats(spark, rng):
     assert mixing.mix(df).select("doc_id", "taken").exceptAll(again).count() == 0
 
 
+@pytest.mark.parametrize("sf,near", [("sf0.01", 0.05), ("sf0.1", 0.02)])
+def test_given_sources_come_near_their_targets(spark, sf, near):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text", "source")
+    sums = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t"), F.max("source_size").alias("s")).collect()
+    assert sum(r.s >= 10_000 for r in sums) > 5
+    assert [r for r in sums if r.s >= 10_000 and abs(r.n - r.t) > near * r.t] == []
+
+
+def test_one_long_document_does_not_decide(spark):
+    """Half of a source is one document: it is taken or the others are, in half of the sources each."""
+    rows = [(1000 * s + i, " ".join(["w"] * (3000 if i == 0 else 30)), None, f"s{s:02}", 0) for s in range(24) for i in range(101)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    weights = spark.createDataFrame([(f"s{s:02}", 1 + s % 2 * 2) for s in range(24)], "source string, weight long")
+    got = mixing.mix(df, weights)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t")).collect():
+        assert abs(r.n - r.t) <= 30
+    long = [r.copies for r in got.where("size = 3000").collect()]
+    assert len(set(long)) > 1 and abs(sum(long) - 24) <= 6
+
+
 def test_mix_of_odd_rows(spark):
     df, clash = odd_documents(spark)
     rows = mixing.mix(df).collect()

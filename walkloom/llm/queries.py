@@ -46,26 +46,36 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OP5 = r"""
-WITH d AS (SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
-           FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+        CAST(FLOOR(CAST(CAST('0x' || substr(md5('mix-' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE)
+          / 4503599627370496.0 * 1024) AS INTEGER) AS b FROM documents),
 s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 1 + (ROW_NUMBER() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % 3 AS weight,
-      3 * source_size AS cap FROM s),
+      ROW_NUMBER() OVER () AS sid, 3 * source_size AS cap FROM s),
 f AS (SELECT *, SUM(source_size) OVER () - COALESCE(SUM(cap) OVER (ORDER BY cap / weight, source IS NULL, source
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
       SUM(weight) OVER (ORDER BY cap / weight, source IS NULL, source
         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM w),
 l AS (SELECT lft, ws FROM f WHERE lft * weight <= cap * ws ORDER BY cap / weight, source IS NULL, source LIMIT 1),
-t AS (SELECT source, source_size, LEAST(CAST(cap AS DOUBLE),
+t AS (SELECT sid, source, source_size, LEAST(CAST(cap AS DOUBLE),
         CAST((SELECT lft FROM l) * weight AS DOUBLE) / CAST((SELECT ws FROM l) AS DOUBLE)) AS target FROM w),
-r AS (SELECT doc_id, size, source_size, target,
-        CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE 0.0 END AS rate,
-        CAST(CAST('0x' || substr(md5('mix-' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE)
-          / 4503599627370496.0 AS u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+r AS (SELECT doc_id, size, length(bin(size)) AS k, b, t.*, CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE 0.0 END AS rate
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT sid, k, b, CAST(SUM(size) AS BIGINT) AS s FROM r GROUP BY ALL),
+p AS (SELECT *, COALESCE(SUM(s) OVER (PARTITION BY sid, k ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM g),
+c AS (SELECT sid, k, SUM(s)::BIGINT AS total, ROW_NUMBER() OVER (PARTITION BY sid ORDER BY k DESC) AS n FROM g GROUP BY sid, k),
+q AS (SELECT c.*, (SELECT any_value(rate - FLOOR(rate)) FROM r WHERE r.sid = c.sid) AS fraction,
+        CAST(CAST('0x' || substr(md5('mix-' || c.k || '-' || COALESCE(t.source, '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
+      FROM c JOIN t USING (sid)),
+z AS (SELECT sid, 0::BIGINT AS n, 0::BIGINT AS k, 0.0::DOUBLE AS lack, -1 AS last FROM t
+  UNION ALL
+  SELECT z.sid, q.n, any_value(q.k)::BIGINT, any_value(q.fraction * q.total + z.lack)
+      - COALESCE(MAX(p.before + p.s) FILTER (p.before + q.draw * p.s < q.fraction * q.total + z.lack), 0),
+    COALESCE(MAX(p.b) FILTER (p.before + q.draw * p.s < q.fraction * q.total + z.lack), -1)
+  FROM z JOIN q ON q.sid = z.sid AND q.n = z.n + 1 JOIN p ON p.sid = q.sid AND p.k = q.k GROUP BY z.sid, q.n)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (FLOOR(rate) + CASE WHEN u < rate - FLOOR(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM r
+  CAST(size * (FLOOR(rate) + CASE WHEN r.b <= z.last THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r JOIN z ON z.sid = r.sid AND z.k = r.k AND z.n > 0
 """
 
 
