@@ -1,6 +1,7 @@
 """Nearest neighbours, WARC files and URL lists against brute force."""
 
 import datetime as dt
+import gzip
 import hashlib
 import random
 
@@ -126,10 +127,57 @@ def test_round_trip(spark, tmp_path, compress):
     assert got["<urn:page:3>"].target_uri == "u%0D%0AInjected: yes"
 
 
+def test_append_keeps_and_overwrite_replaces(spark, tmp_path):
+    path = f"file://{tmp_path}/archive"
+    one = lambda i: spark.createDataFrame([(i, f"u{i}", "x" * i)], "page_id long, url string, html string")
+    ids = lambda: sorted(r.page_id for r in warc.captures(spark, path).collect())
+    warc.archive(one(1), path)
+    warc.archive(one(2), path)
+    assert ids() == [1, 2]
+    with pytest.raises(Exception):
+        warc.archive(one(3).withColumn("url", F.raise_error(F.lit("stop"))), path)
+    assert ids() == [1, 2]
+    warc.archive(one(4), path, mode="overwrite")
+    assert ids() == [4]
+    warc.archive(one(5), path)
+    assert ids() == [4, 5]
+    warc.archive(one(5).limit(0), path, mode="overwrite")
+    assert ids() == []
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>body</p>"
+    head = lambda kind, n, extra=b"": b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:uuid:1>\r\n" + extra + b"Content-Length: %d\r\n\r\n" % n
+    plain = head(b"warcinfo", 4, b"WARC-Target-URI: a\r\n\tb\r\n  c\r\n") + b"info\r\n\r\n"
+    response = head(b"response", len(http), b"Content-Type: application/http; msgtype=response\r\n") + http + b"\r\n\r\n"
+    odd = head(b"resource", 3, b"Content-Type: application/http\r\n") + b"abc\r\n\r\n"
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.warc").write_bytes(plain + response)
+    (tmp_path / "deep" / "b.warc.gz").write_bytes(gzip.compress(response) + gzip.compress(odd))
+    (tmp_path / "notes.txt").write_text("no archive")
+    rows = warc.read(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.record_type, bytes(r.payload)) for r in rows) == [
+        ("resource", b"abc"), ("response", b"<p>body</p>"), ("response", b"<p>body</p>"), ("warcinfo", b"info")]
+    assert {r.target_uri for r in rows if r.record_type == "warcinfo"} == {"a b c"}
+    assert {r.content_length for r in rows if r.record_type == "response"} == {len(http)}
+
+
+def test_payloads_of_single_digests_stay(spark):
+    """Only pages of shared digests pass the filter to the join."""
+    df = spark.createDataFrame([(i, b"%d" % (i % 97 if i < 200 else i) * 600) for i in range(2000)], "page_id long, payload binary")
+    got = warc.with_revisits(df)
+    last = {}
+    for i in range(2000):
+        key = i % 97 if i < 200 else i
+        last[key] = max(last.get(key, 0), i)
+    want = {(i, last[k] if last[k] != i else None) for i in range(2000) for k in [i % 97 if i < 200 else i] if len(b"%d" % k) * 600 >= 1000}
+    assert {(r.page_id, r.refers_to) for r in got.where("payload_length >= 1000").collect()} == want
+
+
 def test_files_become_partitions(tmp_path):
     import json
     listed = [{"name": f"part-{i}.warc", "records": 1, "size": s} for i, s in enumerate([5, 5, 30, 1, 1])]
-    (tmp_path / warc.MANIFEST).write_text(json.dumps(listed))
+    (tmp_path / "manifest-1.json").write_text(json.dumps({"files": listed, "replaces": []}))
     parts = lambda n: [p.names for p in warc.WarcReader({"path": str(tmp_path), "partition_bytes": n}).partitions()]
     assert len(parts(1)) == 5 and parts(10**6) == [tuple(e["name"] for e in listed)]
     assert parts(10) == [("part-0.warc", "part-1.warc"), ("part-2.warc",), ("part-3.warc", "part-4.warc")]

@@ -5,9 +5,15 @@ record_type and on header columns are pushed down: a record's header block is pa
 the payload of a record that a predicate rules out, or that is not asked for (``payload=false``), is
 skipped without being decoded. Files may be gzip with one member per record, or plain.
 
+A folder that was not written here has no manifest: all its ``*.warc`` and ``*.warc.gz`` files are read, subfolders
+included. Header lines that begin with a blank continue the line above; of a repeated header the last counts. The payload of a record of type
+``application/http`` is what follows the HTTP head (the whole block if it has none), its encodings left as they are.
+
 Writing: every task writes one file per attempt under a name no other attempt has; the commit on
-the driver lists the files of the successful attempts in a manifest, and only listed files are
-read. A lost executor or a second attempt leaves a file nobody reads.
+the driver lists the files of the successful attempts in a manifest of its own, which appears by a rename, and only listed files are
+read. A lost executor or a second attempt leaves a file nobody reads. Appending adds a manifest, overwriting adds one that names
+those it replaces, an aborted write adds none. Rows of one page_id with equal payloads are records of their own: both are the response if the id
+is the largest. An empty table writes an empty manifest; columns other than the id, url and html are not looked at.
 
 Folders are opened with ``pyarrow.fs``, so any store that it knows will do.
 """
@@ -32,6 +38,9 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from walkloom.llm import idfilter
+from walkloom.llm.common import cut
+
 SCHEMA = ("record_id string, record_type string, target_uri string, warc_date string, refers_to string, "
           "payload_digest string, payload_length long, content_length long, payload binary")
 COLUMNS = [part.split()[0] for part in SCHEMA.split(", ")]
@@ -39,7 +48,7 @@ COLUMNS = [part.split()[0] for part in SCHEMA.split(", ")]
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri",
            "warc_date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest",
            "payload_length": "x-payload-length"}
-MANIFEST = "manifest.json"
+MANIFEST = "manifest"
 
 
 def _store(path: str):
@@ -75,7 +84,31 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options, schema)
+        return WarcWriter(self.options, schema, overwrite)
+
+
+def _manifests(store, root: str) -> dict[str, dict]:
+    """The manifests in force: {file name: {"files": [...], "replaces": [...]}}."""
+    from pyarrow import fs
+    found = {}
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith(MANIFEST) and info.base_name.endswith(".json"):
+            with store.open_input_stream(info.path) as f:
+                read = json.loads(f.read())
+            found[info.base_name] = read if isinstance(read, dict) else {"files": read, "replaces": []}
+    gone = {name for m in found.values() for name in m["replaces"]}
+    return {name: m for name, m in found.items() if name not in gone}
+
+
+def _listed(store, root: str) -> list[dict]:
+    """Names and sizes of the files to read."""
+    from pyarrow import fs
+    manifests = _manifests(store, root)
+    if manifests:
+        return [entry for m in manifests.values() for entry in m["files"]]
+    infos = store.get_file_info(fs.FileSelector(root, recursive=True))
+    return [{"name": i.path[len(root):].lstrip("/"), "size": i.size} for i in infos
+            if i.type == fs.FileType.File and i.base_name.endswith((".warc", ".warc.gz"))]
 
 
 class WarcReader(DataSourceReader):
@@ -101,10 +134,9 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         store, root = _store(self.path)
-        with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-            listed = json.loads(f.read())
+        root = root.rstrip("/")
         parts, now, size = [], [], 0
-        for entry in sorted(listed, key=lambda e: e["name"]):
+        for entry in sorted(_listed(store, root), key=lambda e: e["name"]):
             if now and size + entry["size"] > self.partition_bytes:
                 parts.append(Files(tuple(now)))
                 now, size = [], 0
@@ -199,10 +231,14 @@ def records(raw, wanted, payload: bool = True):
         lines = block.lstrip(b"\r\n").decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-        head = {}
+        head, key = {}, None
         for line in lines[1:]:
+            if key and line[:1] in (" ", "\t"):
+                head[key] += " " + line.strip()
+                continue
             key, _, value = line.partition(":")
-            head[key.strip().lower()] = value.strip()
+            key = key.strip().lower()
+            head[key] = value.strip()
         length = int(head["content-length"])
         row = {c: head.get(h) for c, h in HEADERS.items()}
         row["payload_length"] = int(row["payload_length"]) if row["payload_length"] else None
@@ -214,6 +250,8 @@ def records(raw, wanted, payload: bool = True):
             continue
         if payload:
             row["payload"] = data.exactly(length)
+            if head.get("content-type", "").lower().startswith("application/http"):
+                row["payload"] = row["payload"].partition(b"\r\n\r\n")[2] if b"\r\n\r\n" in row["payload"] else row["payload"]
         else:
             data.skip(length)
             row["payload"] = None
@@ -243,8 +281,8 @@ def record_bytes(row: dict) -> bytes:
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options, schema):
-        self.path = options["path"]
+    def __init__(self, options, schema, overwrite=False):
+        self.path, self.overwrite = options["path"], overwrite
         self.compress = str(options.get("compress", "true")).lower() == "true"
 
     def write(self, iterator):
@@ -267,11 +305,15 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(name, count, size)
 
     def commit(self, messages):
+        import uuid
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
+        replaces = sorted(_manifests(store, root)) if self.overwrite else []
         listed = [{"name": m.name, "records": m.records, "size": m.size} for m in messages if m and m.records]
-        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
-            out.write(json.dumps(listed).encode())
+        name = f"{MANIFEST}-{uuid.uuid4().hex}.json"
+        with store.open_output_stream(f"{root}/{name}.new") as out:
+            out.write(json.dumps({"files": listed, "replaces": replaces}).encode())
+        store.move(f"{root}/{name}.new", f"{root}/{name}")
 
     def abort(self, messages):
         """Nothing to undo: files without a manifest are never read."""
@@ -287,22 +329,29 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", at_least: int = 100
 
     Of records with equal payloads of at least ``at_least`` bytes the one with the largest id is the
     response, the others revisit it; shorter ones are all responses. The largest id per digest is a
-    mergeable aggregate; only digests of several pages come back, in a join by digest in which
-    adaptive execution splits a digest that many pages share.
+    mergeable aggregate; only digests of several pages come back. Pages whose digest may be one of them (a filter of
+    bounded size) are joined by digest, where adaptive execution splits a digest that many pages share; all other payloads stay where they are.
     """
     named = pages.withColumn("payload_digest", F.sha1("payload")).withColumn(
         "payload_length", F.octet_length("payload").cast("long"))
     large = named.where(F.col("payload_length") >= at_least)
-    last = (large.groupBy("payload_digest").agg(F.max(id_col).alias("_last"), F.count(F.lit(1)).alias("_n"))
-            .where("_n > 1").select("payload_digest", "_last"))
-    joined = named.join(last, "payload_digest", "left")
+    last = cut(large.groupBy("payload_digest").agg(F.max(id_col).alias("_last"), F.count(F.lit(1)).alias("_n"))
+               .where("_n > 1").select("payload_digest", "_last"), "warc-last")
+    shared = idfilter.build(last, "payload_digest")
+    none = F.lit(None).cast(named.schema[id_col].dataType)
+    if shared is None:
+        joined = named.withColumn("_last", none)
+    else:
+        maybe = named.withColumn("_d", F.when(F.col("payload_length") >= at_least, F.col("payload_digest")))
+        joined = (idfilter.matching(maybe, "_d", shared).join(last, "payload_digest", "left").select(*named.columns, "_last")
+                  .unionByName(idfilter.matching(maybe, "_d", shared, keep=False).select(*named.columns, none.alias("_last"))))
     again = F.col("_last").isNotNull() & (F.col("payload_length") >= at_least) & ~F.col(id_col).eqNullSafe(F.col("_last"))
     return (joined.withColumn("record_type", F.when(again, F.lit("revisit")).otherwise(F.lit("response")))
             .withColumn("refers_to", F.when(again, F.col("_last"))).drop("_last"))
 
 
 def archive(pages: DataFrame, path: str, id_col: str = "page_id", at_least: int = 1000,
-            date: str = "2024-01-01T00:00:00Z", compress: bool = True) -> None:
+            date: str = "2024-01-01T00:00:00Z", compress: bool = True, mode: str = "append") -> None:
     """Write one record per row of ``pages`` (page_id, url, html). A null html is an empty payload, a
     null id an empty record id. A revisit carries the digest and length of the payload, not its bytes."""
     register(pages.sparkSession)
@@ -313,7 +362,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", at_least: int
                 F.lit(date).alias("warc_date"), F.when(F.col("refers_to").isNotNull(), urn(F.col("refers_to"))).alias("refers_to"),
                 "payload_digest", "payload_length", F.octet_length("payload").cast("long").alias("content_length"),
                 F.when(F.col("record_type") == "response", F.col("payload")).alias("payload")
-                ).write.format("warc").option("path", path).option("compress", str(compress).lower()).mode("append").save()
+                ).write.format("warc").option("path", path).option("compress", str(compress).lower()).mode(mode).save()
 
 
 def read(spark: SparkSession, path: str, payload: bool = True, partition_bytes: int = 32 << 20) -> DataFrame:
