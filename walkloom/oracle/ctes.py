@@ -17,6 +17,10 @@ GAPS = {"{market_gap}": "AND l.l_shipdate >= timestamp '1996-06-01'", "{oil_gap}
         "{rate_gap}": "WHERE o_orderdate >= timestamp '1996-01-01'"}
 
 
+#: Blocks that refer to themselves.
+RECURSIVE = {"wfr"}
+
+
 def query(main: str, *names: str, gaps: bool = False) -> str:
     order: list[str] = []
 
@@ -31,10 +35,10 @@ def query(main: str, *names: str, gaps: bool = False) -> str:
         visit(n)
     if not order:
         return main.strip()
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({_BLOCKS[n][1]})" for n in order)
+    ctes = ",\n".join(f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({_BLOCKS[n][1]})" for n in order)
     for mark, condition in GAPS.items():
         ctes = ctes.replace(mark, condition if gaps else "")
-    return f"WITH {ctes}\n{main.strip()}"
+    return f"WITH {'RECURSIVE ' if RECURSIVE & set(order) else ''}{ctes}\n{main.strip()}"
 
 
 def r(*cols: str) -> str:
@@ -326,23 +330,45 @@ FROM (SELECT *, coalesce({strong_first}, false) AS sf,
   FROM ({rev}))"""
 
 
-def walk_sql(n: int) -> str:
-    """Out-of-sample decisions for a horizon whose rows do not depend on each other."""
+def walk_sql(n: int, more: str = "") -> str:
+    """Out-of-sample decisions for one horizon; strong reversion rows get the default base rate."""
     frame = upto(n)
     parts = []
     for b in ("z00", "z05", "z10", "z15"):
         ok = f"zb = '{b}' AND t >= first_row AND actual IS NOT NULL"
+        if 30 <= n < 90:
+            ok += " AND NOT coalesce(is_valid AND strength >= 1.0, false)"
         parts.append(f"coalesce(count(*) FILTER (WHERE {ok}) OVER {frame}, 0) AS n_{b}, "
                      f"coalesce(count(*) FILTER (WHERE {ok} AND (z > 0)::int = actual) OVER {frame}, 0) AS h_{b}")
     rate = {b: f"CASE WHEN n_{b} >= 20 THEN round(h_{b} / n_{b}, 4) ELSE {v} END"
             for b, v in default_rates(n).items()}
     inner = (f"(SELECT *, {', '.join(parts)} FROM (SELECT *, {z7('z')} AS zb, {actual(n)} AS actual FROM din))")
-    return (f"SELECT series_id, date, t, horizon, signal, prediction AS pred, confidence AS conf, actual "
+    return (f"SELECT series_id, date, t, horizon, signal, prediction AS pred, confidence AS conf, actual{more} "
             f"FROM ({direction_sql(n, rate, src=inner)}) WHERE t >= first_row AND actual IS NOT NULL")
 
 
 block("wf", ("din",), f"SELECT * FROM ({walk_sql(7)}) UNION ALL SELECT * FROM ({walk_sql(90)})")
 
+# Horizons 30 and 60: the base rate of a strong row is the hit rate of the strong rows known by then, which decided in the
+# same way. One step per strong row, all series and both horizons at a time; ``cum`` holds the hits so far.
+block("wfm", ("din",), " UNION ALL ".join(
+    f"SELECT * FROM ({walk_sql(n, ', greatest(mid, 1 - mid) AS mid_conf, blend, score')})" for n in (30, 60)))
+block("wfs", ("wfm",), " UNION ALL ".join(f"""
+SELECT *, row_number() OVER s AS i, {DEFAULT[n][4]}::double AS base0,
+  count(*) OVER (PARTITION BY series_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND {n} PRECEDING) AS known
+FROM wfm WHERE horizon = {n} AND signal = 'meanrev_strong' WINDOW s AS (PARTITION BY series_id ORDER BY t)""" for n in (30, 60)))
+block("wfr", ("wfs",), """
+SELECT DISTINCT series_id, horizon, NULL::int AS t, 0::bigint AS i, []::bigint[] AS cum, 0 AS pred, 0.0::double AS conf FROM wfs
+UNION ALL
+SELECT series_id, horizon, t, i, list_append(cum, coalesce(cum[i - 1], 0) + (pred = actual)::int), pred, round_even(conf, 3)
+FROM (SELECT *, (CASE WHEN score > 0 THEN conf ELSE 1 - conf END > 0.5)::int AS pred
+  FROM (SELECT s.*, r.cum, mid_conf * (1 - blend) + CASE WHEN known >= 20 THEN printf('%.4f', r.cum[known] / known)::double ELSE base0 END * blend AS conf
+    FROM wfr r JOIN (SELECT * EXCLUDE (pred, conf) FROM wfs) s ON s.series_id = r.series_id AND s.horizon = r.horizon AND s.i = r.i + 1))""")
+block("wf4", ("wf", "wfm", "wfr"), """
+SELECT series_id, date, t, horizon, signal, pred, conf, actual FROM wf
+UNION ALL SELECT m.series_id, m.date, m.t, m.horizon, m.signal, coalesce(r.pred, m.pred), coalesce(r.conf, m.conf), m.actual
+FROM wfm m LEFT JOIN wfr r ON r.series_id = m.series_id AND r.horizon = m.horizon AND r.t = m.t""")
+
 _market_rows = " UNION ALL ".join(f"""
   SELECT series_id, {n} AS horizon, zb, (z > 0)::int = actual AS hit,
     z IS NOT NULL AND NOT coalesce({'(is_valid AND strength >= 1.0)' if 30 <= n < 90 else 'false'}, false) AS mkt

@@ -166,12 +166,12 @@ SELECT series_id, horizon, count(*) AS windows, {r('accuracy=round(avg(hit), 4)'
   count(*) FILTER (WHERE signal = 'moex_dev') AS market_windows,
   {r("market_confident_accuracy=coalesce(round(avg(hit) FILTER (WHERE signal = 'moex_dev' AND conf > 0.65), 4), 0)")},
   count(*) FILTER (WHERE signal = 'moex_dev' AND conf > 0.65) AS market_confident_windows
-FROM (SELECT *, (pred = actual)::int AS hit FROM wf) GROUP BY 1, 2"""
+FROM (SELECT *, (pred = actual)::int AS hit FROM wf4) GROUP BY 1, 2"""
 
 
-@query("agg_direction_report", Q.query(_dir_report, "wf"))
+@query("agg_direction_report", Q.query(_dir_report, "wf4"))
 def agg_direction_report(spark, d):
-    return report(B.direction_report(B.direction_decisions(directions_input(spark, d), [7, 90])))
+    return report(B.direction_report(B.direction_decisions(directions_input(spark, d), P.HORIZONS)))
 
 
 _lrep_cols = ("series_id, horizon, policy, oos_emitted, eligible_days, oos_hit, coverage, modern_hit, "
@@ -515,30 +515,24 @@ def sig_market_direction(spark, d):
                   "prediction", "confidence", "prob_up", "prob_down", "z_bucket", "weak_signal")
 
 
-@query("bt_direction_walkforward", Q.query(
-    f"SELECT series_id, date, horizon, signal, pred, {r('conf')}, actual FROM wf", "wf"))
+_wf_rows = f"SELECT series_id, date, horizon, signal, pred, {r('conf')}, actual FROM wf4"
+
+
+@query("bt_direction_walkforward", Q.query(_wf_rows, "wf4"))
 def bt_direction_walkforward(spark, d):
-    df = B.direction_decisions(directions_input(spark, d), [7, 90])
+    """All four horizons; strong rows of 30 and 60 depend on earlier strong rows."""
+    df = B.direction_decisions(directions_input(spark, d), P.HORIZONS)
     return report(df, *KEYS, "horizon", "signal", "pred", "conf", "actual")
 
 
-@query("bt_direction_walkforward_mid")
+@query("bt_direction_walkforward_mid", Q.query(_dir_report.replace("FROM wf4", "FROM wf4 WHERE horizon IN (30, 60)"), "wf4"))
 def bt_direction_walkforward_mid(spark, d):
-    """Horizons 30 and 60, whose strong rows depend on earlier strong rows."""
+    """The report of horizons 30 and 60."""
     return report(B.direction_report(B.direction_decisions(directions_input(spark, d), [30, 60])))
 
 
-@query("bt_direction_walkforward_all")
-def bt_direction_walkforward_all(spark, d):
-    """Decisions of all horizons; those of 30 and 60 depend on earlier strong rows, which the SQL leaves out."""
-    df = B.direction_decisions(directions_input(spark, d), P.HORIZONS)
-    return report(df, *KEYS, "horizon", "signal", "pred", "conf", "actual")
-
-
-@query("agg_direction_report_all")
-def agg_direction_report_all(spark, d):
-    """The report over all horizons."""
-    return report(B.direction_report(B.direction_decisions(directions_input(spark, d), P.HORIZONS)))
+query("bt_direction_walkforward_all", Q.query(_wf_rows, "wf4"))(bt_direction_walkforward)
+query("agg_direction_report_all", Q.query(_dir_report, "wf4"))(agg_direction_report)
 
 
 @query("cal_market_buckets", Q.query(
