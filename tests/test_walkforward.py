@@ -220,3 +220,33 @@ def test_predictable_series_beats_the_baseline(spark):
     df = B.direction_inputs(to_spark(spark, pdf))
     rep = B.direction_report(B.direction_decisions(df, [7])).first()
     assert rep["market_accuracy"] >= rep["baseline_majority"] + 0.15
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_prefix_medians_of_many_groups(seed):
+    from walkloom.operators.medians import prefix_medians
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 40, 30)
+    group = np.repeat(np.arange(30), sizes)
+    at = np.concatenate([np.sort(rng.choice(90, n, replace=False)) for n in sizes])
+    x = np.round(rng.normal(size=len(group)), 1)
+    ok = rng.random(len(group)) < 0.8
+    lag, least = [(0, 1), (7, 1), (0, 5), (30, 3)][seed]
+    got = prefix_medians(group, at, x, ok, lag, least)
+    for i in range(len(group)):
+        past = x[(group == group[i]) & (at <= at[i] - lag) & ok]
+        want = np.median(past) if len(past) >= least else np.nan
+        assert got[i] == want or np.isnan(got[i]) and np.isnan(want)
+
+
+def test_medians_do_not_depend_on_batches(spark, aligned, monkeypatch):
+    from walkloom.operators import medians
+    args = (["series_id"], "t", "close", "m")
+    whole = {tuple(r) for r in medians.expanding_median(aligned, *args, min_n=3).collect()}
+    monkeypatch.setattr(medians, "ROWS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        parts = {tuple(r) for r in medians.expanding_median(aligned, *args, min_n=3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert parts == whole and len(whole) == aligned.count()

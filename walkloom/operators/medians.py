@@ -1,18 +1,57 @@
 """Exact expanding medians.
 
-A running median is not a mergeable aggregate, and Spark's ``percentile`` over a
-growing frame sorts the whole frame again for every row. Here each (series, feature)
-group, at most one row per calendar day, keeps its past values in a sorted list and reads
-the middle of it: one binary insertion per row.
+A running median is not a mergeable aggregate, and Spark's ``percentile`` over a growing frame sorts the
+whole frame again for every row. Here the known values of a row are a prefix of its group's values in the order in which they
+become known, and the middle of a prefix is found by bits of ranks: every value gets its rank once; from the top bit down, running
+counts of zero bits tell for all rows at the same time in which half their middle lies (a wavelet matrix). That is
+one pass per bit over all groups of a task, without a step per row. A task holds complete groups, at most one row per calendar day each,
+and works on about ``ROWS`` rows at a time.
+
+Frames of running counts per value bucket stay in the JVM but were five times slower (2 x 48 window aggregates per row).
 """
 
 from __future__ import annotations
 
-from bisect import insort
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ROWS = 100_000
+
+
+def prefix_medians(group: np.ndarray, at: np.ndarray, x: np.ndarray, ok: np.ndarray, lag: int, min_n: int) -> np.ndarray:
+    """Medians of the ``ok`` values known at each row, NaN below ``min_n`` of them. Rows come by group, in the order of ``at``."""
+    values, owner, when = x[ok], group[ok], at[ok]
+    first = np.searchsorted(owner, group, side="left")
+    # one number per (group, position), so that one search finds how far each row's prefix reaches
+    low, span = int(at.min(initial=0)) - lag, int(at.max(initial=0)) - int(at.min(initial=0)) + lag + 2
+    end = np.searchsorted(owner * span + (when - low), group * span + (at - lag - low), side="right")
+    n = np.maximum(end - first, 0)
+    out = np.full(len(x), np.nan)
+    rows = np.flatnonzero(n >= max(1, min_n))
+    if not len(rows):
+        return out
+    order = np.lexsort((values, owner))
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    even = rows[n[rows] % 2 == 0]
+    asked = np.concatenate([rows, even])
+    k = np.concatenate([(n[rows] - 1) // 2, n[even] // 2])
+    left, right, found = first[asked], end[asked], np.zeros(len(asked), np.int64)
+    for bit in range(max(1, int(len(values) - 1).bit_length()) - 1, -1, -1):
+        zero = (rank >> bit) & 1 == 0
+        zeros = np.concatenate([[0], np.cumsum(zero)])
+        l0, r0 = zeros[left], zeros[right]
+        down = k < r0 - l0
+        found += np.where(down, 0, 1 << bit)
+        k = np.where(down, k, k - (r0 - l0))
+        left, right = np.where(down, l0, zeros[-1] + left - l0), np.where(down, r0, zeros[-1] + right - r0)
+        rank = np.concatenate([rank[zero], rank[~zero]])
+    picked = values[order][found]
+    out[rows] = picked[:len(rows)]
+    out[even] = (out[even] + picked[len(rows):]) / 2
+    return out
 
 
 def expanding_median(df: DataFrame, by: list[str], order: str, value: str, out: str,
@@ -20,32 +59,42 @@ def expanding_median(df: DataFrame, by: list[str], order: str, value: str, out:
                      keep: list[str] | None = None) -> DataFrame:
     """Median of ``value`` over rows with start <= order <= current - lag.
 
-    ``order`` is an integer row position. NULL values do not enter; below ``min_n`` values
+    ``order`` is an integer row position. NULL, NaN and infinite values do not enter; below ``min_n`` values
     the result is NULL. Returns (by, order, out) and the ``keep`` columns of the same row.
     """
-    slim = df.select(*by, order, value, *[c for c in keep or [] if c != value])
-    returned = [*by, order, *(keep or [])]
-    types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in returned) + f", `{out}` double"
-
-    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        at = pdf[order].to_numpy()
-        x = pdf[value].to_numpy(dtype=float)
-        ok = np.isfinite(x) & (at >= start)
-        past: list[float] = []
-        medians = np.full(len(x), np.nan)
-        admitted = 0
-        for i in range(len(x)):
-            while admitted < len(x) and at[admitted] <= at[i] - lag:
-                if ok[admitted]:
-                    insort(past, x[admitted])
-                admitted += 1
-            n = len(past)
-            if n >= min_n:
-                medians[i] = (past[n // 2] + past[(n - 1) // 2]) / 2
-        result = pdf[returned].copy()
-        result[out] = pd.Series(medians).astype(object).where(np.isfinite(medians), None)
-        return result
-
-    return slim.groupBy(*by).applyInPandas(per_group, schema)
+    kept = [*by, order, *[c for c in keep or [] if c not in (*by, order)]]
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = (df.select(*kept, F.xxhash64(*by).alias("_g"), F.col(value).cast("double").alias("_v")).repartition(wanted, *by)
+            .sortWithinPartitions("_g", *by, order))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:len(kept)]) + f", `{out}` double"
+    n_by = len(by)
+
+    def work(table: pa.Table):
+        change = np.zeros(table.num_rows, bool)
+        for c in table.columns[:n_by]:
+            codes = pa.compute.dictionary_encode(c.combine_chunks(), null_encoding="encode").indices.to_numpy()
+            change[1:] |= codes[1:] != codes[:-1]
+        at = table.column(order).to_numpy().astype(np.int64)
+        x = table.column("_v").to_numpy(zero_copy_only=False).astype(float)
+        medians = prefix_medians(np.cumsum(change), at, x, np.isfinite(x) & (at >= start), lag, min_n)
+        columns = [c.combine_chunks() for c in table.columns[:len(kept)]] + [pa.array(medians, pa.float64(), from_pandas=True)]
+        return pa.RecordBatch.from_arrays(columns, [*kept, out])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            g = table.column("_g").to_numpy()
+            cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0  # the last group may go on
+            if cut:
+                yield work(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()
+            rows = table.num_rows - cut
+        if rows:
+            yield work(pa.Table.from_batches(held))
+
+    return slim.mapInArrow(run, schema)
