@@ -1,6 +1,7 @@
 """Nearest neighbours, WARC files and URL lists against brute force."""
 
 import datetime as dt
+import fractions
 import gzip
 import hashlib
 import random
@@ -58,6 +59,39 @@ def test_small_odd_tables_are_exact(spark):
     assert ann.search(df.where("vec_id = 0")).collect() == []
 
 
+def test_extreme_components_lose_nobody(spark):
+    """Squares of 1e200 overflow and those of 1e-200 vanish; every query still gets all others, in their order."""
+    rows = [(0, [1e200, 0.0]), (100, [3e200, 1e200]), (1, [-2e200, 5e199]), (2, [1e-200, 2e-200]), (3, [3e-200, 1e-200]), (4, [1.0, 2.0]),
+            (200, [2e-200, 2e-200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vec = {i: [fractions.Fraction(c) for c in v] for i, v in rows}
+    got = {}
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in (0, 100, 200):
+        want = sorted((sum((a - b)**2 for a, b in zip(vec[q], vec[i])), i) for i in vec if i != q)
+        assert {i for i, _ in got[q]} == {i for _, i in want}
+        for i, d in got[q]:
+            exact = sum((a - b)**2 for a, b in zip(vec[q], vec[i]))
+            assert abs(fractions.Fraction(d)**2 - exact) <= exact / 10**12
+        assert [d for _, d in got[q]] == sorted(d for _, d in got[q])
+
+
+def test_recall_on_the_given_table(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    e = spark.read.parquet(path).select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in e]), np.array([r.embedding for r in e], float)
+    got = {}
+    for r in ann.search(spark.read.parquet(path)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[q])**2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hits / (10 * len(got)) >= 0.95 and len(got) == (ids % 100 == 0).sum()
+
+
 def test_every_length_gets_neighbours(spark):
     rng = np.random.default_rng(6)
     dims = {0: 3, 1: 5, 2: 3, 3: 8}

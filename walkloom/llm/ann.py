@@ -29,6 +29,8 @@ MAX_LISTS = 2_048
 BLOCK = 4_096
 COLUMNS = (8, 8, 16, 32)
 EPSILON = 2.1
+#: Components and distances between 1 / EXTREME and EXTREME can be squared and summed as they are.
+EXTREME = 1e150
 
 
 def usable(vector: Column) -> Column:
@@ -90,19 +92,28 @@ def scan_block(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, querie
         edges.append(min(dim, edges[-1] + columns[-1]))
     strips = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(edges, edges[1:])]
     out_q, out_v, out_d = [], [], []
+    peak = max(np.abs(block).max(initial=0), np.abs(queries).max(initial=0))
+    far_out = not peak < EXTREME  # squares overflow: nothing is abandoned, distances are scaled
 
     def exact(rows, q):
-        return np.sqrt(((block[rows] - q)**2).sum(axis=1))
+        with np.errstate(over="ignore"):
+            d = np.sqrt(((block[rows] - q)**2).sum(axis=1))
+        odd = np.flatnonzero(~((d > 1 / EXTREME) & (d < EXTREME)))
+        if len(odd):  # beyond the range of squares
+            apart = np.abs(block[rows][odd] / 2 - q / 2)
+            most = np.maximum(apart.max(axis=1), 5e-324)
+            with np.errstate(over="ignore"):
+                d[odd] = 2 * (most * np.sqrt(((apart / most[:, None])**2).sum(axis=1)))
+        return d
 
     for qid, q, tq in zip(query_ids, queries, turned_q):
-        partial = ((strips[0] - tq[:edges[1]])**2).sum(axis=1)
-        partial[ids == qid] = np.inf
-        alive = np.flatnonzero(np.isfinite(partial))
+        partial = np.zeros(len(ids)) if far_out else ((strips[0] - tq[:edges[1]])**2).sum(axis=1)
+        alive = np.flatnonzero(ids != qid)
         if not len(alive):
             continue
         first = alive if len(alive) <= k else alive[np.argpartition(partial[alive], k - 1)[:k]]
-        limit = float((exact(first, q)**2).max()) if len(first) >= k else np.inf
-        for i in range(1, len(edges) - 1):
+        limit = float((exact(first, q)**2).max()) if len(first) >= k and not far_out else np.inf
+        for i in range(1, 1 if far_out else len(edges) - 1):
             d = edges[i]
             bound = limit * (d / dim) * (1 + epsilon / math.sqrt(d))**2 * (1 + 1e-9)
             alive = alive[partial[alive] <= bound]
@@ -123,7 +134,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, fit_rows: int = FI
 
     Rows with a null id, or a vector that is null, empty, zero, or holds null or non-finite components take no part. Vectors are
     compared with those of their own length: there is one index and one search per length (lengths are few, and counted first).
-    Repeated rows count once. Ties go to the smaller id.
+    Repeated rows count once. Ties go to the smaller id. Where squares of components or distances would overflow or vanish, distances are
+    scaled, and a block with such components is compared in full; a distance beyond double precision is infinite.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -149,7 +161,9 @@ def _candidates(fine: DataFrame, dim: int, total: int, kind: str, every: int, k:
     alike = Window.partitionBy("h", "v").orderBy("vec_id")
     once = fine.distinct().withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= k + 1).select("vec_id", "v")
     once = cut(once, "ann-vectors")
-    sample = np.array(sample_ids(once, "vec_id", fit_rows).select("v").toArrow()["v"].to_pylist(), dtype=float)
+    peak = once.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c).cast("double"))))).first()[0] or 0.0
+    shrink = 1.0 if peak < 1e100 else 1.0 / peak  # lists are made on vectors that can be squared
+    sample = np.array(sample_ids(once, "vec_id", fit_rows).select("v").toArrow()["v"].to_pylist(), dtype=float) * shrink
     index = fit(sample, total, k, goal, max_lists)
     lists = len(index.centroids)
     centroids, rotation = index.centroids, index.rotation
@@ -160,7 +174,7 @@ def _candidates(fine: DataFrame, dim: int, total: int, kind: str, every: int, k:
     def deal(batches):
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"list": index.nearest(stacked(pdf["v"]), 1)[:, 0].astype(np.int32),
+                yield pd.DataFrame({"list": index.nearest(stacked(pdf["v"]) * shrink, 1)[:, 0].astype(np.int32),
                                     "vec_id": pdf["vec_id"], "v": pdf["v"]})
 
     dealt = cut(once.mapInPandas(deal, f"list int, vec_id long, v {kind}"), "ann-lists")
@@ -172,7 +186,7 @@ def _candidates(fine: DataFrame, dim: int, total: int, kind: str, every: int, k:
         for pdf in batches:
             if not len(pdf):
                 continue
-            order = index.nearest(stacked(pdf["v"]), lists)
+            order = index.nearest(stacked(pdf["v"]) * shrink, lists)
             reach = np.cumsum(sizes[order], axis=1)
             # on and on until the lists hold enough vectors
             n = np.maximum(index.probes, (reach < k + 1).sum(axis=1) + 1).clip(max=lists)
