@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 _BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -559,3 +561,11 @@ FROM led l LEFT JOIN ({" UNION ALL ".join(f'''SELECT series_id, date, {n} AS hor
     CASE WHEN lead(price, {n}) OVER ({W}) > price THEN 1 WHEN lead(price, {n}) OVER ({W}) IS NOT NULL THEN 0 END AS realized,
     ln(lead(price, {n}) OVER ({W})) - ln(price) AS ret, lead(date, {n}) OVER ({W}) AS rdate FROM official'''
     for n in (7, 30, 60, 90))}) o ON o.series_id = l.series_id AND o.date = l.as_of AND o.horizon = l.horizon""")
+
+# The older snapshot of an audit: quotes per ten units in two months of the year, and the long report made from it.
+FLIP = "CASE WHEN month(date) IN (2, 7) THEN price * 10 ELSE price END"
+block("official_old", ("official",), f"SELECT * REPLACE ({FLIP} AS price) FROM official")
+for _name in ("al", "ls", "ld", "lrep"):
+    _deps, _body = _BLOCKS[_name]
+    block(f"{_name}_old", tuple(f"{d}_old" if d in ("official", "al", "ls", "ld") else d for d in _deps),
+          re.sub(r"\b(FROM|JOIN) (official|al|ls|ld)\b", r"\1 \2_old", _body))

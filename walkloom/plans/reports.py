@@ -703,10 +703,10 @@ def card_predict(spark, d):
                        "rolling", "rolling_n", "status")
 
 
-@query("exp_label_diagnostic", Q.query(
+@query("exp_label_diagnostic_layers", Q.query(
     f"SELECT 'raw' AS frame, * FROM ({_layer_sql('lbl')}) UNION ALL "
     f"SELECT 'clean', * FROM ({_layer_sql('(SELECT * FROM lbl WHERE clean)')})", "lbl", gaps=True))
-def exp_label_diagnostic(spark, d):
+def exp_label_diagnostic_layers(spark, d):
     rows_ = label_rows(spark, d, panel.GAPS)
     raw = E.label_layers(rows_).select(F.lit("raw").alias("frame"), "*")
     return report(raw.unionByName(
@@ -764,9 +764,10 @@ def exp_range_algos(spark, d):
 
 
 _edge = f"coalesce(abs(ln(lead(p) OVER ({W})) - ln(p)) > 0.20, false)"
+_edge_price = f"abs(ln(lead(price) OVER ({W})) - ln(price)) > 0.20"
 
 
-@query("exp_snapshot_audit", Q.query(f"""
+_audit_sql = f"""
 SELECT o.series_id, count(*) AS rows_old, count(*) AS rows_new, true AS dates_identical,
   count(*) FILTER (WHERE changed) AS changed_rows, array_to_string(list_sort(list(DISTINCT ratio) FILTER (WHERE changed)), ',') AS ratios,
   any_value(e.edges_old) AS edges_old, any_value(e.edges_new) AS edges_new
@@ -774,8 +775,11 @@ FROM (SELECT series_id, round({_flip}, 6) <> round(price, 6) AS changed, round(p
 JOIN (SELECT a.series_id, a.n AS edges_old, b.n AS edges_new FROM
   (SELECT series_id, count(*) FILTER (WHERE e) AS n FROM (SELECT series_id, {_edge} AS e FROM (SELECT series_id, date, {_flip} AS p FROM official)) GROUP BY 1) a
   JOIN (SELECT series_id, count(*) FILTER (WHERE e) AS n FROM (SELECT series_id, {_edge} AS e FROM (SELECT series_id, date, price AS p FROM official)) GROUP BY 1) b
-  ON a.series_id = b.series_id) e ON e.series_id = o.series_id GROUP BY 1""", "official"))
-def exp_snapshot_audit(spark, d):
+  ON a.series_id = b.series_id) e ON e.series_id = o.series_id GROUP BY 1"""
+
+
+@query("exp_snapshot_audit_summary", Q.query(_audit_sql, "official"))
+def exp_snapshot_audit_summary(spark, d):
     new = panel.official(spark, d)
     return E.audit_summary(flipped(new), new)
 
@@ -786,19 +790,67 @@ def _sections(**parts: DataFrame) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
-@query("exp_label_diagnostic_all")
-def exp_label_diagnostic_all(spark, d):
+def _united(**parts: str) -> str:
+    return " UNION ALL BY NAME ".join(f"SELECT '{name}' AS section, * FROM ({sql})" for name, sql in parts.items())
+
+
+def _contamination_sql(source: str) -> str:
+    spans = (20, 60, 120, 150, 252)
+    return f"""SELECT series_id, count(*) FILTER (WHERE edge_day = 1) AS n_edge_days,
+  {", ".join(f"count(*) FILTER (WHERE h{n} = 1) AS rows_{n}" for n in spans)}
+FROM (SELECT *, {", ".join(f"max(edge_day) OVER {rows(n)} AS h{n}" for n in spans)}
+  FROM (SELECT series_id, date, coalesce(edge OR lag(edge, 1, false) OVER ({W}), false)::int AS edge_day
+    FROM (SELECT series_id, date, {_edge_price} AS edge FROM {source}))) GROUP BY 1"""
+
+
+_dist_sql = f"""SELECT series_id, count(*) AS n, {r('mean=avg(r_fwd)', 'std=stddev_samp(r_fwd)', 'min=min(r_fwd)', 'max=max(r_fwd)')},
+  round(count(*) FILTER (WHERE r_fwd > 0) / count(*), 4) AS share_positive,
+  round(count(*) FILTER (WHERE abs(r_fwd) <= 0.01) / count(*), 4) AS share_flat, {r('mean_abs=avg(abs(r_fwd))')},
+  {", ".join(r(f"q{round(x * 100):02d}=quantile_cont(r_fwd, {x})") for x in E.QUANTILES)} FROM lbl GROUP BY 1"""
+_missing_sql = """SELECT series_id, count(*) AS total_rows, count(*) FILTER (WHERE rn <= 30) AS no_future_trailing,
+  0::bigint AS null_price, 0::bigint AS null_price_later, count(*) FILTER (WHERE rn > 30) AS labelable
+FROM (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS rn FROM official) GROUP BY 1"""
+
+
+_diagnostic_sql = Q.query(_united(
+    layers=f"SELECT 'raw' AS frame, * FROM ({_layer_sql('lbl')}) UNION ALL "
+           f"SELECT 'clean', * FROM ({_layer_sql('(SELECT * FROM lbl WHERE clean)')})",
+    missing=_missing_sql, distribution=_dist_sql,
+    jumps=f"""SELECT series_id, date, next_date, {r('next_move')}, edge FROM (
+      SELECT series_id, date, lead(date) OVER ({W}) AS next_date, ln(lead(price) OVER ({W})) - ln(price) AS next_move,
+        {_edge_price} AS edge FROM official) WHERE edge""",
+    contamination=_contamination_sql("official")), "lbl", "official", gaps=True)
+
+
+@query("exp_label_diagnostic", _diagnostic_sql)
+def exp_label_diagnostic(spark, d):
     """Layers with missing reasons, distribution, jump edges and contamination counts."""
     prices = price_base(spark, d)
     jumps = S.jumps(prices)
-    return _sections(layers=exp_label_diagnostic(spark, d), missing=E.missing_labels(prices),
+    return _sections(layers=exp_label_diagnostic_layers(spark, d), missing=E.missing_labels(prices),
                      distribution=report(E.distribution(label_rows(spark, d, panel.GAPS))),
                      jumps=report(jumps.where("edge"), *KEYS, "next_date", "next_move", "edge"),
                      contamination=contamination(jumps))
 
 
-@query("exp_snapshot_audit_all")
-def exp_snapshot_audit_all(spark, d):
+_values = """SELECT series_id, horizon, unnest(['oos_hit','oos_emitted','coverage','eligible_days']) AS metric,
+  unnest([oos_hit, oos_emitted::double, coverage, eligible_days::double]) AS value FROM """
+
+
+_whole_audit_sql = Q.query(_united(
+    summary=_audit_sql,
+    changed_by_year="SELECT series_id, year(date)::int AS year, count(*) AS changed_rows FROM official WHERE month(date) IN (2, 7) GROUP BY 1, 2",
+    islands=f"""SELECT series_id, min(date) AS start, max(date) AS "end", count(*) AS rows FROM (
+      SELECT *, row_number() OVER ({W}) - row_number() OVER (PARTITION BY series_id, flag ORDER BY date) AS g
+      FROM (SELECT series_id, date, month(date) IN (2, 7) AS flag FROM official)) WHERE flag GROUP BY series_id, g""",
+    contamination=_contamination_sql("official_old"),
+    metrics=f"""SELECT a.series_id, a.horizon, a.metric, {r('before=a.value', 'after=b.value', 'delta=b.value - a.value')}
+      FROM ({_values} lrep_old) a JOIN ({_values} lrep) b
+        ON a.series_id = b.series_id AND a.horizon = b.horizon AND a.metric = b.metric"""), "official", "lrep", "lrep_old")
+
+
+@query("exp_snapshot_audit", _whole_audit_sql)
+def exp_snapshot_audit(spark, d):
     """Summary with changes by year, islands of changed rows, contamination of the old snapshot and metric deltas."""
     new = panel.official(spark, d)
     old = flipped(new)
@@ -808,3 +860,7 @@ def exp_snapshot_audit_all(spark, d):
     return _sections(summary=E.audit_summary(old, new), changed_by_year=E.changed_by_year(both), islands=S.islands(both, "changed"),
                      contamination=contamination(S.jumps(old)),
                      metrics=report(J.metrics_delta(*metrics, ["series_id", "horizon"], list(_METRICS))))
+
+
+query("exp_label_diagnostic_all", _diagnostic_sql)(exp_label_diagnostic)
+query("exp_snapshot_audit_all", _whole_audit_sql)(exp_snapshot_audit)
