@@ -60,6 +60,14 @@ def market_direction(inputs: DataFrame, horizons=P.HORIZONS, by=SERIES,
     return df.withColumns(out).select(*shown, "horizon", *out)
 
 
+def usable_report(report: DataFrame, made: Column, run_ts: Column,
+                  max_age: int = P.LONG_REPORT_MAX_AGE_SEC) -> DataFrame:
+    """The rows of a long report that may be used at ``run_ts``: made at most ``max_age`` seconds before, and not
+    after it. Horizons without a usable row are neutral in :func:`long_now`."""
+    age = F.unix_timestamp(run_ts) - F.unix_timestamp(made)
+    return report.where(F.coalesce((age >= 0) & (age <= max_age), F.lit(False)))
+
+
 def long_now(signals: DataFrame, report: DataFrame, gates: DataFrame, buckets: DataFrame,
              policy: dict[int, str] | None = None, by=SERIES) -> DataFrame:
     """Last-row decision of the long-horizon policies.

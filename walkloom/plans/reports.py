@@ -67,12 +67,13 @@ def current_directions(spark: SparkSession, d: str) -> DataFrame:
                        "directions")
 
 
-def current_long(spark: SparkSession, d: str) -> DataFrame:
+def current_long(spark: SparkSession, d: str, usable=lambda report: report) -> DataFrame:
+    """``usable`` tells which rows of the long report count."""
     signals = materialise(S.long_signals(market_base(spark, d)).select(
         "series_id", "date", "t", "price", "rev", "z60", "gate", "breakout", "extreme", "bucket"),
         "long-signals")
     decisions = materialise(B.long_decisions(signals), "long-decisions")
-    return PR.long_now(signals, B.long_report(decisions, ERAS), B.gate_tables(decisions),
+    return PR.long_now(signals, usable(B.long_report(decisions, ERAS)), B.gate_tables(decisions),
                        B.bucket_tables(decisions))
 
 
@@ -597,17 +598,33 @@ def bt_long_walkforward_pools(spark, d):
     return df.select(*KEYS, "horizon", "policy", "eligible", "pred", "actual")
 
 
-@query("pred_long_now", Q.query(f"""
+def _long_sql(reason: str, source: str) -> str:
+    return f"""
 SELECT series_id, date AS as_of, horizon, policy, CASE WHEN ok THEN pred END AS prediction,
   {r('confidence=CASE WHEN ok THEN round(conf, 3) END', 'prob_up=CASE WHEN ok THEN round(CASE WHEN pred = 1 THEN conf ELSE 1 - conf END, 3) END')},
   CASE WHEN ok AND policy = 'moex_z' AND z60 IS NOT NULL THEN 'moex_spread' WHEN ok AND policy = 'extreme_dist' THEN policy ELSE 'long_reversion' END AS signal,
   CASE WHEN ok THEN NOT passed_gate END AS experimental, CASE WHEN ok THEN source END AS confidence_source,
   CASE WHEN ok THEN case_n::bigint END AS case_n, neutral_reason
-FROM (SELECT *, neutral_reason IS NULL AS ok FROM plong)""", "plong"))
+FROM (SELECT * EXCLUDE (neutral_reason), {reason} AS neutral_reason, ({reason}) IS NULL AS ok FROM {source})"""
+
+
+_long_columns = ("series_id", "as_of", "horizon", "policy", "prediction", "confidence", "prob_up", "signal", "experimental",
+                 "confidence_source", "case_n", "neutral_reason")
+
+
+@query("pred_long_now", Q.query(_long_sql("neutral_reason", "plong"), "plong"))
 def pred_long_now(spark, d):
-    return report(current_long(spark, d), "series_id", "as_of", "horizon", "policy", "prediction",
-                  "confidence", "prob_up", "signal", "experimental", "confidence_source", "case_n",
-                  "neutral_reason")
+    return report(current_long(spark, d), *_long_columns)
+
+
+@query("pred_long_stale", Q.query(_long_sql(
+    "CASE WHEN (ascii(series_id) - 49) * 4 - 1 BETWEEN 0 AND 7 THEN neutral_reason ELSE 'calibration_unavailable' END", "plong"), "plong"))
+def pred_long_stale(spark, d):
+    """Reports made one day after the run, and 3, 7, 11 and 15 days before it: the first and the last two make every horizon neutral."""
+    run = F.lit("2001-08-03 00:00:00").cast("timestamp")
+    days = (F.ascii("series_id") - 49) * 4 - 1
+    made = F.timestamp_seconds(F.unix_timestamp(run) - days * 86_400)
+    return report(current_long(spark, d, lambda rows: PR.usable_report(rows, made, run)), *_long_columns)
 
 
 @query("fc_projection", Q.query(f"""
