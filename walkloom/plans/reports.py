@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from walkloom import params as P
 from walkloom.functions import scalars as X
 from walkloom.operators import backtest as B
 from walkloom.operators import calibration as C
+from walkloom.operators import daily
 from walkloom.operators import experiments as E
 from walkloom.operators import features as feat
 from walkloom.operators import health as H
@@ -24,7 +26,7 @@ from walkloom.oracle.ctes import W, r, rows
 from walkloom.plans.registry import (full_base, market_base, price_base, query, report,
                                      scored_news, sentiment)
 from walkloom.plans.windows import _flip, contamination, flipped
-from walkloom.session import materialise
+from walkloom.session import materialise, shared_dir
 from walkloom.sources import panel, sinks
 
 KEYS = ("series_id", "date")
@@ -670,6 +672,27 @@ def led_record(spark, d):
         F.count(F.lit(1)).alias("n_rows"), F.count("prediction").alias("n_directions"))
 
 
+@query("job_daily", Q.query(f"""
+SELECT p.series_id, p.as_of, p.horizon, p.prediction, {r('confidence')}, p.horizon::int AS points,
+  CASE WHEN p.horizon = 7 THEN 0 ELSE row_number() OVER (PARTITION BY p.series_id ORDER BY p.horizon) END::int AS anchors, l.ledger_rows
+FROM pnow p JOIN (SELECT series_id, count(*) AS ledger_rows FROM ({_record_sql}) GROUP BY 1) l ON l.series_id = p.series_id""",
+                            "pnow", "lastls"))
+def job_daily(spark, d):
+    """The published forecast of a day that was run twice, and how many rows the ledger has."""
+    folder = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
+    signals = materialise(PR.last_rows(S.long_signals(market_base(spark, d))), "daily-signals")
+    directions, bases = current_directions(spark, d), materialise(projection_bases(spark, d), "daily-bases")
+    official = materialise(panel.official(spark, d), "daily-official")
+    for _ in range(2):
+        day = daily.run(spark, folder, directions, bases, signals, official, stamp())
+        if day.ledger_error:
+            raise RuntimeError(day.ledger_error)
+    told = sinks.published(spark, f"{folder}/{daily.FORECAST}")
+    kept = sinks.published(spark, f"{folder}/{daily.LEDGER}").groupBy("series_id").agg(F.count(F.lit(1)).alias("ledger_rows"))
+    return report(told.select("series_id", "as_of", "horizon", "direction.prediction", "direction.confidence",
+                              F.size("forecast").alias("points"), F.size("term_anchors").alias("anchors")).join(kept, "series_id"))
+
+
 @query("led_shadow", Q.query(f"SELECT * FROM ({_shadow_sql.replace('FROM lastls', 'FROM ls')}) WHERE prediction IS NOT NULL", "ls"))
 def led_shadow(spark, d):
     """The shadow rules replayed over every day of the panel."""

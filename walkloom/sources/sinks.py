@@ -94,6 +94,12 @@ def publish(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[s
     return True
 
 
+def is_published(spark: SparkSession, path: str) -> bool:
+    """Whether there is a version to read."""
+    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    return pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(pointer)
+
+
 def current_version(spark: SparkSession, path: str) -> str:
     return spark.read.text(f"{path}/{POINTER}").first()[0]
 
