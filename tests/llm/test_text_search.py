@@ -24,7 +24,7 @@ def scan(text):
     for i in range(len(w)):
         near = " ".join(w[i:i + license_rules.REACH])
         for n, (label, level, pattern) in enumerate(license.rule_table()):
-            m = re.match(f"({pattern})(?: |$)", near)
+            m = re.match(f"({pattern})(?: |\\Z)", near)
             if m:
                 found.append((i, i + len(m[1].split(" ")), level, n, label))
     hides = lambda e, d: (e[0] <= d[0] and e[1] >= d[1] and e[2] >= d[2]
@@ -81,6 +81,22 @@ def test_scan_of_odd_rows(spark):
     assert (r.n_base, r.first_word, r.last_word, len(r.found)) == (4000, 0, 11997, 4000)
 
 
+def test_dense_texts_and_odd_ends(spark):
+    texts = [" ".join(["released under the mit license and the gnu general public license version 2 cc by"] * 30),
+             "mit license all rights reserved\u0085 all rights reserved\u2028 cc by", "all rights reserved\u0085", "cc by\u2029x cc by"]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    for r in license.scan(df).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == scan(r.text), r.text
+    dense = spark.createDataFrame([(1, "mit license or " * 8000, None, None, 0)], SCHEMA)
+    r = license.scan(dense).first()
+    assert len(r.found) == 8000 and r.labels == "mit"
+
+
+def test_capturing_groups_are_refused(spark):
+    with pytest.raises(ValueError):
+        license.scan(spark.createDataFrame([(1, "a", None, None, 0)], SCHEMA), [("x", 1, "some (thing)")])
+
+
 def check(docs, items, size=10):
     """Hit words and items of every document by trying every window at every place."""
     out = []

@@ -6,11 +6,14 @@ Detections are intervals of words. A detection inside the interval of a stronger
 equally strong longer one, is suppressed; of equal detections the earlier rule stays.
 
 Everything happens inside the row with built-in functions, so nothing is shuffled and neither hot
-sources nor repeated rows matter. A detection list is bounded by its own text.
+sources nor repeated rows matter. A detection list is bounded by its own text, and the time of a
+text grows with its words and its detections, however dense they are.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,43 +43,56 @@ def rule_table(extra: list[tuple[str, int, str]] | None = None) -> list[tuple[st
 
 
 def detections(text_words: Column, table: list[tuple[str, int, str]]) -> Column:
-    """array<struct<start, stop, level, rule, label>> in the order start, longest, strongest, rule.
+    """array<array<struct<start, minus_stop, minus_level, rule, label>>>: one entry per place of a
+    keyword with a detection, in the order of the text; inside a place longest, strongest, rule.
 
-    Each place of a keyword yields the rules of that keyword that match there.
+    Each place of a keyword yields the rules of that keyword that match there. They are tried
+    together by one pattern per keyword, a literal of the plan that a task compiles once: a lookahead
+    for every rule, whose group holds what the rule matched. Patterns may have no groups of their own.
     """
+    if any(re.compile(x).groups for _, _, x in table):
+        raise ValueError("a rule may not have capturing groups")
     by = _by_keyword(table)
     every = F.expr("array(" + ", ".join(
-        f"named_struct('rule', {n}, 'label', {_quoted(label)}, 'level', {level}, 'x', {_quoted(f'^({x})(?: |$)')})"
-        for n, (label, level, x) in enumerate(table)) + ")")
+        f"named_struct('rule', {n}, 'label', {_quoted(label)}, 'level', {level})" for n, (label, level, _) in enumerate(table)) + ")")
     known = F.expr("map(" + ", ".join(f"{_quoted(w)}, array({', '.join(map(str, n))})" for w, n in by.items()) + ")")
-    places = F.filter(F.transform(text_words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-                      lambda p: p["w"].isin(*by))
+    # what stands near a place is a field of its own: it is joined once, not once for every pattern
+    places = F.transform(
+        F.filter(F.transform(text_words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: p["w"].isin(*by)),
+        lambda p: F.struct(p["w"].alias("w"), p["i"].alias("start"),
+                           F.array_join(F.slice(text_words, p["i"] + 1, REACH), " ").alias("near")))
+
+    def matched(p):
+        out = F
+        for word, numbers in by.items():
+            groups = "".join(f"(?:(?=({table[n][2]})(?: |\\z))|)" for n in numbers)
+            texts = "|".join(f"${j}" for j in range(1, len(numbers) + 1))
+            out = out.when(p["w"] == word, F.regexp_replace(p["near"], F.lit(f"(?s)^{groups}.*\\z"), F.lit(texts)))
+        return F.transform(F.split(out, "[|]"), lambda m, j: F.struct(m.alias("m"), j.alias("j")))
 
     def at(p):
-        near = F.array_join(F.slice(text_words, p["i"] + 1, REACH), " ")
-        tried = F.transform(F.element_at(known, p["w"]), lambda n: F.struct(
-            F.get(every, n).alias("r"), F.call_function("regexp_extract", near, F.get(every, n)["x"], F.lit(1)).alias("m")))
-        return F.transform(F.filter(tried, lambda t: t["m"] != ""), lambda t: F.struct(
-            p["i"].alias("start"),
-            (-(p["i"] + F.length(t["m"]) - F.length(F.replace(t["m"], F.lit(" "), F.lit(""))) + 1)).alias("minus_stop"),
-            (-t["r"]["level"]).alias("minus_level"), t["r"]["rule"].alias("rule"), t["r"]["label"].alias("label")))
-
-    return F.array_sort(F.flatten(F.transform(places, at)))
+        hits = F.transform(F.filter(matched(p), lambda t: t["m"] != ""), lambda t: F.struct(
+            t["m"].alias("m"), F.get(every, F.get(F.element_at(known, p["w"]), t["j"])).alias("r")))
+        return F.array_sort(F.transform(hits, lambda t: F.struct(
+            p["start"].alias("start"),
+            (-(p["start"] + F.length(t["m"]) - F.length(F.replace(t["m"], F.lit(" "), F.lit(""))) + 1)).alias("minus_stop"),
+            (-t["r"]["level"]).alias("minus_level"), t["r"]["rule"].alias("rule"), t["r"]["label"].alias("label"))))
 
+    return F.filter(F.transform(places, at), lambda d: F.size(d) > 0)
 
-def kept(found: Column) -> Column:
-    """The detections no other one suppresses. In this order every interval comes after those that
-    contain it, so the furthest stop seen per level decides."""
-    start = F.struct(*[F.lit(-1).alias(f"m{k}") for k in CONFIDENCE],
-                     F.filter(found, lambda d: F.lit(False)).alias("out"))
 
-    def step(acc, d):
-        level, stop = -d["minus_level"], -d["minus_stop"]
-        hidden = F.greatest(*[F.when(level <= k, acc[f"m{k}"]).otherwise(F.lit(-1)) for k in CONFIDENCE]) >= stop
-        marks = [F.when(level == k, F.greatest(acc[f"m{k}"], stop)).otherwise(acc[f"m{k}"]).alias(f"m{k}") for k in CONFIDENCE]
-        return F.struct(*marks, F.when(hidden, acc["out"]).otherwise(F.concat(acc["out"], F.array(d))).alias("out"))
+def kept(places: Column) -> Column:
+    """The detections no other one suppresses. Of one place, an earlier detection reaches at least as
+    far. Another place's can only contain one if it starts before it, by less than ``REACH`` words, so
+    the places just before are looked at, ``REACH`` - 1 at most, whatever the length of the text."""
+    def at(here, q):
+        before = F.slice(places, F.greatest(q - (REACH - 2), F.lit(1)), F.least(q, F.lit(REACH - 1)))
+        hides = lambda e, d: (e["minus_level"] <= d["minus_level"]) & (e["minus_stop"] <= d["minus_stop"])
+        return F.filter(here, lambda d, r: ~(
+            F.exists(F.slice(here, F.lit(1), r), lambda e: hides(e, d))
+            | F.exists(before, lambda other: F.exists(other, lambda e: hides(e, d)))))
 
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+    return F.flatten(F.transform(places, at))
 
 
 def scan(docs: DataFrame, table: list[tuple[str, int, str]] | None = None) -> DataFrame:
@@ -89,9 +105,9 @@ def scan(docs: DataFrame, table: list[tuple[str, int, str]] | None = None) -> Da
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "found")
     df = packed(docs, "text").withColumn("_t", spaced(F.col("text")))
     df = df.withColumn("_w", F.when(F.rlike("_t", F.lit(gate)), words_of(F.col("_t"))))
-    df = df.withColumn("_all", F.when(F.col("_w").isNotNull(), detections(F.col("_w"), table)))
-    base = F.filter(F.col("_all"), lambda d: d["rule"] < n_base_rules)
-    df = df.withColumn("_base", base).withColumn("_kept", kept(F.col("_all")))
+    df = df.withColumn("_at", F.when(F.col("_w").isNotNull(), detections(F.col("_w"), table)))
+    base = F.filter(F.flatten("_at"), lambda d: d["rule"] < n_base_rules)
+    df = df.withColumn("_base", base).withColumn("_kept", kept(F.col("_at")))
     none = F.array().cast("array<string>")
     base_labels = F.coalesce(F.transform("_base", lambda d: d["label"]), none)
     labels = F.array_union(base_labels, F.coalesce(F.transform("_kept", lambda d: d["label"]), none))
