@@ -34,7 +34,7 @@ def test_query_matches_sql(spark, name):
 
 @pytest.mark.parametrize("name, parts", [
     ("exp_label_diagnostic_all", {"layers": "exp_label_diagnostic_layers", "missing": "agg_missing", "jumps": "win_jumps"}),
-    ("exp_snapshot_audit_all", {"summary": "exp_snapshot_audit_summary", "changed_by_year": "agg_changed_by_year",
+    ("exp_snapshot_audit_all", {"summary": "exp_snapshot_audit_summary", "ratios": "exp_snapshot_audit_ratios", "changed_by_year": "agg_changed_by_year",
                                            "islands": "win_islands", "contamination": "win_trailing_contamination"})])
 def test_composites_hold_all_their_sections(spark, name, parts):
     sf = "/root/testdata/sf0.01"

@@ -217,21 +217,29 @@ def class_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
 # ------------------------------------------------------------------ snapshot audit
 
 def audit_summary(old: DataFrame, new: DataFrame, by=SERIES) -> DataFrame:
-    """Per series: rows, date-set equality, changed rows and ratio set, edges before/after."""
-    both = J.snapshot_compare(old, new, by)
-    changes = both.groupBy(*by).agg(
-        F.count("old_price").alias("rows_old"), F.count("new_price").alias("rows_new"),
-        F.bool_and(F.col("old_price").isNotNull() & F.col("new_price").isNotNull())
-        .alias("dates_identical"),
-        F.count_if("changed").alias("changed_rows"),
-        # the set of distinct ratios on changed rows is a unit-size list, a handful of values
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("changed"), F.col("ratio")))), ",")
-        .alias("ratios"))
+    """Per series: rows, date-set equality, changed rows, how many ratios they have and between which
+    bounds (``changed_ratios`` lists them), edges before/after."""
+    both = J.snapshot_compare(old, new, by).withColumn("_ratio", F.when(F.col("changed"), F.col("ratio")))
+    # one row per ratio first: distinct ratios are counted without gathering them in a cell
+    present = F.col("old_price").isNotNull() & F.col("new_price").isNotNull()
+    per_ratio = both.groupBy(*by, "_ratio").agg(
+        F.count("old_price").alias("old"), F.count("new_price").alias("new"),
+        F.bool_and(present).alias("both"), F.count_if("changed").alias("changed"))
+    changes = per_ratio.groupBy(*by).agg(
+        F.sum("old").alias("rows_old"), F.sum("new").alias("rows_new"), F.bool_and("both").alias("dates_identical"),
+        F.sum("changed").alias("changed_rows"), F.count("_ratio").alias("n_ratios"),
+        F.min("_ratio").alias("ratio_min"), F.max("_ratio").alias("ratio_max"))
     edges = [jump_summary(S.jumps(x, by), by).select(*by, F.col("edges").alias(n))
              for x, n in ((old, "edges_old"), (new, "edges_new"))]
     return reduce(lambda a, b: a.join(b, list(by), "left"), edges, changes)
 
 
+def changed_ratios(changes: DataFrame, by=SERIES) -> DataFrame:
+    """The distinct new/old ratios of changed rows with their number of rows, one row per ratio;
+    rows without a ratio (a missing or zero old price) count under NULL."""
+    return changes.where("changed").groupBy(*by, "ratio").agg(F.count(F.lit(1)).alias("changed_rows"))
+
+
 def changed_by_year(compared: DataFrame, by=SERIES) -> DataFrame:
     return (compared.where("changed").groupBy(*by, F.year("date").alias("year"))
             .agg(F.count(F.lit(1)).alias("changed_rows")))

@@ -255,7 +255,7 @@ SELECT series_id, year(date)::int AS year, count(*) AS changed_rows FROM officia
                                       "official"))
 def agg_changed_by_year(spark, d):
     new = panel.official(spark, d)
-    return E.changed_by_year(J.snapshot_compare(flipped(new), new))
+    return E.changed_by_year(J.snapshot_changes(flipped(new), new))
 
 
 _review = ", ".join(
@@ -809,7 +809,8 @@ _edge_price = f"abs(ln(lead(price) OVER ({W})) - ln(price)) > 0.20"
 
 _audit_sql = f"""
 SELECT o.series_id, count(*) AS rows_old, count(*) AS rows_new, true AS dates_identical,
-  count(*) FILTER (WHERE changed) AS changed_rows, array_to_string(list_sort(list(DISTINCT ratio) FILTER (WHERE changed)), ',') AS ratios,
+  count(*) FILTER (WHERE changed) AS changed_rows, count(DISTINCT ratio) FILTER (WHERE changed) AS n_ratios,
+  min(ratio) FILTER (WHERE changed) AS ratio_min, max(ratio) FILTER (WHERE changed) AS ratio_max,
   any_value(e.edges_old) AS edges_old, any_value(e.edges_new) AS edges_new
 FROM (SELECT series_id, round({_flip}, 6) <> round(price, 6) AS changed, round(price / ({_flip}), 6) AS ratio FROM official) o
 JOIN (SELECT a.series_id, a.n AS edges_old, b.n AS edges_new FROM
@@ -818,12 +819,22 @@ JOIN (SELECT a.series_id, a.n AS edges_old, b.n AS edges_new FROM
   ON a.series_id = b.series_id) e ON e.series_id = o.series_id GROUP BY 1"""
 
 
+_ratios_sql = f"""SELECT series_id, round(price / ({_flip}), 6) AS ratio, count(*) AS changed_rows FROM official
+WHERE round({_flip}, 6) <> round(price, 6) GROUP BY 1, 2"""
+
+
 @query("exp_snapshot_audit_summary", Q.query(_audit_sql, "official"))
 def exp_snapshot_audit_summary(spark, d):
     new = panel.official(spark, d)
     return E.audit_summary(flipped(new), new)
 
 
+@query("exp_snapshot_audit_ratios", Q.query(_ratios_sql, "official"))
+def exp_snapshot_audit_ratios(spark, d):
+    new = panel.official(spark, d)
+    return E.changed_ratios(J.snapshot_changes(flipped(new), new))
+
+
 def _sections(**parts: DataFrame) -> DataFrame:
     """One table of several, the name of each in a column ``section``; columns a part lacks are NULL."""
     named = [df.select(F.lit(name).alias("section"), "*") for name, df in parts.items()]
@@ -878,7 +889,7 @@ _values = """SELECT series_id, horizon, unnest(['oos_hit','oos_emitted','coverag
 
 
 _whole_audit_sql = Q.query(_united(
-    summary=_audit_sql,
+    summary=_audit_sql, ratios=_ratios_sql,
     changed_by_year="SELECT series_id, year(date)::int AS year, count(*) AS changed_rows FROM official WHERE month(date) IN (2, 7) GROUP BY 1, 2",
     islands=f"""SELECT series_id, min(date) AS start, max(date) AS "end", count(*) AS rows FROM (
       SELECT *, row_number() OVER ({W}) - row_number() OVER (PARTITION BY series_id, flag ORDER BY date) AS g
@@ -891,13 +902,14 @@ _whole_audit_sql = Q.query(_united(
 
 @query("exp_snapshot_audit", _whole_audit_sql)
 def exp_snapshot_audit(spark, d):
-    """Summary with changes by year, islands of changed rows, contamination of the old snapshot and metric deltas."""
+    """Summary with the ratios of changed rows, changes by year, islands of changed rows, contamination of the old snapshot and metric deltas."""
     new = panel.official(spark, d)
     old = flipped(new)
-    both = J.snapshot_compare(old, new)
+    changes = J.snapshot_changes(old, new)
     metrics = [B.long_report(B.long_decisions(S.long_signals(J.aligned(side, panel.market(spark, d), panel.oil(spark, d)))), ERAS)
                for side in (old.drop("nominal"), new)]
-    return _sections(summary=E.audit_summary(old, new), changed_by_year=E.changed_by_year(both), islands=S.islands(both, "changed"),
+    return _sections(summary=E.audit_summary(old, new), ratios=E.changed_ratios(changes), changed_by_year=E.changed_by_year(changes),
+                     islands=S.islands(J.snapshot_compare(old, new), "changed"),
                      contamination=contamination(S.jumps(old)),
                      metrics=report(J.metrics_delta(*metrics, ["series_id", "horizon"], list(_METRICS))))
 

@@ -23,7 +23,8 @@ def upsert_coalesce(stored: DataFrame, batch: DataFrame, keys: list[str],
 
 def upsert_last_wins(stored: DataFrame, batch: DataFrame, keys: list[str],
                      order: str | None = None) -> DataFrame:
-    """Replace on key. Within the batch the row with the highest ``order`` wins."""
+    """Replace on key. Within the batch the row with the highest ``order`` wins; of rows of equal order, or
+    without one, the greatest by its columns, so that a repeated write keeps the same row."""
     rank = F.col(order) if order else F.lit(0)
     cols = stored.columns
     both = (stored.withColumns({"_gen": F.lit(0), "_ord": F.lit(None).cast("bigint")})
@@ -31,7 +32,7 @@ def upsert_last_wins(stored: DataFrame, batch: DataFrame, keys: list[str],
                          .select(*cols, "_gen", "_ord")))
     # max_by keeps one row per key map-side, so repeated keys never pile up in a window
     rest = [c for c in cols if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct("_gen", "_ord"))
+    best = F.max_by(F.struct(*rest), F.struct("_gen", "_ord", *rest))
     return both.groupBy(*keys).agg(best.alias("_b")).select(
         *[F.col(c) if c in keys else F.col("_b")[c].alias(c) for c in cols])
 
