@@ -166,6 +166,16 @@ def test_documents_are_read_in_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
+def test_documents_are_read_and_parsed_once(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text('{"timestamp": [86400], "close": [1.0]}\n{}\nnot json\n')
+    docs = readers.documents(spark, str(tmp_path), readers.ARRAYS_SCHEMA)
+    assert docs.inputFiles() and not any(f.endswith("a.json") for f in docs.inputFiles())
+    rows = docs.collect()
+    assert [r.broken for r in rows if r.doc is None] == ["not json"]
+    assert sorted(r.doc.timestamp or [] for r in rows if r.doc is not None) == [[], [86400]]
+
+
 def test_pretty_printed_arrays_and_quotes(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "q").mkdir()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from walkloom.functions import scalars as X
+from walkloom.session import materialise
 
 RATE_SCHEMA = "_Date string, _Id string, Nominal string, Value string"
 ITEM_SCHEMA = "title string, pubDate string"
@@ -58,21 +59,31 @@ def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     a file without one are put together again, as a single document. ``doc`` is NULL and ``broken`` holds
     the source text where it cannot be read: keep those rows as a quarantine, or fail on them with
     ``strict_documents``.
+
+    The files are read and parsed once, when this is called: the parsed lines are written to the shared
+    folder, without the text of good lines, and every further step reads the columns it needs from there.
+    A file put together from its lines is one value of one row, so such a document has to fit in a task; files
+    of one document per line have no such bound. In a file that spreads one document over lines, no line
+    may be a document by itself.
     """
     full = T.StructType.fromDDL(f"{schema}, _broken string")
     parse = lambda text: F.from_json(text, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    fine = F.col("doc").isNotNull() & F.col("doc._broken").isNull()
+    readable = F.col("doc").isNotNull() & F.col("doc._broken").isNull()
     filled = F.greatest(*[F.col("doc")[f.name].isNotNull() for f in full.fields if f.name != "_broken"], F.lit(False))
-    shaped = lambda df: df.select("file", F.when(fine, F.col("doc")).alias("doc"), F.when(~fine, F.col("text")).alias("broken"))
+    parsed = lambda df: (df.withColumn("doc", parse(F.col("text"))).withColumn("_fine", readable)
+                         .withColumn("doc", F.when(F.col("_fine"), F.col("doc"))))
+    shaped = lambda df: df.select("file", "doc", F.when(~F.col("_fine"), F.col("text")).alias("broken"))
     lines = (spark.read.text(path).where(F.trim("value") != "")
              .select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_start"),
                      F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text"))
-             .withColumn("doc", parse(F.col("text"))).withColumn("_good", fine & filled))
+             .transform(parsed).withColumn("_good", F.col("_fine") & F.coalesce(filled, F.lit(False)))
+             .withColumn("text", F.when(~F.col("_good"), F.col("text"))))
+    lines = materialise(lines, "json-lines")
     by_line = lines.groupBy("file").agg(F.max("_good").alias("_by_line"))
     rest = lines.where(~F.col("_good")).join(by_line, "file")
     whole = (rest.where(~F.col("_by_line")).groupBy("file")
              .agg(F.array_sort(F.collect_list(F.struct("_start", "_at", "text"))).alias("_lines"))
-             .select("file", F.array_join(F.col("_lines.text"), "\n").alias("text")).withColumn("doc", parse(F.col("text"))))
+             .select("file", F.array_join(F.col("_lines.text"), "\n").alias("text")).transform(parsed))
     return shaped(lines.where("_good")).unionByName(shaped(rest.where("_by_line"))).unionByName(shaped(whole))
 
 
