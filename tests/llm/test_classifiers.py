@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import empty_documents, odd_documents, odd_texts
 from walkloom.llm import langid, quality, toxicity
-from walkloom.llm.common import fold, sample_ids, table
+from walkloom.llm.common import fold, one_per_id, sample_ids, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -89,6 +89,21 @@ def test_training_never_sees_the_held_out_fold(spark, docs, labels):
     assert np.allclose(a.weights, b.weights) and np.allclose(a.seen, b.seen, equal_nan=True)
 
 
+def test_a_repeated_id_is_one_row_of_a_sample(spark, docs, labels):
+    learnable = labels.where((fold(F.col("doc_id")) == 1) & F.col("quality").isNotNull()).select("doc_id").limit(40)
+    some = docs.join(learnable, "doc_id").select("doc_id", "text", "lang")
+    many = some.crossJoin(spark.range(50).select(F.col("id").alias("_n"))).withColumn(
+        "text", F.when(F.col("_n") == 0, F.col("text")).otherwise(F.concat("text", F.lit(" more ~"), F.col("_n").cast("string")))).drop("_n")
+    assert many.count() == 50 * some.count() and one_per_id(many, "doc_id").count() == some.count()
+    assert quality.training_rows(many, labels.join(learnable, "doc_id"), "quality", 100).count() == some.count()
+    # the least text of an id is its own beginning, so the models are those of single rows
+    a, b = langid.train(some), langid.train(many.repartition(5))
+    shown = lambda m: sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(some, m).collect())
+    assert shown(a) == shown(b)
+    named = some.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert langid.identify(named, langid.train(named)).count() == some.count()
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.uniform(-1, 1, (4000, 3))

@@ -50,6 +50,14 @@ def sample_ids(labelled: DataFrame, id_col: str, n: int) -> DataFrame:
     return labelled.orderBy(F.xxhash64(F.col(id_col), F.lit(17)), F.col(id_col)).limit(n)
 
 
+def one_per_id(rows: DataFrame, id_col: str) -> DataFrame:
+    """The least row of every id, by the other columns in their order: a sample bounded in ids is bounded in
+    rows, however often an id is repeated. Repeats are reduced before the shuffle."""
+    rest = [c for c in rows.columns if c != id_col]
+    return (rows.groupBy(id_col).agg(F.min(F.struct(*rest)).alias("_least"))
+            .select(id_col, *[F.col("_least")[c].alias(c) for c in rest]))
+
+
 def extended(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of ``df`` with columns appended (a copy: ``StructType.add`` changes its owner)."""
     schema = T.StructType(list(df.schema.fields))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from walkloom.llm import bytesets as B
-from walkloom.llm.common import extended, fold, sample_ids, slices
+from walkloom.llm.common import extended, fold, one_per_id, sample_ids, slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -136,12 +136,13 @@ def reject_below(top: np.ndarray, right: np.ndarray, max_error: float) -> float:
 
 def train(docs: DataFrame, fit_rows: int = 4_000, **knobs) -> Model:
     """Learns from text and lang of rows outside the held-out fold. Tasks turn whole texts into
-    bucket counts (at most ``BUCKETS`` per row); only those of the bounded sample reach the driver."""
+    bucket counts (at most ``BUCKETS`` per row); only those of the bounded sample reach the driver. Of
+    a repeated id the least (text, lang) is learned; ids may have any type."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
                        & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
     ids = sample_ids(known.select("doc_id").distinct(), "doc_id", fit_rows).withColumnRenamed("doc_id", "_id")
     rows = (known.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-            .select("doc_id", "text", "lang"))
+            .select("doc_id", "text", "lang").transform(one_per_id, "doc_id"))
 
     def run(batches):
         for pdf in batches:
@@ -150,7 +151,7 @@ def train(docs: DataFrame, fit_rows: int = 4_000, **knobs) -> Model:
                                 "b": [g[0].astype(np.int32) for g in got],
                                 "c": [g[1].astype(np.int32) for g in got]})
 
-    got = rows.mapInPandas(run, "doc_id long, lang string, b array<int>, c array<int>").toArrow()
+    got = rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, b array<int>, c array<int>").toArrow()
     b, c = got["b"].combine_chunks(), got["c"].combine_chunks()
     ids, langs = got["doc_id"].to_pylist(), got["lang"].to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], langs[i]))

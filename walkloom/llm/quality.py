@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from walkloom.llm import bytesets as B
-from walkloom.llm.common import extended, fold, sample_ids, slices
+from walkloom.llm.common import extended, fold, one_per_id, sample_ids, slices
 
 FEATURES = (
     "log_bytes", "log_words", "word_len", "sentence_len", "line_len", "space_share", "punct_share",
@@ -204,13 +204,14 @@ def _matrix(texts) -> np.ndarray:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int) -> DataFrame:
     """(label, features) of the bounded sample. Ids that carry both label values are left out,
-    repeated equal labels count once; the sample of at most ``fit_rows`` ids is broadcast."""
+    repeated equal labels count once; the sample of at most ``fit_rows`` ids is broadcast. Of a repeated
+    id the least text is taken."""
     good = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
             .groupBy("doc_id").agg(F.min(label).alias("_y"), F.max(label).alias("_y2"))
             .where(F.col("_y") == F.col("_y2")).select("doc_id", F.col("_y").cast("int").alias("_y")))
     chosen = sample_ids(good, "doc_id", fit_rows).withColumnRenamed("doc_id", "_id")
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-            .select("text", "_y"))
+            .select("_id", "text", "_y").transform(one_per_id, "_id").select("text", "_y"))
 
     def run(batches):
         for pdf in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from walkloom.llm import bytesets as B
-from walkloom.llm.common import cut, extended, fold, sample_ids, slices
+from walkloom.llm.common import cut, extended, fold, one_per_id, sample_ids, slices
 from walkloom.llm.idfilter import build, matching
 
 ORDER = 5
@@ -282,7 +282,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60
 
 def train(docs: DataFrame, labels: DataFrame, curve_rows: int = 6_000) -> Model:
     """The curve is fitted on at most ``curve_rows`` labelled documents of fold 4, and every other
-    labelled document of folds 1 to 4 is counted. Fold 0 is never looked at."""
+    labelled document of folds 1 to 4 is counted. Fold 0 is never looked at. Of a repeated id the curve
+    takes the least text."""
     marked = clean_labels(labels)
     chosen = sample_ids(marked.where(fold(F.col("_id")) == 4), "_id", curve_rows)
     chosen = cut(chosen, "toxicity-curve")
@@ -296,6 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, curve_rows: int = 6_000) -> Model:
     seen, contexts = log_ratios(grams)
     model = Model(pieces(seen, "seen"), pieces(contexts, "contexts"), np.zeros(3 + len(WINDOWS)))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.select("_id", "text", "_y").transform(one_per_id, "_id")
 
     def run(batches):
         for pdf in batches:
